@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import bpe, warc
+from inkgraph.llm import bpe, edit_fingerprint, language_id, mixing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": bpe.op3_bpe, "op7_warc": warc.op7_warc}
+    return {"op3_bpe": bpe.op3_bpe, "op4_mixing": mixing.op4_mixing, "op5_language_id": language_id.op5_language_id, "op7_warc": warc.op7_warc, "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE_OP7}
+    return {"op4_mixing": mixing.ORACLE_OP4, "op7_warc": warc.ORACLE_OP7}
