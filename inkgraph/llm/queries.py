@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import bpe, edit_fingerprint, language_id, mixing, surrogates, warc
+from inkgraph.llm import bpe, edit_fingerprint, html_blocks, language_id, mixing, surrogates, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": bpe.op3_bpe, "op4_mixing": mixing.op4_mixing, "op5_language_id": language_id.op5_language_id, "op7_warc": warc.op7_warc, "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint, "op10_surrogates": surrogates.op10_surrogates}
+    return {"op3_bpe": bpe.op3_bpe, "op4_mixing": mixing.op4_mixing, "op5_language_id": language_id.op5_language_id, "op6_html": html_blocks.op6_html, "op7_warc": warc.op7_warc, "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint, "op10_surrogates": surrogates.op10_surrogates}
 
 
 def oracle_sql() -> dict[str, str]:
