@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgraph.llm import bpe, edit_fingerprint, html_blocks, language_id, mixing, ngram_join, suffix_dedup, surrogates, warc
+from inkgraph.llm import additive_ann, bpe, edit_fingerprint, html_blocks, language_id, mixing, ngram_join, suffix_dedup, surrogates, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op3_bpe": bpe.op3_bpe, "op4_mixing": mixing.op4_mixing, "op5_language_id": language_id.op5_language_id, "op6_html": html_blocks.op6_html, "op7_warc": warc.op7_warc, "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint, "op9_ngram_join": ngram_join.op9_ngram_join, "op10_surrogates": surrogates.op10_surrogates}
+    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_additive_ann": additive_ann.op2_additive_ann, "op3_bpe": bpe.op3_bpe, "op4_mixing": mixing.op4_mixing, "op5_language_id": language_id.op5_language_id, "op6_html": html_blocks.op6_html, "op7_warc": warc.op7_warc, "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint, "op9_ngram_join": ngram_join.op9_ngram_join, "op10_surrogates": surrogates.op10_surrogates}
 
 
 def oracle_sql() -> dict[str, str]:
