@@ -1,7 +1,72 @@
-"""Corpus preparation as a sequence of stages over ``documents``."""
-STAGES = []
+"""Corpus preparation as a sequence of stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. All but the last return the columns they were given.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkgraph.llm import bpe, language_id, mixing, ngram_join, surrogates
+from inkgraph.llm.common import shared_dir, table
+
+#: Below this a prediction is a guess between languages.
+MIN_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go; lang becomes the recognised one."""
+    names = docs.columns
+    found = language_id.identify(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, Jaccard at least 0.8: the document with the least doc_id of each component stays.
+
+    Rows that repeat both doc_id and text are one; a null doc_id is in no group and stays.
+    """
+    groups = ngram_join.jaccard_components(docs, words=5, num=80, den=100)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities in texts become surrogates; n_chars follows."""
+    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or go, by the Poisson draw of their source's rate; in global hash order."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and digests of ids and of what they decode to."""
+    return bpe.digest_documents(docs, bpe.public_codec(), keep=("lang", "source"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("PII", replace_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenise),
+]
+#: Language models, connected components and byte-pair merges are beyond one SQL statement.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
