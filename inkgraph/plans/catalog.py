@@ -1,15 +1,348 @@
-"""The registered queries of the library, and their SQL."""
+"""The registered queries of the library, and their SQL.
+
+Adapters turn the test tables into mentions: E takes events (chapter = day, name = user, position
+= second), L takes line items (chapter = month of the order, name = supplier, position = order).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkgraph.functions import numbers, scoring
+from inkgraph.functions import text as T
+from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.sources import annotate, readers, writers
+
+HALF, MIN_FREQ = 60, 2
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def events_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    pos = day.cast("bigint") * 86_400 + F.hour("ts") * 3_600 + F.minute("ts") * 60 + F.second("ts")
+    ticks = F.floor(F.col("value") * 100).cast("bigint") % 10_001 - 5_000
+    return _t(spark, sf, "events").select(F.lit("events").alias("book_id"), (day + 1).alias("chapter"), F.col("user_id").alias("name"), pos.alias("pos"), ticks.alias("score_e4"), F.col("event_id").alias("line_no"))
+
+
+def orders_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    month = (F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")
+    return _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("orders").alias("book_id"), month.alias("chapter"), F.col("l_suppkey").alias("name"), F.col("l_orderkey").alias("pos"))
+
+
+def _scores(m: DataFrame) -> DataFrame:
+    """A score for each position: the least of its mentions."""
+    return m.groupBy("book_id", "chapter", "pos").agg(F.min("score_e4").alias("score_e4"))
+
+
+def _event_edges(spark: SparkSession, sf: str) -> DataFrame:
+    m = events_mentions(spark, sf)
+    return graph.plain_edges(cooccur.edges(m, HALF, MIN_FREQ, scores=_scores(m)))
+
+
+def _month_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return cooccur.bag_edges(orders_mentions(spark, sf))
+
+
+def _decayed(spark: SparkSession, sf: str) -> DataFrame:
+    return decay.decayed(_month_edges(spark, sf), orders_mentions(spark, sf))
+
+
+def _next_day(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("chapter", F.col("chapter") - 1)
+
+
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", T.clean_chapter_text(F.col("text")).alias("clean"))
+
+
+def strip_markers(spark: SparkSession, sf: str) -> DataFrame:
+    framed = F.concat(F.lit("Preface\n*** START OF THE PROJECT GUTENBERG EBOOK ***\n"), "text", F.lit("\n***END OF THIS Project Gutenberg\nLicence"))
+    return _t(spark, sf, "documents").select("doc_id", T.strip_markers(framed).alias("body"))
+
+
+def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = _t(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("bigint").alias("n_distinct"))
+
+
+def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "conversations").select(T.token_rows(F.col("text"))).groupBy("tok").agg(F.count("*").alias("n"))
+
+
+def segment_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), T.strip(F.col("line")).alias("line")).filter("line <> ''")
+
+
+def split_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    book = F.concat(F.lit("Front matter\n\nCHAPTER I\n\n"), "text", F.lit("\n\nChapter 2. Title\n\n"), "text", F.lit("\nchap. twenty-one\nThe end."))
+    books = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("book_id"), book.alias("text"))
+    return readers.split_chapters(books).select("book_id", F.col("chapter").cast("bigint").alias("chapter"), "text")
+
+
+def canonical_name(spark: SparkSession, sf: str) -> DataFrame:
+    named = mentions.canonical_names(_t(spark, sf, "events"), ["user_id"], "event_type", "event_id")
+    return named.select("user_id", "name")
+
+
+def mention_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.mention_counts(events_mentions(spark, sf))
+
+
+def character_positions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mentions.positions(events_mentions(spark, sf).filter("chapter <= 10"))
+    return rows.select("chapter", "name", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def cooccur_window(spark: SparkSession, sf: str) -> DataFrame:
+    return cooccur.edges(events_mentions(spark, sf), HALF, MIN_FREQ)
+
+
+def cooccur_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    m = events_mentions(spark, sf)
+    return cooccur.edges(m, HALF, MIN_FREQ, scores=_scores(m))
+
+
+def cooccur_bag(spark: SparkSession, sf: str) -> DataFrame:
+    return _month_edges(spark, sf)
+
+
+def polarity_label(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").select("event_id", numbers.polarity(F.floor(F.col("value") * 10).cast("bigint") - 500).alias("polarity"))
+
+
+def context_window(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = _t(spark, sf, "conversations").select("conv_id", "turn", T.tokenize(F.col("text")).alias("tokens"))
+    at = tokens.select("conv_id", "turn", "tokens", F.posexplode("tokens").alias("pos", "tok")).filter("pos % 10 = 0")
+    return at.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), T.context(F.col("tokens"), F.col("pos"), F.lit(5)).alias("context"))
+
+
+def decay_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return _decayed(spark, sf).select("chapter", "a", "b", "weight_e4", "is_carry")
+
+
+def decay_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return decay.carried_nodes(orders_mentions(spark, sf), _decayed(spark, sf)).select("chapter", "name", "mention_count")
+
+
+def carried_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _decayed(spark, sf).groupBy("chapter").agg(F.count("*").alias("edge_count"), F.count_if(F.coalesce("is_carry", F.lit(False))).alias("carried"))
+
+
+def cast_continuity(spark: SparkSession, sf: str) -> DataFrame:
+    return decay.continuity(events_mentions(spark, sf)).select("chapter", "shared", "new", "lost")
+
+
+def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _month_edges(spark, sf)
+    return sweep.sweep(edges, orders_mentions(spark, sf), _next_day(edges))
+
+
+def best_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return sweep.best_alpha(alpha_sweep(spark, sf))
+
+
+def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.summaries(graph.plain_nodes(events_mentions(spark, sf)), _event_edges(spark, sf))
+
+
+def top_characters(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.top_characters(graph.plain_nodes(events_mentions(spark, sf)))
+
+
+def top_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The five heaviest edges of a day with an end among the users of the next day."""
+    return snapshot.top_edges(_event_edges(spark, sf), 5, _next_day(events_mentions(spark, sf)))
+
+
+def adjacency_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshot.serialize(_event_edges(spark, sf), "flat")
+
+
+def edge_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshot.serialize(_event_edges(spark, sf), "edges")
+
+
+def prf1_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _event_edges(spark, sf)
+    return metrics.precision_recall_f1(edges, _next_day(edges))
+
+
+def polarity_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _month_edges(spark, sf).withColumn("polarity", numbers.polarity((F.col("weight") % 3 - 1) * 1_000))
+    return metrics.polarity_agreement(edges, _next_day(edges))
+
+
+def edge_set_ops(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _event_edges(spark, sf)
+    return metrics.set_operations(edges, _next_day(edges))
+
+
+def graph_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Each day's ten heaviest edges against the next day's four heaviest; exact on graphs this small."""
+    edges = _event_edges(spark, sf)
+    ends = lambda e: e.select("book_id", "chapter", F.explode(F.array("a", "b")).alias("name")).distinct()
+    small = snapshot.top_edges(edges, 4)
+    return metrics.graph_edit_distance(ends(small), small, ends(_next_day(small)), _next_day(small), budget=20_000)
+
+
+VALENCE = {"the": 1, "is": 2, "and": -1, "of": -2, "la": 1, "der": -1}
+
+
+def lexicon_valence(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", scoring.valence(T.tokenize(F.col("text")), VALENCE).alias("valence"))
+
+
+def scored_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule-based compound scores; a vectorised Python function, so not in SQL."""
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.round(scoring.scorer({"the": 0.5, "and": -0.4, "is": 1.5})(F.array_join(T.tokenize(F.col("text")), " ")), 4).alias("compound"))
+
+
+def dictionary_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    chapters = _t(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter"), "text")
+    forms = spark.createDataFrame([("the", 1), ("that", 2), ("que", 3)], "form string, coref int")
+    return mentions.mention_counts(mentions.character_positions(annotate.Dictionary(forms).annotate(chapters)))
+
+
+def graphml_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One GraphML document a day; the reader and writer are tested against each other."""
+    return writers.graphml_documents(graph.plain_nodes(events_mentions(spark, sf)), _event_edges(spark, sf)).select("chapter", F.length("xml").alias("n_chars"))
+
+
+_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, graphml_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9''\\-]+|[.,!?;:\"()\\[\\]]'), lambda x: lower(x))"
+_STRIP = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_DIV = lambda n, d: f"(CASE WHEN {n} < 0 THEN -((2 * abs({n}) + {d}) // (2 * {d})) ELSE (2 * abs({n}) + {d}) // (2 * {d}) END)"
+
+_E = f"""
+WITH m AS (SELECT 'events' AS book_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS chapter, user_id AS name,
+    CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS pos,
+    CAST(floor(value * 100) AS BIGINT) % 10001 - 5000 AS score_e4, event_id AS line_no FROM events),
+centres AS (SELECT chapter, pos, min(score_e4) AS score_e4 FROM m GROUP BY 1, 2),
+casts AS (SELECT DISTINCT c.chapter, c.pos, c.score_e4, m.name FROM centres c JOIN m ON m.chapter = c.chapter AND m.pos BETWEEN c.pos - {HALF} AND c.pos + {HALF}),
+edges AS (SELECT 'events' AS book_id, x.chapter, x.name AS a, y.name AS b, count(*) AS weight, sum(x.score_e4) AS total
+    FROM casts x JOIN casts y ON x.chapter = y.chapter AND x.pos = y.pos AND x.name < y.name GROUP BY x.chapter, x.name, y.name HAVING count(*) >= {MIN_FREQ}),
+g AS (SELECT book_id, chapter, a, b, weight, CAST({_DIV('total', 'weight')} AS BIGINT) AS sentiment_e4 FROM edges),
+p AS (SELECT *, CASE WHEN sentiment_e4 > 500 THEN 'positive' WHEN sentiment_e4 < -500 THEN 'negative' ELSE 'neutral' END AS polarity FROM g)
+"""
+_L = """
+WITH RECURSIVE m AS (SELECT (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS chapter, l_suppkey AS name, l_orderkey AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+d AS (SELECT DISTINCT chapter, name, pos FROM m),
+edges AS (SELECT x.chapter, x.name AS a, y.name AS b, count(*) AS weight FROM d x JOIN d y ON x.chapter = y.chapter AND x.pos = y.pos AND x.name < y.name GROUP BY 1, 2, 3)
+"""
+
+
+def _fold(alphas: str) -> str:
+    """The fold as a recursive table: every pair and alpha at k = 0, then one step for each ordinal."""
+    return (
+        _L
+        + f""", place AS (SELECT chapter, row_number() OVER (ORDER BY chapter) AS k FROM (SELECT DISTINCT chapter FROM m)),
+obs AS (SELECT k, a, b, weight FROM edges JOIN place USING (chapter)),
+fold AS (
+  SELECT 0::BIGINT AS k, alpha, a, b, 0::BIGINT AS w, FALSE AS alive, NULL::BOOLEAN AS is_carry FROM (SELECT DISTINCT a, b FROM edges), (VALUES {alphas}) t(alpha)
+  UNION ALL
+  SELECT f.k + 1, f.alpha, f.a, f.b,
+    CASE WHEN o.weight IS NOT NULL AND f.k = 0 THEN o.weight * 10000
+         WHEN o.weight IS NOT NULL THEN (2 * (f.alpha * f.w + (100 - f.alpha) * o.weight * 10000) + 100) // 200
+         WHEN f.alive AND f.alpha * f.w >= 500000 THEN (2 * f.alpha * f.w + 100) // 200 ELSE 0 END,
+    o.weight IS NOT NULL OR (f.alive AND f.alpha * f.w >= 500000),
+    CASE WHEN f.k = 0 THEN NULL ELSE o.weight IS NULL END
+  FROM fold f LEFT JOIN obs o ON o.k = f.k + 1 AND o.a = f.a AND o.b = f.b WHERE f.k < (SELECT max(k) FROM place)),
+graph AS (SELECT chapter, fold.k, alpha, a, b, w AS weight_e4, is_carry FROM fold JOIN place USING (k) WHERE alive)
+"""
+    )
+
+
+_SWEEP = (
+    _fold("(30), (50), (70), (90)")
+    + f""", gold AS (SELECT chapter - 1 AS chapter, a, b FROM edges),
+judged AS (SELECT DISTINCT chapter FROM gold WHERE chapter IN (SELECT chapter FROM place)),
+np AS (SELECT chapter, alpha, count(*) AS n FROM graph GROUP BY 1, 2), ng AS (SELECT chapter, count(*) AS n FROM gold GROUP BY 1),
+hit AS (SELECT graph.chapter, alpha, count(*) AS n FROM graph JOIN gold ON graph.chapter = gold.chapter AND graph.a = gold.a AND graph.b = gold.b GROUP BY 1, 2),
+each AS (SELECT chapter, alpha, coalesce(hit.n, 0) AS t, coalesce(np.n, 0) AS p, ng.n AS g FROM judged CROSS JOIN (VALUES (30), (50), (70), (90)) v(alpha)
+  JOIN ng USING (chapter) LEFT JOIN np USING (chapter, alpha) LEFT JOIN hit USING (chapter, alpha)),
+scored AS (SELECT alpha, CASE WHEN p > 0 THEN (20000 * t + p) // (2 * p) ELSE 0 END AS pr, (20000 * t + g) // (2 * g) AS re, (40000 * t + p + g) // (2 * (p + g)) AS f FROM each),
+results AS (SELECT 'orders' AS book_id, alpha, count(*) AS chapters, CAST((2 * sum(pr) + count(*)) // (2 * count(*)) AS BIGINT) AS precision_e4, CAST((2 * sum(re) + count(*)) // (2 * count(*)) AS BIGINT) AS recall_e4, CAST((2 * sum(f) + count(*)) // (2 * count(*)) AS BIGINT) AS f1_e4 FROM scored GROUP BY alpha)
+"""
+)
+_NEXT = "(SELECT book_id, chapter - 1 AS chapter, a, b, polarity FROM p)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    clean = _STRIP(f"regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '{_SPACE}+', ' ', 'g')")
+    return {
+        "clean_text": f"SELECT doc_id, {clean} AS clean FROM documents",
+        "strip_markers": "SELECT doc_id, text || chr(10) AS body FROM documents",
+        "tokenize_counts": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)",
+        "token_frequency": f"SELECT tok, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS tok FROM conversations) GROUP BY tok",
+        "segment_lines": f"SELECT * FROM (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, {_STRIP('lines[i]')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE line <> ''",
+        "split_chapters": f"""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, c.chapter::BIGINT AS chapter, CASE c.chapter WHEN 1 THEN {_STRIP("'CHAPTER I' || chr(10) || chr(10) || text")}
+  WHEN 2 THEN {_STRIP("'Chapter 2. Title' || chr(10) || chr(10) || text")} ELSE 'chap. twenty-one' || chr(10) || 'The end.' END AS text
+FROM documents, (VALUES (1), (2), (3)) c(chapter)""",
+        "canonical_name": """
+SELECT user_id, event_type AS name FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY 1, 2) WHERE r = 1""",
+        "mention_counts": _E + "SELECT 'events' AS book_id, chapter, name, count(*) AS mention_count FROM m GROUP BY 2, 3",
+        "character_positions": _E + "SELECT chapter, name, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM m WHERE chapter <= 10 GROUP BY 1, 2",
+        "cooccur_window": _E + "SELECT book_id, chapter, a, b, weight FROM edges",
+        "cooccur_sentiment": _E + "SELECT book_id, chapter, a, b, weight, sentiment_e4 FROM g",
+        "cooccur_bag": _L + "SELECT 'orders' AS book_id, chapter, a, b, weight FROM edges",
+        "polarity_label": "SELECT event_id, CASE WHEN v > 500 THEN 'positive' WHEN v < -500 THEN 'negative' ELSE 'neutral' END AS polarity FROM (SELECT event_id, CAST(floor(value * 10) AS BIGINT) - 500 AS v FROM events)",
+        "context_window": f"""
+SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS pos, array_to_string(list_slice(t, greatest(1, i - 5), least(len(t), i + 5)), ' ') AS context
+FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations)) WHERE (i - 1) % 10 = 0""",
+        "decay_fold": _fold("(70)") + "SELECT chapter, a, b, weight_e4, is_carry FROM graph",
+        "decay_nodes": _fold("(70)")
+        + """, ghosts AS (SELECT DISTINCT p.chapter, x.name FROM (SELECT k + 1 AS k, a AS name FROM graph UNION SELECT k + 1, b FROM graph) x JOIN place p ON p.k = x.k),
+told AS (SELECT chapter, name, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT chapter, name, coalesce(n, 0)::BIGINT AS mention_count FROM told FULL OUTER JOIN ghosts USING (chapter, name)""",
+        "carried_edges": _fold("(70)") + "SELECT chapter, count(*) AS edge_count, count(*) FILTER (WHERE is_carry) AS carried FROM graph GROUP BY chapter",
+        "cast_continuity": _E
+        + """, c AS (SELECT DISTINCT m.chapter, m.name, k FROM m JOIN (SELECT chapter, row_number() OVER (ORDER BY chapter) AS k FROM (SELECT DISTINCT chapter FROM m)) USING (chapter)),
+f AS (SELECT coalesce(x.k, y.k + 1) AS k, x.name AS now, y.name AS was FROM c x FULL OUTER JOIN c y ON x.k = y.k + 1 AND x.name = y.name)
+SELECT chapter, count(*) FILTER (WHERE now IS NOT NULL AND was IS NOT NULL) AS shared, count(*) FILTER (WHERE was IS NULL) AS new, count(*) FILTER (WHERE now IS NULL) AS lost
+FROM f JOIN (SELECT DISTINCT chapter, k FROM c) USING (k) WHERE k > 1 GROUP BY chapter""",
+        "alpha_sweep": _SWEEP + "SELECT * FROM results",
+        "best_alpha": _SWEEP + "SELECT book_id, alpha AS best_alpha, f1_e4 FROM results ORDER BY f1_e4 DESC, alpha LIMIT 1",
+        "graph_summary": _E
+        + f""", n AS (SELECT chapter, count(DISTINCT name) AS n FROM m GROUP BY 1), e AS (SELECT chapter, count(*) AS c, CAST(sum(sentiment_e4) AS BIGINT) AS s FROM p GROUP BY 1)
+SELECT 'events' AS book_id, chapter, n AS node_count, coalesce(c, 0) AS edge_count, 0::BIGINT AS carried_edges,
+  CAST(CASE WHEN n > 1 THEN (4000000 * coalesce(c, 0) + n * (n - 1)) // (2 * n * (n - 1)) ELSE 0 END AS BIGINT) AS density_e6,
+  CAST(CASE WHEN c > 0 THEN {_DIV('s', 'c')} ELSE 0 END AS BIGINT) AS avg_sentiment_e4 FROM n LEFT JOIN e USING (chapter)""",
+        "top_characters": _E
+        + """, n AS (SELECT chapter, name, count(*) AS mention_count, min(line_no) AS first FROM m GROUP BY 1, 2)
+SELECT 'events' AS book_id, chapter, CAST(rank AS INT) AS rank, name, mention_count FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY mention_count DESC, first, name) AS rank FROM n) WHERE rank <= 10""",
+        "top_edges": _E
+        + """, near AS (SELECT DISTINCT chapter - 1 AS chapter, name FROM m), r AS (SELECT * FROM p WHERE EXISTS (SELECT 1 FROM near WHERE near.chapter = p.chapter AND near.name IN (p.a, p.b)))
+SELECT book_id, chapter, CAST(rank AS INT) AS rank, a, b, weight * 10000 AS weight_e4, polarity FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY weight DESC, a, b) AS rank FROM r) WHERE rank <= 5""",
+        "adjacency_snapshot": _E
+        + """, s AS (SELECT chapter, a AS node, b AS other, weight, sentiment_e4 FROM p UNION ALL SELECT chapter, b, a, weight, sentiment_e4 FROM p),
+l AS (SELECT chapter, node, node || ': ' || string_agg(other || '(' || CASE WHEN sentiment_e4 >= 0 THEN '+' ELSE '' END || CASE WHEN sentiment_e4 < 0 THEN '-' ELSE '' END || (((abs(sentiment_e4) + 500) // 1000) // 10) || '.' || (((abs(sentiment_e4) + 500) // 1000) % 10) || ',w=' || weight || ')', ', ' ORDER BY weight DESC, other) AS line FROM s GROUP BY chapter, node)
+SELECT 'events' AS book_id, chapter, string_agg(line, chr(10) ORDER BY node) AS snapshot FROM l GROUP BY chapter""",
+        "edge_snapshot": _E + "SELECT 'events' AS book_id, chapter, string_agg(a || '--' || b || ': weight=' || weight || ', polarity=' || polarity, chr(10) ORDER BY weight DESC, a, b) AS snapshot FROM p GROUP BY chapter",
+        "prf1_jaccard": _E
+        + f""", f AS (SELECT coalesce(x.chapter, y.chapter) AS chapter, count(*) FILTER (WHERE x.a IS NOT NULL AND y.a IS NOT NULL) AS t, count(x.a) AS n, count(y.a) AS k FROM p x FULL OUTER JOIN {_NEXT} y ON x.chapter = y.chapter AND x.a = y.a AND x.b = y.b GROUP BY 1)
+SELECT 'events' AS book_id, chapter, CAST(CASE WHEN n > 0 THEN (20000 * t + n) // (2 * n) ELSE 0 END AS BIGINT) AS precision_e4, CAST(CASE WHEN k > 0 THEN (20000 * t + k) // (2 * k) ELSE 0 END AS BIGINT) AS recall_e4,
+  CAST((40000 * t + n + k) // (2 * (n + k)) AS BIGINT) AS f1_e4, CAST((20000 * t + n + k - t) // (2 * (n + k - t)) AS BIGINT) AS jaccard_e4 FROM f""",
+        "polarity_agreement": _L
+        + """, q AS (SELECT chapter, a, b, weight % 3 AS v FROM edges)
+SELECT 'orders' AS book_id, x.chapter, count(*) AS matched, CAST((20000 * count(*) FILTER (WHERE x.v = y.v) + count(*)) // (2 * count(*)) AS BIGINT) AS agreement_e4 FROM q x JOIN q y ON y.chapter = x.chapter + 1 AND x.a = y.a AND x.b = y.b GROUP BY x.chapter""",
+        "edge_set_ops": _E
+        + f""", x AS (SELECT book_id, chapter, a, b FROM p), y AS (SELECT book_id, chapter, a, b FROM {_NEXT})
+SELECT *, 'both' AS side FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION ALL SELECT *, 'predicted' FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT *, 'gold' FROM (SELECT * FROM y EXCEPT SELECT * FROM x)""",
+        "lexicon_valence": f"SELECT doc_id, CAST(coalesce(list_sum(list_transform({_TOKENS}, lambda x: CASE x WHEN 'the' THEN 1 WHEN 'is' THEN 2 WHEN 'and' THEN -1 WHEN 'of' THEN -2 WHEN 'la' THEN 1 WHEN 'der' THEN -1 ELSE 0 END)), 0) AS BIGINT) AS valence FROM documents",
+        "dictionary_mentions": f"SELECT source AS book_id, doc_id AS chapter, tok AS name, count(*) AS mention_count FROM (SELECT source, doc_id, unnest({_TOKENS}) AS tok FROM documents) WHERE tok IN ('the', 'that', 'que') GROUP BY 1, 2, 3",
+    }
