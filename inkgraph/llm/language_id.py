@@ -107,11 +107,15 @@ def train(docs: DataFrame, docs_per_lang: int = 300, key: str = "doc_id", text:
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = labelled.select("key", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang).select("key", "lang").distinct()
+    langs = sorted(counts)
+    # First a hash threshold that leaves some 4 * docs_per_lang rows of a language however many it has, then the exact rank among those.
+    share = F.create_map(*[F.lit(x) for name in langs for x in (name, 4.0 * docs_per_lang / counts[name])])[F.col("lang")] if langs else F.lit(0.0)
+    few = labelled.select("key", "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < share * float(1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 40)), "key")
+    chosen = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang).select("key", "lang").distinct()
     sample = labelled.join(F.broadcast(chosen), ["key", "lang"]).select("lang", "text")  # at most docs_per_lang * MAX_LANGUAGES keys
 
     def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
