@@ -1,0 +1,12 @@
+"""Size of the batches that go to Python functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+ROWS = 10_000
+
+
+def usual_batches(spark: SparkSession) -> None:
+    """Operators over small rows want full batches, whatever an operator over long texts has asked of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgraph.functions.batches import usual_batches
 from inkgraph.functions.numbers import BOUND, TICKS
 
 KEYS = ["book_id", "chapter"]
@@ -97,6 +98,7 @@ def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), le
     """
     if not all(0 <= a <= 100 for a in alphas):
         raise ValueError("alpha must lie between 0 and 1")
+    usual_batches(edges.sparkSession)
     place = ordinals(chapters)
     observed = edges if "sentiment_e4" in edges.columns else edges.withColumn("sentiment_e4", F.lit(0).cast("bigint"))
     gathered = observed.join(place, KEYS).groupBy("book_id", "a", "b").agg(F.collect_list(F.struct(F.col("k").cast("bigint").alias("k"), "weight", "sentiment_e4")).alias("seen"))
