@@ -43,6 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(table_frame: DataFrame) -> None:
+    """Delete a table that `stored` wrote, once nothing reads it any more."""
+    spark = table_frame.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table_frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of stages whose result has been stored; Spark drops them as their frames are collected."""
     gc.collect()

@@ -15,7 +15,7 @@ and a suffix leaves as soon as its prefix is unique to one document or is past t
 
 Each round groups positions by (rank so far, longer prefix), keeps the least document of each group and drops
 what is alone, all as partially aggregated groupBys and joins. Ranks are names of 64 bits in
-round 1, where a clash only keeps a position longer, and of 128 bits after.
+round 1, where a clash only keeps a position longer, and of 96 bits after.
 
 Defined results: null text is no bytes; a text shorter than ``length`` keeps all; matches
 never cross documents; rows with the same doc_id never remove from each other; a null doc_id
@@ -32,15 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import partitions, small_batches, stored, table
+from inkgraph.llm.common import discard, partitions, small_batches, stored, table
 from inkgraph.llm.shingles import mix
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 26
 #: Window starts that are worked on at a time in a long text.
 PIECE = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTES = [_RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) for _ in range(2)]
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_ZERO = np.zeros(1, dtype=np.int64)
+_PLACES = np.arange(PIECE + 4 * LENGTH, dtype=np.uint64)
 _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,6 +84,13 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """Cheap scrambling, enough to order grams by."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x &= np.uint64(0xFFFFFFFFFF000000)
+    return x
+
+
 def speakers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, Hashed, np.ndarray, np.ndarray, np.ndarray]]:
     """For each piece of the text: its offset, hashes, and for each speaker its place and its first and last window.
 
@@ -92,14 +101,37 @@ def speakers(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         part = whole[at : at + PIECE + length - 1]
         hashed = Hashed(part, (0,))
         n = len(part) - gram + 1
-        start = np.arange(n)
-        grams = hashed.of(0, start, start + gram)
-        place = start.astype(np.uint64)
-        least = _sliding_least((grams >> np.uint64(24) << np.uint64(24)) | place, length - gram + 1)
-        spoken = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], spoken[1:] != spoken[:-1]]))
+        sums, (_, down) = hashed.sums[0], _powers(0, len(part) + 1)
+        key = _ranked((sums[gram:] - sums[:-gram]) * down[:n])
+        key |= _PLACES[:n]
+        spoken = _sliding_least(key, length - gram + 1) & np.uint64((1 << 24) - 1)
+        first = np.flatnonzero(spoken[1:] != spoken[:-1]) + 1
+        first = np.concatenate([_ZERO, first])
         last = np.concatenate([first[1:], [len(spoken)]]) - 1
-        yield at, hashed, spoken[first], first, last
+        yield at, hashed, spoken[first].astype(np.int64), first, last
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Columns:
+    """Arrays by column, put together once for each batch."""
+
+    def __init__(self, *names: str):
+        self.held: dict[str, list[np.ndarray]] = {n: [] for n in names}
+        self.size = 0
+
+    def add(self, count: int, **arrays) -> None:
+        for name, own in self.held.items():
+            value = arrays[name]
+            own.append(value if isinstance(value, np.ndarray) else np.full(count, value, dtype=np.int64))
+        self.size += count
+
+    def frame(self) -> pd.DataFrame:
+        out = pd.DataFrame({n: np.concatenate(v) for n, v in self.held.items()})
+        self.__init__(*self.held)
+        return out
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -112,16 +144,14 @@ def gram_ranks(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size = [], 0
+            held = Columns("doc", "first", "gram")
             for doc, data in zip(pdf["doc"], pdf["data"], strict=True):
                 for at, hashed, place, first, _ in speakers(data, length, gram):
-                    held.append(pd.DataFrame({"doc": doc, "first": first + at, "gram": hashed.of(0, place, place + gram).view(np.int64)}))
-                    size += len(first)
-                    if size > 200_000:
-                        yield pd.concat(held)
-                        held, size = [], 0
-            if held:
-                yield pd.concat(held)
+                    held.add(len(first), doc=doc, first=first + at, gram=hashed.of(0, place, place + gram).view(np.int64))
+                    if held.size > 200_000:
+                        yield held.frame()
+            if held.size:
+                yield held.frame()
 
     return rows.filter("doc is not null").select("doc", "data").mapInPandas(run, "doc long, first long, gram long")
 
@@ -132,21 +162,24 @@ def stretch_ranks(rows: DataFrame, places: DataFrame, length: int, gram: int) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held = []
+            held = Columns("gram", "c1", "c2", "doc", "t", "first", "last")
             for doc, t, data, firsts in zip(pdf["doc"], pdf["t"], pdf["data"], pdf["firsts"], strict=True):
-                wanted = np.unique(firsts)
+                wanted = np.sort(firsts)
                 for at, hashed, place, first, last in speakers(data, length, gram):
-                    own = np.flatnonzero(np.isin(first + at, wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + PIECE)], assume_unique=True))
+                    found = np.searchsorted(wanted, first + at)
+                    own = np.flatnonzero(wanted[np.minimum(found, len(wanted) - 1)] == first + at)
                     if not len(own):
                         continue
                     place, first, last = place[own], first[own], last[own]
                     other = Hashed(np.frombuffer(data, dtype=np.uint8)[at : at + PIECE + length - 1], (1,))
                     shape = ((place - first) * 64 + last - first).astype(np.uint64)  # where the gram stands in it, and how long it is
-                    held.append(pd.DataFrame({"gram": hashed.of(0, place, place + gram).view(np.int64), "c1": mix(hashed.of(0, first, last + length) ^ shape).view(np.int64), "c2": mix(other.of(1, first, last + length) ^ shape).view(np.int64), "doc": doc, "t": t, "first": first + at, "last": last + at}))
-            if held:
-                yield pd.concat(held)
+                    held.add(len(own), gram=hashed.of(0, place, place + gram).view(np.int64), c1=mix(hashed.of(0, first, last + length) ^ shape).view(np.int64), c2=_short(mix(other.of(1, first, last + length) ^ shape)), doc=doc, t=t, first=first + at, last=last + at)
+                    if held.size > 200_000:
+                        yield held.frame()
+            if held.size:
+                yield held.frame()
 
-    return rows.join(listed, "doc").select("doc", "t", "data", "firsts").mapInPandas(run, "gram long, c1 long, c2 long, doc long, t long, first long, last long")
+    return rows.join(listed, "doc").select("doc", "t", "data", "firsts").mapInPandas(run, "gram long, c1 long, c2 int, doc long, t long, first long, last long")
 
 
 def window_ranks(rows: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
@@ -155,7 +188,7 @@ def window_ranks(rows: DataFrame, stretches: DataFrame, length: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held = []
+            held = Columns("w1", "w2", "doc", "t", "first")
             for doc, t, data, firsts, lasts in zip(pdf["doc"], pdf["t"], pdf["data"], pdf["firsts"], pdf["lasts"], strict=True):
                 whole = np.frombuffer(data, dtype=np.uint8)
                 count = lasts - firsts + 1
@@ -164,12 +197,14 @@ def window_ranks(rows: DataFrame, stretches: DataFrame, length: int) -> DataFram
                     at = int(starts[0])
                     cut = int(np.searchsorted(starts, at + PIECE))
                     own, starts = starts[:cut], starts[cut:]
-                    hashed = Hashed(whole[at : at + PIECE + length])
-                    held.append(pd.DataFrame({"w1": hashed.of(0, own - at, own - at + length).view(np.int64), "w2": hashed.of(1, own - at, own - at + length).view(np.int64), "doc": doc, "t": t, "first": own}))
-            if held:
-                yield pd.concat(held)
+                    hashed = Hashed(whole[at : int(own[-1]) + length])
+                    held.add(len(own), w1=hashed.of(0, own - at, own - at + length).view(np.int64), w2=_short(hashed.of(1, own - at, own - at + length)), doc=doc, t=t, first=own)
+                    if held.size > 200_000:
+                        yield held.frame()
+            if held.size:
+                yield held.frame()
 
-    return rows.join(listed, ["doc", "t"]).select("doc", "t", "data", "firsts", "lasts").mapInPandas(run, "w1 long, w2 long, doc long, t long, first long")
+    return rows.join(listed, ["doc", "t"]).select("doc", "t", "data", "firsts", "lasts").mapInPandas(run, "w1 long, w2 int, doc long, t long, first long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,21 +213,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     small_batches(spark, 256)
     rows = _rows(docs, key, text)
 
-    one = gram_ranks(rows, length, gram).repartition(partitions(spark), "gram")
+    left = _shared_grams(rows, length, gram)
+    two = stored(stretch_ranks(rows, left, length, gram))
+    covered, open_ = _by_stretch(two)
+    discard(two)
+    discard(left)
+    single = _by_window(rows, open_, length)
+    discard(open_)
+    return covered.unionByName(single)
+
+
+def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Round 1: doc, first; speakers whose gram two documents have. One exchange serves both sides."""
+    one = gram_ranks(rows, length, gram).repartition(partitions(rows.sparkSession), "gram")
     several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("gram")
-    left = stored(one.join(several.hint("shuffle_hash"), "gram").select("doc", "first"))
+    return stored(one.join(several.hint("shuffle_hash"), "gram").select("doc", "first"))
 
-    two = stored(stretch_ranks(rows, left, length, gram))
+
+def _by_stretch(two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Round 2: stretches that an earlier document has; and those not settled, the earliest of their kind beside other kinds."""
     least = two.groupBy("gram", "c1", "c2").agg(F.min("doc").alias("low"))
     ranked = two.join(least, ["gram", "c1", "c2"])
     covered = stored(ranked.filter("low < doc").select("doc", "t", "first", "last"))
     mixed = least.groupBy("gram").agg(F.count("*").alias("n"), F.min("low").alias("from"), F.max("low").alias("to")).filter("n > 1 and from < to").select("gram")
-    open_ = stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "last"))
+    return covered, stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "last"))
 
-    three = window_ranks(rows, open_, length).repartition(partitions(spark), "w1", "w2")
+
+def _by_window(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """Round 3: single windows that an earlier document has."""
+    three = window_ranks(rows, open_, length).repartition(partitions(rows.sparkSession), "w1", "w2")
     earliest = three.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w1", "w2", "low")
-    single = stored(three.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter("low < doc").select("doc", "t", "first", F.col("first").alias("last")))
-    return covered.unionByName(single)
+    return stored(three.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter("low < doc").select("doc", "t", "first", F.col("first").alias("last")))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
