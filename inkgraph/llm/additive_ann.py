@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from inkgraph.llm.common import partitions, small_batches, stored, table
 
 SAMPLE = 16_384
-BLOCK, QUERY_BLOCK = 8192, 256
+BLOCK, QUERY_BLOCK = 4096, 256
 
 
 @dataclass
@@ -106,7 +106,8 @@ def fit(x: np.ndarray, books: int = 8, size: int = 256, rounds: int = 8, refine:
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, v: the rows that take part."""
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema[column].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast(f"array<{kind}>").alias("v"))
     good = rows.filter(F.col("key").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return good.filter(F.size("v") == (common["d"] if common else 0))
@@ -115,6 +116,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
 def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
     """Every vector encoded; a row for each block: ids, codes, norms of vector and approximation, vectors."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    number = _number(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[np.ndarray] = []
@@ -134,7 +136,7 @@ def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 keys.append(pdf["key"].to_numpy(dtype=np.int64))
-                held.append(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+                held.append(np.stack(pdf["v"].to_numpy()).astype(number))
                 if sum(map(len, keys)) >= BLOCK:
                     yield flush()
         if keys:
@@ -144,15 +146,35 @@ def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
 
 
 def query_blocks(rows: DataFrame) -> DataFrame:
+    """A row for each QUERY_BLOCK queries, whatever the size of the batches they come in."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[int] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([{"q_ids": np.array(keys, dtype=np.int64).tobytes(), "q": np.stack(held).astype(np.float64).tobytes()}])
+            keys.clear()
+            held.clear()
+            return out
+
         for pdf in batches:
-            for at in range(0, len(pdf), QUERY_BLOCK):
-                part = pdf.iloc[at : at + QUERY_BLOCK]
-                yield pd.DataFrame([{"q_ids": part["key"].to_numpy(dtype=np.int64).tobytes(), "q": np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()}])
+            for k, v in zip(pdf["key"], pdf["v"], strict=True):
+                keys.append(k)
+                held.append(v)
+                if len(keys) == QUERY_BLOCK:
+                    yield flush()
+        if keys:
+            yield flush()
 
     return rows.mapInPandas(run, "q_ids binary, q binary")
 
 
+def _number(rows: DataFrame) -> str:
+    """Vectors keep the width they came in; all products are in double precision."""
+    return "f4" if rows.schema["v"].dataType.simpleString() == "array<float>" else "f8"
+
+
 def best_of(scores: np.ndarray, n: int) -> np.ndarray:
     """Places of the n largest in a row; of equals, the first."""
     if n >= len(scores):
@@ -167,6 +189,7 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, k: int = 20,
     spark = queries.sparkSession
     groups = partitions(spark)
     shared = spark.sparkContext.broadcast(model)
+    number = _number(queries)
     dealt = index.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = query_blocks(queries).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     pairs = dealt.join(asked, "deal").select("ids", "codes", "scale", "vectors", "q_ids", "q")
@@ -179,7 +202,7 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, k: int = 20,
                 ids, q_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.q_ids, dtype=np.int64)
                 codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(ids), books)
                 scale = np.frombuffer(row.scale, dtype=np.float32)
-                x, q = np.frombuffer(row.vectors).reshape(len(ids), d), np.frombuffer(row.q).reshape(len(q_ids), d)
+                x, q = np.frombuffer(row.vectors, dtype=number).reshape(len(ids), d), np.frombuffer(row.q).reshape(len(q_ids), d)
                 tables = (q.astype(np.float32) @ words.reshape(books * size, d).T).reshape(len(q), books, size)
                 out = []
                 for i, own in enumerate(q_ids):
@@ -188,12 +211,12 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, k: int = 20,
                         guess = guess + tables[i, m][codes[:, m]]
                     near = best_of(guess * scale, shortlist)
                     near = near[ids[near] != own]
-                    exact = x[near] @ q[i]
+                    exact = x[near].astype(np.float64) @ q[i]
                     order = np.lexsort((ids[near], -exact))[:k]
                     out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][order], "score": exact[order]}))
                 yield pd.concat(out)
 
-    small_batches(spark, 8)
+    small_batches(spark, 4)
     found = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
