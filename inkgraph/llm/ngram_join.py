@@ -8,8 +8,8 @@ binary search only for candidates that the merge left possible.
 The lists of the whole corpus would be long beyond bound, so each query has lists over the
 candidates that can still be its partners, found by an exact filter. Two sets of sizes a and b
 with Jaccard at least t differ in at most H = (a + b)(1 - t)/(1 + t) shingles. Shingles are
-dealt into H + 1 parts by hash; then some part is the same in both sets. Each document
-emits a hash of every part, for its own band of sizes and the band below, and only documents that share such
+dealt into 5/4 (H + 1) parts by hash; then some parts are the same in both sets, and one of them is not small. Each document
+emits a hash of each of its larger parts, for its own band of sizes and the band below, and only documents that share such
 a hash are candidates. A line, a passage or a word pair that is very common is but a piece
 of a part, so it brings no candidates.
 
@@ -36,12 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import durable, partitions, small_batches, stored, table
+from inkgraph.llm.common import durable, partitions, release, small_batches, stored, table
 from inkgraph.llm.components import components
 from inkgraph.llm.shingles import mix, shingle_set
 
 #: Bits of the parity sketch, in 64-bit words.
-SKETCH = 16
+SKETCH = 64
 #: Candidates, and bytes of their sets, that one search holds at a time.
 CHUNK, CHUNK_BYTES = 256, 8 << 20
 #: DivideSkip's cost ratio between a step of the merge and a probe.
@@ -64,12 +64,14 @@ class Bands:
             lo, hi = (mid, hi) if self.low[mid] <= n else (lo, mid)
         return lo
 
-    def parts(self, band: int) -> int:
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts of a band, and how many of them may differ between partners."""
         self.of(self.low[-1])
         while len(self.low) <= band + 1:
             self.of(self.low[-1])
         most = self.low[band + 1] - 1
-        return (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
+        differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        return -(-5 * (differ + 1) // 4), differ
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
@@ -78,7 +80,12 @@ def needed(a: int, b: int, num: int, den: int) -> int:
 
 
 def part_hashes(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """The hashes of all parts of a set, for its own band and the band below."""
+    """The hashes of the larger parts of a set, for its own band and the band below.
+
+    Of P parts at least P - H are the same in two partners. A set leaves out its smallest parts, P - H - 1 of them
+    at most: fewer than are the same, and a part that is the same has one size. So of the parts that are the same
+    one at least is kept by both, and empty or tiny parts, which many sets share, are left out.
+    """
     n = len(found)
     own = bands.of(n)
     out = []
@@ -86,14 +93,21 @@ def part_hashes(found: np.ndarray, bands: Bands) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0:
             continue
-        parts = bands.parts(band)
+        parts, differ = bands.parts(band)
         part = (((mix(found, 11 + band) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        total = np.zeros(parts, dtype=np.uint64)
         sorted_part = part[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
-        total[sorted_part[first]] = np.add.reduceat(value[order], first)
-        out.append(mix(total ^ mix((np.uint64(band) << np.uint64(32)) + np.arange(parts, dtype=np.uint64), 3), 5))
+        total = np.add.reduceat(value[order], first)
+        size = np.diff(np.concatenate([first, [n]]))
+        empty, skip = parts - len(first), parts - differ - 1
+        least = 0 if skip < empty else np.partition(size, skip - empty)[skip - empty]
+        kept = size >= least
+        name = sorted_part[first[kept]].astype(np.uint64)
+        out.append(mix(total[kept] ^ mix((np.uint64(band) << np.uint64(32)) + name, 3), 5))
+        if skip < empty:  # so many empty parts that they have to speak too
+            name = np.setdiff1d(np.arange(parts), sorted_part[first]).astype(np.uint64)
+            out.append(mix(mix((np.uint64(band) << np.uint64(32)) + name, 3), 5))
     return np.concatenate(out).view(np.int64)
 
 
@@ -250,22 +264,28 @@ def _possible(pairs: DataFrame, feats: DataFrame, num: int, den: int) -> DataFra
     return sized.filter((F.least("n_query", "n_key") * den >= F.greatest("n_query", "n_key") * num) & (differ * (num + den) <= (F.col("n_query") + F.col("n_key")) * (den - num))).select("query", "key")
 
 
+def _buckets(docs: DataFrame, copies: DataFrame, words: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """sig, key: the part hashes that several documents have, copies under the key of their first. One exchange serves both sides."""
+    dealt = signatures(docs, words, num, den, key, text).repartition(partitions(docs.sparkSession), "sig")
+    shared = dealt.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("sig")
+    return stored(dealt.join(shared, "sig").join(copies, "key", "left").select("sig", F.coalesce("first", "key").alias("key")).distinct())
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id: Jaccard of word shingles at least num/den links two documents."""
     feats = stored(features(docs, words, key, text))
     least = feats.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("first"), F.count("*").alias("same"))
     members = stored(feats.select("key", "h1", "h2", "n").filter("n > 0").join(least.filter("same > 1"), ["h1", "h2", "n"]).select("key", "first").distinct())
 
-    dealt = signatures(docs, words, num, den, key, text).repartition(partitions(docs.sparkSession), "sig")
-    shared = dealt.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("sig")
-    bucketed = dealt.join(shared, "sig")
     copies = members.groupBy("key").agg(F.min("first").alias("first"))
-    buckets = stored(bucketed.join(copies, "key", "left").select("sig", F.coalesce("first", "key").alias("key")).distinct())
+    buckets = _buckets(docs, copies, words, num, den, key, text)
+    release(docs.sparkSession)
 
     pivots = buckets.groupBy("sig").agg(F.min("key").alias("query"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = buckets.join(pivots, "sig").filter("key <> query").select("query", "key").distinct()
     one = feats.groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     links = durable(verify(durable(_possible(firsts, one, num, den)), docs, words, num, den, key, text))
+    release(docs.sparkSession)
     joined = links.select(F.col("query").alias("a"), F.col("key").alias("b"))
     labels = durable(components(joined))
 
