@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import discard, partitions, small_batches, stored, table
+from inkgraph.llm.common import discard, partitions, release, small_batches, stored, table
 from inkgraph.llm.shingles import mix
 
 LENGTH, GRAM = 50, 26
@@ -214,19 +214,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     rows = _rows(docs, key, text)
 
     left = _shared_grams(rows, length, gram)
+    release(spark)
     two = stored(stretch_ranks(rows, left, length, gram))
+    release(spark)
     covered, open_ = _by_stretch(two)
     discard(two)
     discard(left)
+    release(spark)
     single = _by_window(rows, open_, length)
     discard(open_)
+    release(spark)
     return covered.unionByName(single)
 
 
 def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Round 1: doc, first; speakers whose gram two documents have. One exchange serves both sides."""
+    """Round 1: doc, first; speakers whose gram two documents have.
+
+    One exchange serves both sides, as both need all of its columns.
+    """
     one = gram_ranks(rows, length, gram).repartition(partitions(rows.sparkSession), "gram")
-    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("gram")
+    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("any")).filter("low < high and any >= 0").select("gram")
     return stored(one.join(several.hint("shuffle_hash"), "gram").select("doc", "first"))
 
 
@@ -242,7 +249,7 @@ def _by_stretch(two: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _by_window(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     """Round 3: single windows that an earlier document has."""
     three = window_ranks(rows, open_, length).repartition(partitions(rows.sparkSession), "w1", "w2")
-    earliest = three.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w1", "w2", "low")
+    earliest = three.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("any"), F.max("t").alias("t")).filter("low < high and any >= 0 and t is not null").select("w1", "w2", "low")
     return stored(three.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter("low < doc").select("doc", "t", "first", F.col("first").alias("last")))
 
 
