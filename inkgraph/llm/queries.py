@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_OP4, "op7_warc": warc.ORACLE_OP7}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE_OP1, "op4_mixing": mixing.ORACLE_OP4, "op7_warc": warc.ORACLE_OP7, "op9_ngram_join": ngram_join.ORACLE_OP9}

@@ -280,3 +280,18 @@ def remove_spans(docs: DataFrame, spans: DataFrame, length: int = LENGTH, key: s
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return remove_spans(docs, repeated_spans(docs)).drop("kept")
+
+
+ORACLE_OP1 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, o, least(o + 1024, windows) AS e, substr(h, CAST(2 * o + 1 AS BIGINT), 2146) AS h FROM (SELECT doc_id, h, length(h) // 2 - 49 AS windows, unnest(range(0, length(h) // 2 - 49, 1024)) AS o FROM b)),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * (i - o) + 1 AS BIGINT), 100) AS win FROM (SELECT doc_id, h, o, unnest(range(o, e)) AS i FROM blocks)),
+m AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win),
+c AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (win) WHERE low < doc_id),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (s - before) AS BIGINT)), '' ORDER BY s) AS head, max(e) AS e, count(*) AS n_spans FROM p JOIN b USING (doc_id) GROUP BY doc_id),
+f AS (SELECT doc_id, h, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, CAST(2 * e + 1 AS BIGINT)) END AS kept FROM b LEFT JOIN k USING (doc_id))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(kept)) // 2 AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM f
+"""
