@@ -217,10 +217,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     release(spark)
     two = stored(stretch_ranks(rows, left, length, gram))
     release(spark)
-    covered, open_ = _by_stretch(two)
-    discard(two)
     discard(left)
+    ranked = _by_stretch(two)
+    discard(two)
+    release(spark)
+    open_ = _unsettled(ranked)
     release(spark)
+    covered = ranked.filter("low < doc").select("doc", "t", "first", "last")
     single = _by_window(rows, open_, length)
     discard(open_)
     release(spark)
@@ -237,13 +240,17 @@ def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return stored(one.join(several.hint("shuffle_hash"), "gram").select("doc", "first"))
 
 
-def _by_stretch(two: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Round 2: stretches that an earlier document has; and those not settled, the earliest of their kind beside other kinds."""
-    least = two.groupBy("gram", "c1", "c2").agg(F.min("doc").alias("low"))
-    ranked = two.join(least, ["gram", "c1", "c2"])
-    covered = stored(ranked.filter("low < doc").select("doc", "t", "first", "last"))
-    mixed = least.groupBy("gram").agg(F.count("*").alias("n"), F.min("low").alias("from"), F.max("low").alias("to")).filter("n > 1 and from < to").select("gram")
-    return covered, stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "last"))
+def _by_stretch(two: DataFrame) -> DataFrame:
+    """Round 2: every stretch with the first document that has it. One exchange serves both sides."""
+    dealt = two.repartition(partitions(two.sparkSession), "gram", "c1", "c2")
+    least = dealt.groupBy("gram", "c1", "c2").agg(F.min("doc").alias("low"), F.min("first").alias("any"), F.max("last").alias("end"), F.max("t").alias("any_t")).filter("any >= 0 and end >= 0 and any_t is not null").select("gram", "c1", "c2", "low")
+    return stored(dealt.join(least.hint("shuffle_hash"), ["gram", "c1", "c2"]).select("gram", "doc", "t", "first", "last", "low"))
+
+
+def _unsettled(ranked: DataFrame) -> DataFrame:
+    """The earliest stretches of their kind whose gram also stands in stretches of another kind and first document."""
+    mixed = ranked.groupBy("gram").agg(F.min("low").alias("from"), F.max("low").alias("to")).filter("from < to").select("gram")
+    return stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "last"))
 
 
 def _by_window(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
