@@ -5,14 +5,17 @@ on character c, the walk writes c and moves on if the shared random bit for (j,
 Two texts that differ by few edits fall back into step soon after each edit, so their
 walks differ in few places (Hamming distance) where the texts differ by few edits.
 
-A fingerprint samples the walk. Sampled steps are fixed and shared, dense near the start
-and ever sparser (`PER_OCTAVE` in every doubling), so a text of n characters has about
-``PER_OCTAVE * log2(2n)`` samples however long it is, and the whole text decides it.
-A sample is four bits of the hash of the written character, one hexadecimal digit.
+How far two walks stay out of step after an edit has a heavy tail, so a text takes `WALKS`
+walks of independent bits, and the best of them counts.
 
-`likeness` is the share of sampled steps, of the longer walk, on which two fingerprints
-agree, corrected for agreement by chance. `near_pairs` groups fingerprints by bands of
-sampled digits and verifies each candidate.
+A fingerprint folds the whole of each walk: every `BLOCK` steps become one hexadecimal digit, four
+bits of a hash of the characters written there. No step is left out and all weigh the same,
+so a text of n characters has about ``2 * n / BLOCK`` digits a walk; walks are parted by a hyphen.
+Walks that differ in one block only keep an equal digit there, by chance, once in 16 times.
+
+`likeness` is the share of digits, of the longer walk, on which two fingerprints
+agree, corrected for agreement by chance, on the walk where it is largest. `near_pairs` groups
+fingerprints by bands of sampled digits and verifies each candidate.
 
 Defined results: null text is the empty text; an empty text has the empty
 fingerprint, like only to other empty ones (likeness 1, else 0); equal texts have
@@ -34,47 +37,36 @@ from inkgraph.llm.common import partitions, small_batches, table
 
 #: The random bits repeat after so many steps.
 PERIOD = 4096
-PER_OCTAVE = 32
+#: Walk steps that are folded into one digit.
+BLOCK = 4
+WALKS = 2
 #: Characters are told apart by one byte of a hash.
 KINDS = 256
 SEED = 20_240_101
 PIECE = 1 << 15
 
 
-def _walk_table() -> list[list[int]]:
-    """[kind][step mod PERIOD] -> steps until the walk has moved on from that character."""
-    bits = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, size=(KINDS, PERIOD), dtype=np.int8)
-    stay = np.zeros((KINDS, PERIOD), dtype=np.int64)
+def _walk_table(number: int) -> list[list[int]]:
+    """[kind][step mod PERIOD] -> step mod PERIOD at which walk ``number`` has moved on from that character."""
+    bits = np.random.Generator(np.random.PCG64([SEED, number] if number else SEED)).integers(0, 2, size=(KINDS, PERIOD), dtype=np.int8)
+    then = np.zeros((KINDS, PERIOD), dtype=np.int64)
     ahead = np.full(KINDS, PERIOD, dtype=np.int64)
     for j in range(2 * PERIOD - 1, -1, -1):  # twice round, so that the far end knows the start
         ahead = np.where(bits[:, j % PERIOD] == 1, 1, ahead + 1)
-        stay[:, j % PERIOD] = ahead
-    return stay.tolist()
-
-
-def sampled_steps(upto: int) -> np.ndarray:
-    """The shared sampled steps below ``upto``: all small ones, then PER_OCTAVE in every doubling."""
-    if upto <= 0:
-        return np.zeros(0, dtype=np.int64)
-    out = [np.arange(min(upto, PER_OCTAVE), dtype=np.int64)]
-    low = PER_OCTAVE
-    while low < upto:
-        rng = np.random.Generator(np.random.PCG64([SEED, low]))
-        width = low // PER_OCTAVE
-        out.append(low + np.arange(PER_OCTAVE, dtype=np.int64) * width + rng.integers(0, width, size=PER_OCTAVE))
-        low *= 2
-    steps = np.concatenate(out)
-    return steps[steps < upto]
+        then[:, j % PERIOD] = (j + ahead) % PERIOD
+    steps = list(range(PERIOD))  # one object for each step keeps the table in the cache
+    return [[steps[x] for x in row] for row in then.tolist()]
 
 
 _STATE: dict[str, object] = {}
 
 
-def _tables() -> tuple[list[list[int]], np.ndarray]:
+def _tables() -> tuple[list[list[list[int]]], np.ndarray]:
+    """The table of each walk, and a random odd weight for each place in a block."""
     if not _STATE:
-        _STATE["walk"] = _walk_table()
-        _STATE["steps"] = sampled_steps(1 << 40)
-    return _STATE["walk"], _STATE["steps"]
+        _STATE["walks"] = [_walk_table(number) for number in range(WALKS)]
+        _STATE["weights"] = np.random.Generator(np.random.PCG64([SEED, WALKS, BLOCK])).integers(0, 1 << 63, size=BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _STATE["walks"], _STATE["weights"]
 
 
 def kinds_of(text: str) -> bytes:
@@ -83,35 +75,50 @@ def kinds_of(text: str) -> bytes:
     return ((points * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-_DIGIT = np.frombuffer("".join(hashlib.md5(bytes([i])).hexdigest()[0] for i in range(KINDS)).encode(), dtype=np.uint8)
+_DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+
+
+def folded(written: np.ndarray) -> bytes:
+    """One digit for each BLOCK of written kinds; a last block may be shorter (its absent steps count as no kind)."""
+    weights = _tables()[1]
+    short = -len(written) % BLOCK
+    kinds = np.concatenate([written.astype(np.uint64) + np.uint64(1), np.zeros(short, dtype=np.uint64)])
+    h = (kinds.reshape(-1, BLOCK) * weights).sum(axis=1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return _DIGITS[(h >> np.uint64(60)).astype(np.uint8)].tobytes()
 
 
 class Walk:
-    """A walk that can be copied, and continued with more text."""
+    """The walks of a text, which can be copied, and continued with more text."""
 
     def __init__(self) -> None:
-        self.step = 0
-        self.digits: list[bytes] = []
+        self.steps = [0] * WALKS  # mod PERIOD
+        self.digits: list[list[bytes]] = [[] for _ in range(WALKS)]
+        self.rest = [np.zeros(0, dtype=np.uint8)] * WALKS  # written, but not a block yet
 
     def copy(self) -> Walk:
         other = Walk()
-        other.step, other.digits = self.step, list(self.digits)
+        other.steps, other.digits, other.rest = list(self.steps), [list(x) for x in self.digits], list(self.rest)
         return other
 
     def take(self, kinds: bytes) -> Walk:
-        walk, steps = _tables()
-        j, mask = self.step, PERIOD - 1
-        for at in range(0, len(kinds), PIECE):
-            part, begin = kinds[at : at + PIECE], j
-            ends = np.array([j := j + walk[c][j & mask] for c in part], dtype=np.int64)
-            wanted = steps[np.searchsorted(steps, begin) : np.searchsorted(steps, j)]
-            written = np.frombuffer(part, dtype=np.uint8)[np.searchsorted(ends, wanted, side="right")]
-            self.digits.append(_DIGIT[written].tobytes())
-        self.step = j
+        for number, table in enumerate(_tables()[0]):
+            for at in range(0, len(kinds), PIECE):
+                part, begin = kinds[at : at + PIECE], self.steps[number]
+                j = begin
+                ends = np.array([j := row[j] for row in map(table.__getitem__, part)], dtype=np.int64)
+                stay = ((np.diff(ends, prepend=begin) - 1) & (PERIOD - 1)) + 1
+                written = np.concatenate([self.rest[number], np.repeat(np.frombuffer(part, dtype=np.uint8), stay)])
+                whole = len(written) // BLOCK * BLOCK
+                self.digits[number].append(folded(written[:whole]))
+                self.rest[number] = written[whole:]
+                self.steps[number] = j
         return self
 
     def fingerprint(self) -> str:
-        return b"".join(self.digits).decode()
+        if not any(len(rest) or digits for rest, digits in zip(self.rest, self.digits, strict=True)):
+            return ""
+        return b"-".join(b"".join([*digits, folded(rest)]) for digits, rest in zip(self.digits, self.rest, strict=True)).decode()
 
 
 def fingerprint(text: str | None) -> str:
@@ -119,13 +126,15 @@ def fingerprint(text: str | None) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0 to 1: agreement over the longer fingerprint, less what chance gives."""
-    n = max(len(a), len(b))
-    if not n:
-        return 1.0
-    m = min(len(a), len(b))
-    same = int((np.frombuffer(a[:m].encode(), dtype=np.uint8) == np.frombuffer(b[:m].encode(), dtype=np.uint8)).sum())
-    return max(0.0, (same / n - 1 / 16) / (15 / 16))
+    """From 0 to 1: agreement over the longer walk, less what chance gives; of the walks that agree most."""
+    if not a or not b:
+        return float(a == b)
+    best = 0.0
+    for x, y in zip(a.encode().split(b"-"), b.encode().split(b"-"), strict=True):
+        n, m = max(len(x), len(y)), min(len(x), len(y))
+        same = int((np.frombuffer(x[:m], dtype=np.uint8) == np.frombuffer(y[:m], dtype=np.uint8)).sum())
+        best = max(best, (same / n - 1 / 16) / (15 / 16))
+    return best
 
 
 def edited(text: str, following: str) -> tuple[str, int]:

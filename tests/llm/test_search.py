@@ -191,3 +191,14 @@ def test_edits_are_near_and_other_texts_far(spark):
     pairs = {(r.doc_id, r.class_key) for r in edit_fingerprint.near_pairs(prints, threshold=0.5).collect()}
     assert (3, 1) in pairs
     assert not any(4 in p for p in pairs)
+
+
+def test_fingerprints_cover_the_whole_text():
+    text = LONG[:100_000]
+    whole = edit_fingerprint.fingerprint(text)
+    rnd = random.Random(11)
+    places = [rnd.randrange(len(text)) for _ in range(40)] + [len(text) - 1 - i for i in range(0, 400, 20)]
+    changed = [edit_fingerprint.fingerprint(text[:p] + "~~~" + text[p + 3 :]) for p in places]
+    assert sum(c != whole for c in changed) >= 0.95 * len(places)
+    tail = edit_fingerprint.fingerprint(text[:75_000] + text[75_000:][::-1])
+    assert 0.7 < edit_fingerprint.likeness(whole, tail) < 0.8
