@@ -42,7 +42,7 @@ SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA
 NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IP, PHONE, CARD, SECRET, NAME))
 #: What any entity has in it; quicker to look for.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{_TITLE})[. ]"
+HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{_TITLE})[. ]"
 #: Draws after which digits of the attempt are appended, should a format be too small for its entities.
 ATTEMPTS = 24
 

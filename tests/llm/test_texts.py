@@ -248,3 +248,13 @@ def test_surrogates_on_documents(spark):
         assert not any(m in got[r.doc_id] for m in planted)
         if not re.search(r"\d|@", r.text):
             assert got[r.doc_id] == r.text
+
+
+def test_whatever_the_pattern_finds_has_the_hint(spark):
+    rnd = random.Random(10)
+    keys = ["a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "A1" * 16, "ab1" * 11] + ["".join(rnd.choice("0123456789abcdef") for _ in range(n)) for n in (32, 40) for _ in range(3000)]
+    entities = ["a@b.co", "1.2.3.4", "+1 22 333 4444", "(555) 234-5678", "555-234-5678", "4539 1488 0343 6467", "4539148803436467", "Mr Stone", "Mrs. O'Neil", "Госпожа Иванова", "Señor Ruiz", *keys]
+    rows = spark.createDataFrame(list(enumerate(f"see {x} here" for x in entities)), "doc_id long, text string")
+    assert rows.filter(F.col("text").rlike(surrogates.PATTERN) & ~F.col("text").rlike(surrogates.HINT)).count() == 0
+    got = {r.doc_id: r for r in surrogates.pseudonymise(rows.filter("doc_id < 14")).collect()}
+    assert all(got[i].n_entities == 1 and entities[i] not in got[i].text for i in range(14))
