@@ -25,15 +25,19 @@ ordered by text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import partitions, small_batches, table
+from inkgraph.llm.common import discard, durable, partitions, release, small_batches, stored, table
+from inkgraph.llm.components import components
+from inkgraph.llm.ngram_join import _bitmap
 
 #: The random bits repeat after so many steps.
 PERIOD = 4096
@@ -44,6 +48,8 @@ WALKS = 2
 KINDS = 256
 SEED = 20_240_101
 PIECE = 1 << 15
+#: Lengths over which walks are banded grow by this factor.
+STEP = 1.25
 
 
 def _walk_table(number: int) -> list[list[int]]:
@@ -144,13 +150,13 @@ def edited(text: str, following: str) -> tuple[str, int]:
     return text[:stay] + following[:quarter], stay
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (section, key, text, mark) so that sorting a section by (mark, key, text) gives every document and then its next.
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
+    """Rows (section, key, text, mark, near_id) so that sorting a section by (mark, key, text) gives every document and then its next.
 
     Keys are cut into sections at quantiles, far more than there are partitions. The first
     row of each section is repeated, marked 1, at the end of the section before it (that
     of the first section at the end of the last), so no order over all rows is needed and
-    each text moves once.
+    each text moves once. Rows (key, near_id) of ``near`` come without a text, before the documents of that key.
     """
     spark = docs.sparkSession
     count = 4 * partitions(spark)
@@ -162,61 +168,196 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     heads = rows.groupBy("section").agg(F.min(F.struct(F.col("key").isNotNull().alias("k"), "key")).alias("head"))
     firsts = sorted((r["section"], r["head"]["key"]) for r in heads.collect())  # a row for each section
     if not firsts:
-        return rows.withColumn("mark", F.lit(0))
+        return rows.withColumn("mark", F.lit(0)).withColumn("near_id", F.lit(None).cast("string"))
     before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
     keys = [k for _, k in firsts if k is not None]
     head_rows = rows.filter(F.col("key").isin(keys) | (F.col("key").isNull() if len(keys) < len(firsts) else F.lit(False)))
     least = head_rows.groupBy("section", "key").agg(F.min("text").alias("text"))
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     marked = least.select("key", "text", to[F.col("section")].alias("section"), F.lit(1).alias("mark"))
-    return rows.withColumn("mark", F.lit(0)).unionByName(marked)
+    out = rows.withColumn("mark", F.lit(0)).unionByName(marked).withColumn("near_id", F.lit(None).cast("string"))
+    return out if near is None else out.unionByName(near.select(section.alias("section"), "key", F.lit(None).cast("string").alias("text"), F.lit(0).alias("mark"), F.col("near_id").cast("string").alias("near_id")))
 
 
-def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; with ``near`` (key, near_id) also near_id, which is the key where it has none."""
     spark = docs.sparkSession
     small_batches(spark, 128)
-    rows = with_next(docs, key, text)
-    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = with_next(docs, key, text, near)
+    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (section, key, text, kinds, fingerprint, walk up to the last quarter) of the row before
+        held = None  # (section, key, text, fingerprint, walk up to the last quarter, near_id) of the row before
+        labelled = (None, None)  # (key, near_id) of the last row without a text
         for pdf in batches:
             out = []
-            for section, k, t, mark in zip(pdf["section"], pdf["key"], pdf["text"], pdf["mark"], strict=True):
+            for section, k, t, mark, label in zip(pdf["section"], pdf["key"], pdf["text"], pdf["mark"], pdf["near_id"], strict=True):
+                if t is None:
+                    labelled = (k, int(label))
+                    continue
                 kinds = kinds_of(t)
                 stay = len(t) - len(t) // 4
                 begun = Walk().take(kinds[:stay])
                 own = begun.copy().take(kinds[stay:]).fingerprint()
                 if held is not None and held[0] == section:
-                    _, k0, t0, own0, begun0 = held
+                    _, k0, t0, own0, begun0, near0 = held
                     changed, stay0 = edited(t0, t)
                     other = begun0.copy().take(kinds[: len(t0) - stay0]).fingerprint()
-                    out.append((k0, len(t0), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own0, other, likeness(own0, other), likeness(own0, own)))
-                held = None if mark else (section, k, t, own, begun)
+                    out.append((k0, len(t0), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own0, other, likeness(own0, other), likeness(own0, own), near0))
+                held = None if mark else (section, k, t, own, begun, labelled[1] if labelled[0] == k else k)
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
+                yield pd.DataFrame(out, columns=names).astype({"key": "Int64", "near_id": "Int64"})
 
     dealt = rows.repartition(partitions(spark), "section").sortWithinPartitions("section", "mark", "key", "text")
-    return dealt.mapInPandas(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("key", key)
+    return dealt.mapInPandas(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long").withColumnRenamed("key", key).drop(*([] if near is not None else ["near_id"]))
+
+
+_VALUE = np.array([int(chr(i), 16) if chr(i) in "0123456789abcdef" else 0 for i in range(256)], dtype=np.int64)
+
+
+def blocks_of(text: str) -> list[bytes]:
+    """The digits of each walk of a fingerprint."""
+    return text.encode().split(b"-") if text else []
+
+
+#: Shared lengths over which walks are banded.
+BASES = [1]
+while BASES[-1] < 1 << 40:
+    BASES.append(max(BASES[-1] + 1, int(BASES[-1] * STEP)))
+
+
+@functools.lru_cache(maxsize=4096)
+def places(base: int, number: int, bands: int, digits: int) -> np.ndarray:
+    """[band, digit] -> place, for the bands of walk ``number``, spread over the first ``base`` digits; one band of all of them where there are no more than ``digits``."""
+    if base <= digits:
+        return np.arange(base)[None, :]
+    return np.array([np.random.Generator(np.random.PCG64([SEED, base, band])).choice(base, size=digits, replace=False) for band in range(number, bands, WALKS)])
+
+
+def band_names(text: str, ratio: float, bands: int, digits: int) -> np.ndarray:
+    """A number for each band of a fingerprint: shared length, band and digits.
+
+    A walk is banded over several shared lengths, so that two walks, the shorter at least ``ratio`` of the longer, have one in common.
+    """
+    out = []
+    for number, walk in enumerate(blocks_of(text)):
+        row = _VALUE[np.frombuffer(walk, dtype=np.uint8)]
+        for i in range(bisect_right(BASES, ratio * len(walk) / STEP), bisect_right(BASES, len(walk))):
+            found = row[places(BASES[i], number, bands, digits)]
+            band = np.arange(len(found)) * WALKS + number
+            out.append((((i * (bands + WALKS) + band) << (4 * digits)) + (found << (4 * np.arange(found.shape[1]))).sum(axis=1)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def packed(text: str) -> bytes:
+    """A fingerprint at two digits a byte, each walk after its number of digits."""
+    walks = blocks_of(text)
+    return b"".join(len(w).to_bytes(8, "big") + bytes.fromhex((w + b"0" * (len(w) % 2)).decode()) for w in walks)
+
+
+def unpacked(data: bytes) -> str:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "big")
+        size = (n + 1) // 2
+        out.append(data[at + 8 : at + 8 + size].hex()[:n])
+        at += 8 + size
+    return "-".join(out)
+
+
+def _packs(rows: DataFrame, of: Callable[[str], str]) -> DataFrame:
+    """Rows (key, text) as a table (key, same, print): equal fingerprints have equal ``same``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            prints = [of(t or "") for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["key"], "same": [hashlib.md5(x.encode()).digest() for x in prints], "print": [packed(x) for x in prints]})
+
+    return stored(rows.filter("key is not null").mapInPandas(run, "key long, same binary, print binary"))
+
+
+def _verified(pairs: DataFrame, packs: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (class_key, key), those at least ``threshold`` alike, with their likeness. Only fingerprints of the pairs move."""
+    shared = packs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select("key").unionByName(pairs.select(F.col("class_key").alias("key"))).distinct()))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(shared.value, dtype=np.int64)
+        for pdf in batches:
+            cell = pdf["cell"].to_numpy()
+            pdf = pdf[(bits[cell >> 6] >> (cell & 63)) & 1 == 1]
+            if len(pdf):
+                yield pdf[["key", "print"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            like = np.array([likeness(unpacked(x), unpacked(y)) for x, y in zip(pdf["print"], pdf["class_print"], strict=True)], dtype=np.float64)
+            yield pdf[["class_key", "key"]].assign(likeness=like)[like >= threshold]
+
+    prints = packs.select("key", "print", F.pmod(F.xxhash64("key"), F.lit(1 << 23)).alias("cell")).mapInPandas(asked, "key long, print binary")
+    named = prints.select(F.col("key").alias("class_key"), F.col("print").alias("class_print"))
+    return pairs.join(prints, "key").join(named, "class_key").mapInPandas(run, "class_key long, key long, likeness double").groupBy("class_key", "key").agg(F.max("likeness").alias("likeness"))
+
+
+def _near(packs: DataFrame, threshold: float, bands: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Links (class_key, key, likeness), class_key < key, and their components (node, label).
+
+    Of equal fingerprints the least key stands for all. A band is not paired within itself:
+    each row meets the least key of the band, links close to components, and only
+    bands still split are looked at again, there all pairs across components.
+    """
+    spark = packs.sparkSession
+    ratio = threshold * 15 / 16 + 1 / 16  # of lengths; with less, walks cannot be near enough
+    first = packs.groupBy("same").agg(F.min("key").alias("class_key"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = durable(packs.select("key", "same").join(first, "same").filter("key <> class_key").select("class_key", "key").distinct())
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [band_names(unpacked(x), ratio, bands, digits) for x in pdf["print"]]
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), [len(x) for x in found]), "band": np.concatenate(found)})
+
+    banded = packs.select("key", "print").mapInPandas(names, "key long, band long")
+    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("band")
+    buckets = stored(banded.join(shared, "band").join(copies, "key", "left").select("band", F.coalesce("class_key", "key").alias("key")).distinct())
+    pivots = buckets.groupBy("band").agg(F.min("key").alias("class_key"), F.max("key").alias("high")).filter("class_key < high").drop("high")
+    firsts = durable(buckets.join(pivots, "band").filter("key <> class_key").select("class_key", "key").distinct())
+    release(spark)
+    links = durable(_verified(firsts, packs, threshold).unionByName(copies.withColumn("likeness", F.lit(1.0))))
+    joined = links.select(F.col("class_key").alias("a"), F.col("key").alias("b"))
+    labels = durable(components(joined))
+    labelled = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    split = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("band")
+    left = durable(labelled.join(split, "band"))
+    release(spark)
+    across = left.select("band", F.col("key").alias("class_key"), F.col("label").alias("other")).join(left, "band").filter((F.col("class_key") < F.col("key")) & (F.col("other") != F.col("label")))
+    again = durable(across.select("class_key", "key").distinct().join(firsts, ["class_key", "key"], "left_anti"))
+    if not again.isEmpty():
+        links = durable(links.unionByName(_verified(again, packs, threshold)))
+        labels = durable(components(links.select(F.col("class_key").alias("a"), F.col("key").alias("b"))))
+    discard(buckets)
+    return links, labels
 
 
 def near_pairs(prints: DataFrame, key: str = "doc_id", column: str = "fingerprint", threshold: float = 0.8, bands: int = 16, digits: int = 6) -> DataFrame:
-    """(key, class key, likeness) for rows whose fingerprint is near that of the least key of a band they share.
+    """(key, class key, likeness) for rows whose fingerprints are at least ``threshold`` alike, class key the less; links enough for all components.
 
-    Band b takes ``digits`` sampled digits spread over the fingerprint at places fixed by b.
-    A band is never paired within itself: each row meets the least key of the band only.
+    Band b takes ``digits`` digits spread over the fingerprint at places fixed by b, of walk b mod WALKS.
     """
-    places = [sorted(int(x) for x in np.random.Generator(np.random.PCG64([SEED, b])).choice(256, size=digits, replace=False)) for b in range(bands)]
-    names = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring(column, p + 1, 1) for p in own]) for b, own in enumerate(places)])
-    banded = prints.select(F.col(key).alias("key"), F.col(column).alias("print"), F.explode(names).alias("band"))
-    least = banded.groupBy("band").agg(F.min_by("key", "key").alias("class_key"), F.min_by("print", "key").alias("class_print"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = banded.join(least, "band").filter("key > class_key").dropDuplicates(["key", "class_key"])
-    n = F.greatest(F.length("print"), F.length("class_print"))
-    same = F.aggregate(F.sequence(F.lit(1), F.least(F.length("print"), F.length("class_print"))), F.lit(0), lambda acc, i: acc + (F.col("print").substr(i, F.lit(1)) == F.col("class_print").substr(i, F.lit(1))).cast("int"))
-    like = F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.0), (F.when(F.least(F.length("print"), F.length("class_print")) == 0, 0).otherwise(same) / n - 1 / 16) / (15 / 16)))
-    return pairs.select("key", "class_key", like.alias("likeness")).filter(F.col("likeness") >= threshold).withColumnRenamed("key", key)
+
+    rows = prints.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text"))
+    links, _ = _near(_packs(rows, str), threshold, bands, digits)
+    return links.select(F.col("key").alias(key), "class_key", "likeness")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 16, digits: int = 6) -> DataFrame:
+    """(key, near_id) of documents that are near another: the least key that near fingerprints lead to. Texts are not shuffled."""
+    small_batches(docs.sparkSession, 128)
+    packs = _packs(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), fingerprint)
+    _, labels = _near(packs, threshold, bands, digits)
+    discard(packs)
+    release(docs.sparkSession)
+    return labels.select(F.col("node").alias("key"), F.col("label").alias("near_id"))
 
 
 def op8_edit_fingerprint(spark, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return edit_fingerprints(docs, near=near_classes(docs))

@@ -202,3 +202,50 @@ def test_fingerprints_cover_the_whole_text():
     assert sum(c != whole for c in changed) >= 0.95 * len(places)
     tail = edit_fingerprint.fingerprint(text[:75_000] + text[75_000:][::-1])
     assert 0.7 < edit_fingerprint.likeness(whole, tail) < 0.8
+
+
+def test_near_pairs_are_looked_for_across_the_whole_fingerprint(spark):
+    rnd = random.Random(21)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(6000))
+    head = "".join(rnd.choice("ijklmnop ") for _ in range(600)) + text[600:]
+    prints = {k: edit_fingerprint.fingerprint(t) for k, t in [(1, text), (2, head), (3, "".join(rnd.choice("abcdefgh ") for _ in range(6000)))]}
+    threshold = edit_fingerprint.likeness(prints[1], prints[2]) - 0.01
+    assert threshold > 0.3
+    frame = spark.createDataFrame(list(prints.items()), "doc_id long, fingerprint string")
+    assert {(r.doc_id, r.class_key) for r in edit_fingerprint.near_pairs(frame, threshold=threshold).collect()} == {(2, 1)}
+
+
+def test_near_pairs_give_a_second_look_past_the_pivot(spark):
+    rnd = random.Random(22)
+    walk = [rnd.choice("0123456789abcdef") for _ in range(400)]
+
+    def turned(places):  # the same walk, some digits another
+        return "-".join("".join("0123456789abcdef"[(int(c, 16) + 1) % 16] if i in places else c for i, c in enumerate(walk)) for _ in range(edit_fingerprint.WALKS))
+
+    # 1 is 0.6 like 2 and less like 3, which are 0.8 like each other; all digits of bands are the same, so 1 is the pivot of every band.
+    used = {int(i) for base in edit_fingerprint.BASES if base <= 400 for number in range(edit_fingerprint.WALKS) for i in edit_fingerprint.places(base, number, 2, 2).ravel() if base > 150}
+    free = [i for i in range(400) if i not in used]
+    rows = [(1, turned(set(free[:160]))), (2, turned(set())), (3, turned(set(free[-80:])))]
+    like = {(a, b): edit_fingerprint.likeness(x, y) for a, x in rows for b, y in rows if a < b}
+    assert like[1, 2] < 0.7 and like[1, 3] < 0.7 and like[2, 3] > 0.75
+    got = edit_fingerprint.near_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string"), threshold=0.75, bands=2, digits=2)
+    assert {(r.doc_id, r.class_key) for r in got.collect()} == {(3, 2)}
+
+
+def test_op8_names_the_least_near_document(spark):
+    got = {r.doc_id: r for r in edit_fingerprint.op8_edit_fingerprint(spark, SF).select("doc_id", "fingerprint", "near_id").collect()}
+    keys = sorted(got)
+    up = {k: k for k in keys}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if edit_fingerprint.likeness(got[a].fingerprint, got[b].fingerprint) >= 0.8:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    assert {k: got[k].near_id for k in keys} == {k: find(k) for k in keys}
+    assert any(k != got[k].near_id for k in keys)
