@@ -4,6 +4,7 @@ import pytest
 
 from inkgraph.functions.numbers import TICKS
 from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.plans import catalog
 
 M = "book_id string, chapter int, name string, pos long"
 E = "book_id string, chapter int, a string, b string, weight long, sentiment_e4 long"
@@ -193,3 +194,28 @@ def test_cooccurrence_rides_one_exchange(spark):
     plan = cooccur.edges(mention_rows(spark, G7), 5, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(book_id") + plan.count("hashpartitioning(book_id") >= 1
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_edit_distance_query_takes_whole_graphs(spark):
+    sf = "/root/testdata/sf0.001"
+    nodes, links = {}, {}
+    for r in graph.plain_nodes(catalog.events_mentions(spark, sf)).select("chapter", "name").collect():
+        nodes.setdefault(r.chapter, []).append(str(r.name))
+    for r in catalog._event_edges(spark, sf).select("chapter", "a", "b").collect():
+        links.setdefault(r.chapter, []).append((str(r.a), str(r.b)))
+    got = {r.chapter: r for r in catalog.graph_edit_distance(spark, sf).collect()}
+    assert set(got) == set(nodes) | {c - 1 for c in nodes}
+    for c, r in got.items():
+        want = metrics.edit_bounds((nodes.get(c, []), links.get(c, [])), (nodes.get(c + 1, []), links.get(c + 1, [])))
+        assert (r.ged, r.ged_lower, r.exact) == (*want, want[0] == want[1])
+    assert got[0].ged == len(nodes[1]) + len(links.get(1, []))
+
+
+def test_edit_bounds_tell_exact_from_upper_bound():
+    ring = (list("abcdef"), [(x, y) for x, y in zip("abcdef", "bcdefa", strict=True)])
+    two = (list("abcdef"), [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "d")])
+    assert metrics.edit_bounds(ring, two) == (4.0, 4.0)
+    upper, lower = metrics.edit_bounds(ring, two, budget=8)
+    assert lower == 0.0 < 4.0 <= upper
+    many = [str(i) for i in range(1_200)]
+    assert metrics.edit_bounds((many, []), (many, []))[0] == 0.0
