@@ -1,25 +1,31 @@
 """Exact-substring dedup: bytes covered by a string of ``length`` bytes that an earlier document also has.
 
-Suffixes are ranked by their prefixes at growing lengths, in the manner of prefix doubling,
-and a suffix leaves as soon as its prefix is unique to one document or is past the threshold:
+Suffixes are compared by their prefixes at growing lengths, and a suffix leaves as soon as its prefix is
+unique to one document or is past the threshold:
 
 1. length ``GRAM``. Positions are first thinned by a rule of content alone: of the
    ``length - GRAM + 1`` grams inside a window of ``length`` bytes the one of least
    hash (leftmost of equals) speaks for the window. Equal windows have the same
    speaker, so a speaker whose gram occurs in one document only speaks for windows that do too.
-   About ``2 / (length - GRAM + 2)`` of all positions remain before the first sort.
+   About ``2 / (length - GRAM + 2)`` of all positions remain before the first exchange.
 2. about twice that: the whole stretch of text that holds the windows of a
    speaker. Where an earlier document has the same stretch, all its windows are covered.
 3. ``length``: the single windows of those stretches that are the earliest of their kind
    while the gram also stands in other stretches.
 
-Each round groups positions by (rank so far, longer prefix), keeps the least document of each group and drops
-what is alone, all as partially aggregated groupBys and joins. Ranks are names of 64 bits in
-round 1, where a clash only keeps a position longer, and of 96 bits after.
+What prefix doubling calls a rank is here a name made of content (a hash of the prefix), so that the
+rank of any other position is computed where it is needed and not fetched; the README says why.
+Names have 64 bits in round 1, where a clash only keeps a position longer, and 96 bits after.
+
+Each round aggregates where the text is before anything moves: of the rows of one name that a task holds
+at a time, those that are settled among themselves go on under a name of their own (so they spread
+evenly), and one row speaks for the name. A line that a third of all documents share is thus a few rows a
+task, and no exchange gathers its positions.
 
 Defined results: null text is no bytes; a text shorter than ``length`` keeps all; matches
 never cross documents; rows with the same doc_id never remove from each other; a null doc_id
-neither removes nor is removed from; an empty table gives no rows.
+neither removes nor is removed from; an empty table gives no rows; extra columns, whatever their names,
+take no part. Rows that repeat a doc_id with other texts are told apart by 32 bits of a hash of the text.
 """
 
 from __future__ import annotations
@@ -32,12 +38,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import discard, partitions, release, small_batches, stored, table
+from inkgraph.llm.common import discard, partitions, release, stored, table
 from inkgraph.llm.shingles import mix
 
 LENGTH, GRAM = 50, 26
 #: Window starts that are worked on at a time in a long text.
 PIECE = 1 << 18
+#: Rows of a task that are aggregated at a time, before they are dealt out.
+HELD = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTES = [_RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) for _ in range(2)]
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -128,41 +136,89 @@ class Columns:
             own.append(value if isinstance(value, np.ndarray) else np.full(count, value, dtype=np.int64))
         self.size += count
 
-    def frame(self) -> pd.DataFrame:
-        out = pd.DataFrame({n: np.concatenate(v) for n, v in self.held.items()})
+    def arrays(self) -> dict[str, np.ndarray]:
+        out = {n: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for n, v in self.held.items()}
         self.__init__(*self.held)
         return out
 
 
+def _groups(*names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal names are neighbours, and where each group begins in it."""
+    order = np.lexsort(names[::-1]) if len(names) > 1 else np.argsort(names[0], kind="stable")
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for x in names:
+        own = x[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _own_names(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A name for each row that no other has, as good as surely; it spreads settled rows over the tasks."""
+    return mix(doc.astype(np.uint64) ^ mix(first.astype(np.uint64), 61), 62).view(np.int64)
+
+
+#: A row that only tells that its name is shared, and no position.
+TOLD = -1
+
+
+def _shared_here(held: Columns) -> pd.DataFrame:
+    """Round 1 rows of one task. Grams that two documents of it have are settled: their positions go on as -2 - first, and one row tells."""
+    x = held.arrays()
+    gram, doc, first = x["gram"], x["doc"], x["first"].astype(np.int32)
+    order, start = _groups(gram)
+    own = doc[order]
+    several = np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start)
+    told = order[start[several]]
+    settled = np.zeros(len(gram), dtype=bool)
+    settled[order] = np.repeat(several, np.diff(np.append(start, len(order))))
+    name = np.where(settled, _own_names(doc, first), gram)
+    place = np.where(settled, -2 - first, first)
+    return pd.DataFrame({"gram": np.concatenate([name, gram[told]]), "doc": np.concatenate([doc, doc[told]]), "first": np.concatenate([place, np.full(len(told), TOLD, dtype=np.int32)])})
+
+
+def _covered_here(held: Columns) -> pd.DataFrame:
+    """Rows of a later round of one task. Of equal names the least document speaks; rows of later documents are covered: they go on as -1 - first."""
+    x = held.arrays()
+    order, start = _groups(x["n1"], x["n2"])
+    low = np.minimum.reduceat(x["doc"][order], start)
+    covered = np.zeros(len(order), dtype=bool)
+    covered[order] = np.repeat(low, np.diff(np.append(start, len(order)))) < x["doc"][order]
+    x["n1"] = np.where(covered, _own_names(x["doc"], x["first"]), x["n1"])
+    x["n2"] = np.where(covered, 0, x["n2"]).astype(np.int32)
+    x["first"] = np.where(covered, -1 - x["first"], x["first"]).astype(np.int32)
+    return pd.DataFrame(x)
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "utf-8")
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("t"), body.alias("data"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.hash(body).alias("t"), F.encode(body, "utf-8").alias("data"))
 
 
 def gram_ranks(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Round 1 input: doc, first window, rank of the speaker's gram."""
+    """Round 1 input: doc, first window, name of the speaker's gram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Columns("doc", "first", "gram")
         for pdf in batches:
-            held = Columns("doc", "first", "gram")
             for doc, data in zip(pdf["doc"], pdf["data"], strict=True):
                 for at, hashed, place, first, _ in speakers(data, length, gram):
                     held.add(len(first), doc=doc, first=first + at, gram=hashed.of(0, place, place + gram).view(np.int64))
-                    if held.size > 200_000:
-                        yield held.frame()
-            if held.size:
-                yield held.frame()
+                    if held.size > HELD:
+                        yield _shared_here(held)
+        if held.size:
+            yield _shared_here(held)
 
-    return rows.filter("doc is not null").select("doc", "data").mapInPandas(run, "doc long, first long, gram long")
+    return rows.filter("doc is not null").select("doc", "data").mapInPandas(run, "gram long, doc long, first int")
 
 
 def stretch_ranks(rows: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
-    """Round 2 input: gram, names of the stretch, doc, t, first and last window; for the places that are left."""
+    """Round 2 input: names of the stretch, part of the gram's name, doc, t, first window, how many more; for the places that are left."""
     listed = places.groupBy("doc").agg(F.collect_list("first").alias("firsts"))  # of one text: bounded by its length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Columns("n1", "n2", "gram", "doc", "t", "first", "more")
         for pdf in batches:
-            held = Columns("gram", "c1", "c2", "doc", "t", "first", "last")
             for doc, t, data, firsts in zip(pdf["doc"], pdf["t"], pdf["data"], pdf["firsts"], strict=True):
                 wanted = np.sort(firsts)
                 for at, hashed, place, first, last in speakers(data, length, gram):
@@ -173,61 +229,57 @@ def stretch_ranks(rows: DataFrame, places: DataFrame, length: int, gram: int) ->
                     place, first, last = place[own], first[own], last[own]
                     other = Hashed(np.frombuffer(data, dtype=np.uint8)[at : at + PIECE + length - 1], (1,))
                     shape = ((place - first) * 64 + last - first).astype(np.uint64)  # where the gram stands in it, and how long it is
-                    held.add(len(own), gram=hashed.of(0, place, place + gram).view(np.int64), c1=mix(hashed.of(0, first, last + length) ^ shape).view(np.int64), c2=_short(mix(other.of(1, first, last + length) ^ shape)), doc=doc, t=t, first=first + at, last=last + at)
-                    if held.size > 200_000:
-                        yield held.frame()
-            if held.size:
-                yield held.frame()
+                    held.add(len(own), n1=mix(hashed.of(0, first, last + length) ^ shape).view(np.int64), n2=_short(mix(other.of(1, first, last + length) ^ shape)), gram=_short(hashed.of(0, place, place + gram)), doc=doc, t=t, first=first + at, more=last - first)
+                    if held.size > HELD:
+                        yield _covered_here(held)
+        if held.size:
+            yield _covered_here(held)
 
-    return rows.join(listed, "doc").select("doc", "t", "data", "firsts").mapInPandas(run, "gram long, c1 long, c2 int, doc long, t long, first long, last long")
+    return rows.join(listed, "doc").select("doc", "t", "data", "firsts").mapInPandas(run, "n1 long, n2 int, gram int, doc long, t int, first int, more int")
 
 
 def window_ranks(rows: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     """Round 3 input: names of each single window of the stretches, doc, t, place."""
-    listed = stretches.groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    listed = stretches.groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("more").alias("mores"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Columns("n1", "n2", "doc", "t", "first")
         for pdf in batches:
-            held = Columns("w1", "w2", "doc", "t", "first")
-            for doc, t, data, firsts, lasts in zip(pdf["doc"], pdf["t"], pdf["data"], pdf["firsts"], pdf["lasts"], strict=True):
+            for doc, t, data, firsts, mores in zip(pdf["doc"], pdf["t"], pdf["data"], pdf["firsts"], pdf["mores"], strict=True):
                 whole = np.frombuffer(data, dtype=np.uint8)
-                count = lasts - firsts + 1
+                firsts, count = firsts.astype(np.int64), mores.astype(np.int64) + 1
                 starts = np.unique(np.repeat(firsts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 while len(starts):
                     at = int(starts[0])
                     cut = int(np.searchsorted(starts, at + PIECE))
                     own, starts = starts[:cut], starts[cut:]
                     hashed = Hashed(whole[at : int(own[-1]) + length])
-                    held.add(len(own), w1=hashed.of(0, own - at, own - at + length).view(np.int64), w2=_short(hashed.of(1, own - at, own - at + length)), doc=doc, t=t, first=own)
-                    if held.size > 200_000:
-                        yield held.frame()
-            if held.size:
-                yield held.frame()
+                    held.add(len(own), n1=hashed.of(0, own - at, own - at + length).view(np.int64), n2=_short(hashed.of(1, own - at, own - at + length)), doc=doc, t=t, first=own)
+                    if held.size > HELD:
+                        yield _covered_here(held)
+        if held.size:
+            yield _covered_here(held)
 
-    return rows.join(listed, ["doc", "t"]).select("doc", "t", "data", "firsts", "lasts").mapInPandas(run, "w1 long, w2 int, doc long, t long, first long")
+    return rows.join(listed, ["doc", "t"]).select("doc", "t", "data", "firsts", "mores").mapInPandas(run, "n1 long, n2 int, doc long, t int, first int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, t (hash of the text), first, last: windows first..last of the text also start in an earlier document."""
+    """doc, t (hash of the text), begins, ends: windows begins[i]..ends[i] of the text also start in an earlier document."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
     rows = _rows(docs, key, text)
 
     left = _shared_grams(rows, length, gram)
-    release(spark)
     two = stored(stretch_ranks(rows, left, length, gram))
-    release(spark)
     discard(left)
     ranked = _by_stretch(two)
     discard(two)
-    release(spark)
+    settled = _merged(ranked.filter("settled").select("doc", "t", "first", (F.col("first") + F.col("more")).alias("last")))
     open_ = _unsettled(ranked)
-    release(spark)
-    covered = ranked.filter("low < doc").select("doc", "t", "first", "last")
+    discard(ranked)
     single = _by_window(rows, open_, length)
     discard(open_)
     release(spark)
-    return covered.unionByName(single)
+    return settled.unionByName(single)
 
 
 def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -236,57 +288,78 @@ def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
     One exchange serves both sides, as both need all of its columns.
     """
     one = gram_ranks(rows, length, gram).repartition(partitions(rows.sparkSession), "gram")
-    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("any")).filter("low < high and any >= 0").select("gram")
-    return stored(one.join(several.hint("shuffle_hash"), "gram").select("doc", "first"))
+    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("least")).filter("low < high or least < 0").select("gram")
+    place = F.when(F.col("first") < 0, -2 - F.col("first")).otherwise(F.col("first")).alias("first")
+    return stored(one.join(several.hint("shuffle_hash"), "gram").filter(F.col("first") != TOLD).select("doc", place))
 
 
 def _by_stretch(two: DataFrame) -> DataFrame:
-    """Round 2: every stretch with the first document that has it. One exchange serves both sides."""
-    dealt = two.repartition(partitions(two.sparkSession), "gram", "c1", "c2")
-    least = dealt.groupBy("gram", "c1", "c2").agg(F.min("doc").alias("low"), F.min("first").alias("any"), F.max("last").alias("end"), F.max("t").alias("any_t")).filter("any >= 0 and end >= 0 and any_t is not null").select("gram", "c1", "c2", "low")
-    return stored(dealt.join(least.hint("shuffle_hash"), ["gram", "c1", "c2"]).select("gram", "doc", "t", "first", "last", "low"))
+    """Round 2: every stretch, whether an earlier document has it, and (where not yet known) the first document that has it. One exchange serves both sides."""
+    dealt = two.repartition(partitions(two.sparkSession), "n1", "n2")
+    least = dealt.groupBy("n1", "n2").agg(F.min("doc").alias("low"), F.max("gram").alias("g"), F.max("t").alias("any_t"), F.max("first").alias("any"), F.max("more").alias("end")).filter("g is not null and any_t is not null and any is not null and end >= 0").select("n1", "n2", "low")
+    here = F.col("first") < 0
+    return stored(dealt.join(least.hint("shuffle_hash"), ["n1", "n2"]).select("gram", "doc", "t", F.when(here, -1 - F.col("first")).otherwise(F.col("first")).alias("first"), F.col("more").cast("byte").alias("more"), (here | (F.col("low") < F.col("doc"))).alias("settled"), F.when(~here, F.col("low")).alias("low")))
 
 
 def _unsettled(ranked: DataFrame) -> DataFrame:
     """The earliest stretches of their kind whose gram also stands in stretches of another kind and first document."""
-    mixed = ranked.groupBy("gram").agg(F.min("low").alias("from"), F.max("low").alias("to")).filter("from < to").select("gram")
-    return stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "last"))
+    mixed = ranked.filter("low is not null").groupBy("gram").agg(F.min("low").alias("from"), F.max("low").alias("to")).filter("from < to").select("gram")
+    return stored(ranked.filter("low = doc").join(mixed, "gram", "left_semi").select("doc", "t", "first", "more"))
 
 
 def _by_window(rows: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Round 3: single windows that an earlier document has."""
-    three = window_ranks(rows, open_, length).repartition(partitions(rows.sparkSession), "w1", "w2")
-    earliest = three.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("any"), F.max("t").alias("t")).filter("low < high and any >= 0 and t is not null").select("w1", "w2", "low")
-    return stored(three.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter("low < doc").select("doc", "t", "first", F.col("first").alias("last")))
+    """Round 3: single windows that an earlier document has, as runs."""
+    three = window_ranks(rows, open_, length).repartition(partitions(rows.sparkSession), "n1", "n2")
+    earliest = three.groupBy("n1", "n2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("least"), F.max("t").alias("any_t")).filter("(low < high or least < 0) and any_t is not null").select("n1", "n2", "low")
+    here = F.col("first") < 0
+    place = F.when(here, -1 - F.col("first")).otherwise(F.col("first"))
+    found = three.join(earliest.hint("shuffle_hash"), ["n1", "n2"]).filter(here | (F.col("low") < F.col("doc")))
+    return _merged(found.select("doc", "t", place.alias("first"), place.alias("last")))
+
+
+def _runs(firsts: np.ndarray, lasts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of intervals; those that lie at most ``gap`` apart are one."""
+    order = np.argsort(firsts, kind="stable")
+    begin, end = firsts[order], np.maximum.accumulate(lasts[order])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1] + gap]))
+    return begin[new], end[np.concatenate([new[1:], [len(end)]]) - 1]
+
+
+def _merged(windows: DataFrame) -> DataFrame:
+    """doc, t, begins, ends: the windows first..last of each text as runs; of one text, so bounded by its length."""
+    listed = windows.groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                found = [_runs(x, y, 1) for x, y in zip(pdf["firsts"], pdf["lasts"], strict=True)]
+                yield pdf[["doc", "t"]].assign(begins=[x for x, _ in found], ends=[y for _, y in found])
+
+    return stored(listed.mapInPandas(run, "doc long, t int, begins array<int>, ends array<int>"))
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept binary for every row of ``docs``."""
-    listed = spans.groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+def remove_spans(docs: DataFrame, spans: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", kept_text: bool = True) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept binary, for every row of ``docs``."""
+    listed = spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if kept_text else 5]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, data, firsts, lasts in zip(pdf["doc"], pdf["data"], pdf["firsts"], pdf["lasts"], strict=True):
+            for doc, data, begins, ends in zip(pdf["doc"], pdf["data"], pdf["begins"], pdf["ends"], strict=True):
                 data = data or b""
-                if firsts is None or not len(firsts):
-                    out.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
-                    continue
-                order = np.argsort(firsts, kind="stable")
-                begin, end = firsts[order], np.maximum.accumulate(lasts[order] + length)
-                new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))  # runs that touch are one
-                begin, end = begin[new], end[np.concatenate([new[1:], [len(end)]]) - 1]
+                begin, end = _runs(begins, ends + length, 0) if begins is not None and len(begins) else (np.zeros(0, dtype=np.int64),) * 2
                 kept = b"".join(data[i:j] for i, j in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(new), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc": "Int64"})
+                out.append((doc, len(data), len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+            yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"})
 
-    joined = _rows(docs, key, text).join(listed, ["doc", "t"], "left").select("doc", "data", "firsts", "lasts")
-    return joined.mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("doc", key)
+    joined = _rows(docs, key, text).join(listed, ["doc", "t"], "left").select("doc", "data", "begins", "ends")
+    return joined.mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text).withColumnRenamed("doc", key)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return remove_spans(docs, repeated_spans(docs)).drop("kept")
+    return remove_spans(docs, repeated_spans(docs), kept_text=False)
 
 
 ORACLE_OP1 = """

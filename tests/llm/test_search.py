@@ -56,6 +56,22 @@ def test_suffix_dedup_odd_rows(spark):
     assert dedup(spark.createDataFrame([], DOCS)) == []
 
 
+@pytest.mark.parametrize("held", [1 << 20, 300])
+def test_suffix_dedup_of_a_line_in_a_third_of_the_documents(spark, monkeypatch, held):
+    """However few rows a task aggregates at a time."""
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rnd = random.Random(6)
+    line = "This line stands in every third document of the whole collection, at any place. "
+    rows = []
+    for i in range(240):
+        words = [rnd.choice(["alpha ", "beta ", "gamma ", "delta ", "epsilon "]) + str(rnd.randint(0, 999)) for _ in range(rnd.randint(5, 60))]
+        if i % 3 == 0:
+            words.insert(rnd.randrange(len(words)), line)
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, rows[i][1]) for i in range(0, 40)]
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute_dedup(rows), key=repr)
+
+
 def test_pieces_of_long_texts_agree(monkeypatch):
     data = LONG[:30_000].encode()
     whole = [(at + f.tolist()[i], at + p.tolist()[i]) for at, _, p, f, _ in suffix_dedup.speakers(data) for i in range(len(f))]
