@@ -288,9 +288,10 @@ def _shared_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
     One exchange serves both sides, as both need all of its columns.
     """
     one = gram_ranks(rows, length, gram).repartition(partitions(rows.sparkSession), "gram")
-    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("least")).filter("low < high or least < 0").select("gram")
+    several = one.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("first").alias("least")).filter("low < high or least < 0").select("gram", "low")
     place = F.when(F.col("first") < 0, -2 - F.col("first")).otherwise(F.col("first")).alias("first")
-    return stored(one.join(several.hint("shuffle_hash"), "gram").filter(F.col("first") != TOLD).select("doc", place))
+    position = (F.col("first") != TOLD) | F.col("low").isNull()  # names both sides, else it would go below one of them and make a second exchange
+    return stored(one.join(several.hint("shuffle_hash"), "gram").filter(position).select("doc", place))
 
 
 def _by_stretch(two: DataFrame) -> DataFrame:
