@@ -15,7 +15,9 @@ Defined results: a null or empty payload is a record of no bytes; ARC dates
 of fewer than 14 digits are padded with the smallest valid date parts; a
 malformed header line raises, since a wrong length would corrupt what follows; an
 empty input gives no rows. Inputs are selected by name, so extra columns do no
-harm.
+harm. Rows that repeat a key are records of their own, and those of equal payload are treated alike (with the
+largest key: all are responses); rows that repeat a key and a payload describe one capture and share its
+identifier. A null key counts as the least. A very long payload is one record, held whole by one task at a time.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import shared_dir, small_batches, table
+from inkgraph.llm.common import shared_dir, table
 
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARC_BYTES = 4 << 20
-#: Bounds a WARC file, and so what one reader task holds.
-RECORDS_PER_FILE = 20_000
+#: Bytes of records, on average, that go into one WARC file; a reader holds a file at a time, or as many as Spark packs into one partition.
+FILE_BYTES = 32 << 20
 WARC_SCHEMA = "key long, url string, record_id string, warc_date string, warc_type string, mime string, http string, payload binary, payload_bytes long, payload_digest string, block_digest string"
 READ_SCHEMA = "key long, url string, record_id string, warc_type string, payload binary, payload_bytes long, payload_digest string, refers_to_id string, refers_to_key long"
 
@@ -102,29 +104,51 @@ def to_warc(fields: dict[str, str], block: bytes) -> dict:
     return {"key": key, "url": url, "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}", "warc_date": date, "warc_type": kind, "mime": fields["Content-type"], "http": http.decode("utf-8", "replace"), "payload": payload, "payload_bytes": len(payload), "payload_digest": digest, "block_digest": base32_sha1(block)}
 
 
+def _packed(batches: Iterator[pd.DataFrame], date: str) -> Iterator[bytes]:
+    """ARC files of about ``ARC_BYTES``, version 1 and 2 in turn."""
+    version, parts, held = 1, [], 0
+    for pdf in batches:
+        for k, u, b in zip(pdf["key"], pdf["url"], pdf["body"], strict=True):
+            b = b or b""
+            named = "" if pd.isna(k) else f"X-Record-Key:{int(k)}\r\n"
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(b)}\r\n{named}\r\n"
+            if not parts:
+                parts, held = [arc_version_block(version, date)], 0
+            parts.append(arc_record(version, u or "", "0.0.0.0", date, "text/html", head.encode() + b, held))
+            held += len(parts[-1])
+            if held >= ARC_BYTES:
+                yield b"".join(parts)
+                version, parts = 3 - version, []
+    if parts:
+        yield b"".join(parts)
+
+
+def _converted(archives: Iterator[bytes | None]) -> Iterator[pd.DataFrame]:
+    """WARC fields of the records of each archive, about ``ARC_BYTES`` at a time."""
+    for data in archives:
+        rows, size = [], 0
+        for _, fields, block in parse_arc(data or b""):
+            rows.append(to_warc(fields, block))
+            size += len(block)
+            if size >= ARC_BYTES:
+                yield pd.DataFrame(rows).astype({"key": "Int64"})
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows).astype({"key": "Int64"})
+
+
+def _narrow(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
+    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(body).cast("binary").alias("body"))
+
+
 def pack_arc(pages: DataFrame, key: str, url: str, body: str, date: str = "20240101000000") -> DataFrame:
     """Rows -> ARC files of about ``ARC_BYTES``, version 1 and 2 in turn; ``archive binary``."""
-    small_batches(pages.sparkSession, 256)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        version, parts, held = 1, [], 0
-        for pdf in batches:
-            for k, u, b in zip(pdf["key"], pdf["url"], pdf["body"], strict=True):
-                b = b or b""
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(b)}\r\nX-Record-Key:{'' if pd.isna(k) else int(k)}\r\n\r\n"
-                head = head.replace("X-Record-Key:\r\n", "")
-                if not parts:
-                    parts, held = [arc_version_block(version, date)], 0
-                parts.append(arc_record(version, u or "", "0.0.0.0", date, "text/html", head.encode() + b, held))
-                held += len(parts[-1])
-                if held >= ARC_BYTES:
-                    yield pd.DataFrame({"archive": [b"".join(parts)]})
-                    version, parts = 3 - version, []
-        if parts:
-            yield pd.DataFrame({"archive": [b"".join(parts)]})
-
-    narrow = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(body).cast("binary").alias("body"))
-    return narrow.mapInPandas(pack, "archive binary")
+        for archive in _packed(batches, date):
+            yield pd.DataFrame({"archive": [archive]})
+
+    return _narrow(pages, key, url, body).mapInPandas(pack, "archive binary")
 
 
 def convert(archives: DataFrame, column: str = "archive") -> DataFrame:
@@ -132,38 +156,44 @@ def convert(archives: DataFrame, column: str = "archive") -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf["archive"]:
-                rows, size = [], 0
-                for _, fields, block in parse_arc(data or b""):
-                    rows.append(to_warc(fields, block))
-                    size += len(block)
-                    if size >= ARC_BYTES:
-                        yield pd.DataFrame(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows).astype({"key": "Int64"})
+            yield from _converted(iter(pdf["archive"]))
 
     return archives.select(F.col(column).alias("archive")).mapInPandas(parse, WARC_SCHEMA)
 
 
+def through_arc(pages: DataFrame, key: str, url: str, body: str, date: str = "20240101000000") -> DataFrame:
+    """`pack_arc` and `convert` in one task, which so holds one archive at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _converted(_packed(batches, date))
+
+    return _narrow(pages, key, url, body).mapInPandas(run, WARC_SCHEMA)
+
+
 def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Among equal payloads of at least ``min_bytes`` the largest key is the response, the others revisit it.
 
-    Only keys and digests are grouped and shuffled; payloads move once, by key. A digest
-    shared by a third of all rows stays one partially aggregated row, and the join that
+    Only keys and digests are grouped and shuffled; payloads move once, by key and digest, which name a record and
+    its copies. A digest shared by a third of all rows stays one partially aggregated row, and the join that
     looks it up is one that adaptive execution can split.
     """
     keyed = records.filter("warc_type = 'response'").select("key", "record_id", "url", "payload_digest", "payload_bytes")
-    groups = keyed.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max_by(F.struct("key", "record_id", "url"), F.col("key")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first")
-    refers = keyed.join(groups, "payload_digest").filter(F.col("key") < F.col("first.key")).select("key", F.col("first.key").alias("refers_to_key"), F.col("first.record_id").alias("refers_to_id"), F.col("first.url").alias("refers_to_url"))
-    return records.join(refers, "key", "left").withColumn("warc_type", F.when(F.col("refers_to_id").isNotNull(), "revisit").otherwise(F.col("warc_type")))
+    order = F.struct(F.col("key").isNotNull().alias("some"), "key", "record_id")
+    groups = keyed.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max_by(F.struct("key", "record_id", "url"), order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first")
+    refers = keyed.join(groups, "payload_digest").filter(F.col("first.key").isNotNull() & (F.col("key").isNull() | (F.col("key") < F.col("first.key"))))
+    refers = refers.groupBy("key", "payload_digest").agg(F.first(F.struct(F.col("first.key").alias("key"), F.col("first.record_id").alias("id"), F.col("first.url").alias("url"))).alias("to"))
+    refers = refers.select(F.col("key").alias("own"), F.col("payload_digest").alias("own_digest"), F.col("to.key").alias("refers_to_key"), F.col("to.id").alias("refers_to_id"), F.col("to.url").alias("refers_to_url"))
+    joined = records.join(refers, F.col("key").eqNullSafe(F.col("own")) & (F.col("payload_digest") == F.col("own_digest")) & (F.col("warc_type") == "response"), "left").drop("own", "own_digest")
+    return joined.withColumn("warc_type", F.when(F.col("refers_to_id").isNotNull(), "revisit").otherwise(F.col("warc_type")))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One gzip-compressed WARC file per partition, through Spark's committed text writer.
+def write_warc(records: DataFrame, path: str, mean_bytes: float | None = None) -> None:
+    """gzip-compressed WARC files of about FILE_BYTES, through Spark's committed text writer.
 
-    A record ends in CR LF CR LF; the writer's line end is the last of those bytes.
+    A record ends in CR LF CR LF; the writer's line end is the last of those bytes. Spark bounds files by
+    records, so their number follows from the mean size of a payload, which is measured where it is not given.
     """
+    mean = 1000 + ((records.agg(F.avg("payload_bytes")).first()[0] or 0) if mean_bytes is None else mean_bytes)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     optional = lambda name, value: F.when(value.isNotNull(), line(name, value)).otherwise("")
     body = F.when(F.col("warc_type") == "revisit", F.encode("http", "utf-8")).otherwise(F.concat(F.encode("http", "utf-8"), F.coalesce("payload", F.lit(b""))))
@@ -175,7 +205,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("Content-Type", F.when(F.col("http") != "", F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))), line("Content-Length", F.length("body").cast("string")), F.lit("\r\n"),
     )
     record = F.concat(F.encode("head", "utf-8"), F.col("body"), F.lit(b"\r\n\r")).cast("string")
-    records.withColumn("body", body).withColumn("head", head).select(record.alias("value")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").text(path)
+    records.withColumn("body", body).withColumn("head", head).select(record.alias("value")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / mean))).option("lineSep", "\n").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -233,17 +263,15 @@ def read_warc(spark, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows).astype({"key": "Int64", "refers_to_key": "Int64"})
 
-    small = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file at a time
-    return small.mapInPandas(parse, READ_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInPandas(parse, READ_SCHEMA)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """All ``pages`` through ARC files and WARC archives, and back."""
     pages = table(spark, sf_dir, "pages")
-    records = mark_revisits(convert(pack_arc(pages, "page_id", "url", "html")).filter("warc_type != 'warcinfo'"))
+    records = mark_revisits(through_arc(pages, "page_id", "url", "html").filter("warc_type != 'warcinfo'"))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(records, path)
+    write_warc(records, path, pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0)
     return read_warc(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
 
 
