@@ -2,14 +2,19 @@
 
 A page becomes a flat sequence of text blocks, cut at block-level tags. Each block
 has its number of words and its link density (share of words inside links), the same
-of the block before and of the block after, whether it is a heading, and what its
-enclosing elements are called. A decision tree, trained by `train_tree` on the small
-labelled table below, classifies blocks as content or not.
+of the block before and of the block after, whether it is a heading or a paragraph, and what the enclosing
+elements say of themselves. A decision tree classifies blocks as content or not. It is trained by `train_tree` on the
+blocks of `LABELLED`, a small table of pages whose blocks are labelled by hand: with and without
+semantic tags, with and without class names.
+
+What an element says of itself is one feature among the others: the nearest element that says anything counts (an
+article inside a container with an odd name is an article again), names such as ``has-comments`` or ``with-sidebar`` say
+what an element has, not what it is, and whether any enclosing element is off the article is a feature of its own.
 
 Defined results: null or empty html gives an empty text; markup cut short at the end of the
 page is dropped; ``<`` that opens no tag is text; script, style and
-comments are never text; a ``<br>`` is white space inside its block; a page without content
-blocks gives an empty text; rows that repeat are extracted one by one.
+comments are never text, formulas are; a ``<br>`` is white space inside its block; a page without content
+blocks gives an empty text; rows that repeat are extracted one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,24 +24,29 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import small_batches, table
+from inkgraph.llm.common import free_names, table
 
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text.
-SILENT_TAGS = frozenset("script style noscript template svg iframe object canvas textarea title head button select math audio video".split())
+SILENT_TAGS = frozenset("script style noscript template svg iframe object canvas textarea title head button select audio video".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe template svg select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements, and words in class, id and role, that name what is not the article ...
 OFF_TAGS = frozenset("nav footer header aside form menu dialog fieldset".split())
-OFF_WORDS = re.compile(r"(?<![a-z])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|topbar|breadcrumb\w*|header|footer|foot|masthead|side-?bar\w*|side|widget\w*|aside|related|recommend\w*|share|sharing|social|cookie\w*|consent|notice\w*|popup|modal|overlay|alert|newsletter|subscribe\w*|signup|login|search|form|comment\w*|replies|reply|disqus|discussion|respond|pagination|pager|copyright|legal|disclaimer|skip|toolbar|tags|complementary|contentinfo)(?![a-z])")
+OFF_WORDS = re.compile(r"(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|topbar|breadcrumb\w*|header|footer|foot|masthead|sidebar\w*|side|widget\w*|aside|related|recommend\w*|share|sharing|social|cookie\w*|consent|notice\w*|popup|modal|overlay|alert|newsletter|subscribe\w*|signup|login|search|form|comment\w*|replies|reply|disqus|discussion|respond|pagination|pager|copyright|legal|disclaimer|skip|toolbar|tags|complementary|contentinfo)")
 #: ... and what is.
 ON_TAGS = frozenset("article main".split())
-ON_WORDS = re.compile(r"(?<![a-z])(?:article|articlebody|content|main|post|entry|story|body|text)(?![a-z])")
+ON_WORDS = re.compile(r"(?:article|articlebody|content|main|post|entry|story|body|text)")
+#: A name that begins so says what an element has or how it looks.
+HAS = frozenset("has with no without is show hide hidden js page layout theme".split())
+#: One that ends so names an arrangement, not a part.
+ARRANGED = frozenset("layout page grid theme".split())
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -48,27 +58,34 @@ class Block:
     words: int
     linked: int
     heading: int
-    hint: int
+    paragraph: int
+    named: int
+    inside: int
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _hint(tag: str, attributes: str) -> int:
+def _named(tag: str, attributes: str) -> int:
     """-1: not the article; 1: the article; 0: does not say."""
     if tag in OFF_TAGS:
         return -1
-    named = ""
+    on = tag in ON_TAGS
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "hidden" or m[1].lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return -1
-        if m[1].lower() in ("class", "id", "role"):
-            named += " " + value
-    if tag not in ("html", "body") and OFF_WORDS.search(named):
-        return -1
-    return int(tag in ON_TAGS or bool(ON_WORDS.search(named)))
+        if kind in ("hidden", "style") or tag in ("html", "body"):
+            continue
+        for name in value.split():
+            parts = [x.lower() for x in _PART.split(name) if x]
+            if not parts or len(parts) > 1 and (parts[0] in HAS or parts[-1] in ARRANGED):
+                continue
+            if any(OFF_WORDS.fullmatch(x) for x in parts) and not (on and tag in ON_TAGS and not OFF_WORDS.fullmatch(parts[0])):
+                return -1
+            on = on or any(ON_WORDS.fullmatch(x) for x in parts)
+    return int(on)
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,14 +93,16 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements and what they and those around them say
+    stack: list[tuple[str, int, int]] = []  # open elements, what the nearest that says anything says, and whether any is off the article
     in_link = in_heading = 0
 
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, len(text.split(" ")), len(html.unescape("".join(linked)).split()), int(in_heading > 0), stack[-1][1] if stack else 0))
+                _, named, inside = stack[-1] if stack else ("", 0, 0)
+                paragraph = any(x[0] in ("p", "blockquote", "pre") for x in stack[-4:])
+                out.append(Block(text, len(text.split(" ")), len(html.unescape("".join(linked)).split()), int(in_heading > 0), int(paragraph), named, inside))
             parts.clear()
             linked.clear()
 
@@ -140,54 +159,61 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "dl"):
                     break
-        outer = stack[-1][1] if stack else 0
-        own = _hint(tag, attributes)
-        stack.append((tag, -1 if outer < 0 or own < 0 else max(outer, own)))
+        _, outer, inside = stack[-1] if stack else ("", 0, 0)
+        own = _named(tag, attributes)
+        stack.append((tag, own if own < 0 or own > 0 and (outer >= 0 or tag in ON_TAGS) else outer, int(inside or own < 0)))
     close()
     return out
 
 
-#: hint, words, density, words before, density before, words after, density after, heading; content or not. Labelled by hand.
-FEATURES = ("hint", "words", "density", "words_before", "density_before", "words_after", "density_after", "heading")
+FEATURES = ("named", "inside", "words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "paragraph")
+# Labelled by hand: +n is n words of content, -n is n words that are not, #n is n more words of the same block.
 LABELLED = [
-    (1, 60, 0.00, 40, 0.0, 55, 0.0, 0, 1),
-    (1, 3, 0.00, 1, 1.0, 90, 0.0, 1, 1),
-    (1, 9, 0.00, 8, 0.0, 70, 0.0, 1, 1),
-    (1, 1, 0.00, 50, 0.0, 30, 0.0, 0, 1),
-    (1, 4, 0.00, 80, 0.0, 9, 0.1, 0, 1),
-    (1, 200, 0.05, 12, 0.0, 0, 0.0, 0, 1),
-    (1, 35, 0.30, 60, 0.0, 60, 0.0, 0, 1),
-    (1, 2, 0.00, 0, 0.0, 6, 0.1, 0, 1),
-    (1, 6, 0.50, 50, 0.0, 60, 0.0, 0, 1),
-    (1, 4, 1.00, 60, 0.0, 3, 1.0, 0, 0),
-    (1, 2, 1.00, 3, 1.0, 2, 1.0, 0, 0),
-    (1, 12, 0.90, 80, 0.0, 11, 0.95, 0, 0),
-    (-1, 1, 1.00, 0, 0.0, 1, 1.0, 0, 0),
-    (-1, 2, 1.00, 1, 1.0, 2, 1.0, 0, 0),
-    (-1, 14, 0.00, 1, 1.0, 11, 0.0, 0, 0),
-    (-1, 60, 0.00, 40, 0.0, 8, 0.0, 0, 0),
-    (-1, 9, 0.00, 80, 0.0, 0, 0.0, 0, 0),
-    (-1, 120, 0.02, 90, 0.0, 30, 0.0, 0, 0),
-    (-1, 4, 0.00, 30, 0.0, 20, 0.0, 1, 0),
-    (-1, 25, 0.10, 10, 1.0, 60, 0.0, 0, 0),
-    (0, 1, 1.00, 0, 0.0, 1, 1.0, 0, 0),
-    (0, 3, 1.00, 2, 1.0, 40, 0.0, 0, 0),
-    (0, 15, 0.80, 3, 1.0, 5, 0.9, 0, 0),
-    (0, 6, 0.00, 3, 1.0, 2, 1.0, 0, 0),
-    (0, 5, 0.00, 0, 0.0, 1, 1.0, 0, 0),
-    (0, 8, 0.00, 4, 1.0, 5, 0.0, 0, 0),
-    (0, 45, 0.00, 30, 0.0, 60, 0.0, 0, 1),
-    (0, 70, 0.10, 5, 0.0, 40, 0.0, 0, 1),
-    (0, 25, 0.00, 60, 0.0, 50, 0.0, 0, 1),
-    (0, 30, 0.05, 3, 1.0, 35, 0.0, 0, 1),
-    (0, 6, 0.00, 40, 0.0, 50, 0.0, 1, 1),
-    (0, 5, 0.00, 1, 1.0, 45, 0.0, 1, 1),
-    (0, 7, 0.00, 50, 0.0, 60, 0.0, 0, 1),
-    (0, 3, 0.00, 55, 0.0, 70, 0.0, 0, 1),
+    # plain containers, no names
+    "<div><a>-1</a></div><div><a>-1</a></div><div><a>-2</a></div><h1>+8</h1><div><p>+60</p><p>+2</p><p>+30</p><p>+45</p><p>+3</p></div><div>-7</div>",
+    "<div><p>+60</p><p>+2</p><p>+30</p></div>",
+    "<div><p>+60</p><p>+25</p><p>+4</p></div>",
+    "<p>+12</p><p>+9</p><p>+80</p><p>+1</p>",
+    "<p>+1</p>", "<p>+5</p><p>+3</p>", "<div>+70</div><div>+35</div>", "<h1>+6</h1><p>+15</p>",
+    "<table><tr><td><a>-1</a></td><td><a>-2</a></td><td><a>-1</a></td></tr><tr><td><h2>+5</h2><p>+50 <a>#3</a> #20</p><p>+18</p><p>+90</p></td></tr><tr><td>-5 <a>#2</a></td></tr></table>",
+    "<ul><li><a>-1</a></li><li><a>-2</a></li><li><a>-3</a></li></ul><h1>+9</h1><p>+40</p><ul><li>+6</li><li>+14</li><li>+9</li></ul><p>+33</p><h2>+4</h2><p>+120</p><p>+8</p><div><a>-4</a></div><div><a>-6</a></div><div>-6</div>",
+    "<div><a>-2</a> | <a>#2</a> | <a>#1</a></div><div>+55</div><div>+20</div><div>+75 <a>#6</a></div><div><a>-9</a></div><div><a>-8</a></div><div>-8 <a>#2</a></div>",
+    "<h1>+7</h1><div>-4 <a>#2</a></div><p>+24</p><p>+31 <a>#8</a> #4</p><blockquote>+22</blockquote><pre>+16</pre><p>+5</p><div><a>-1</a> <a>#1</a> <a>#1</a></div>",
+    "<p><a>-5</a></p><p><a>-7</a></p><p>+70</p><p>+6 <a>#2</a></p><p>+64</p><p><a>-6</a></p>",
+    "<div><p>+40</p><p>+7 <a>#9</a> #3</p><p>+55</p></div><div><h3>-2</h3><ul><li><a>-7</a></li><li><a>-9</a></li><li><a>-8</a></li></ul></div>",
+    "<ul><li><a>-2</a></li><li>-2</li><li><a>-1</a></li><li>-3</li><li><a>-2</a></li></ul><h1>+6</h1><p>+30</p><ul><li>+2</li><li>+3</li><li>+2</li></ul><p>+28</p>",
+    "<div>+42</div><ul><li>+1</li><li>+2</li><li>+4</li></ul><div>+31</div><div><a>-3</a></div><div>-2</div><div><a>-3</a></div>",
+    # semantic tags, no names
+    "<header><a>-2</a><p>-9</p></header><nav><ul><li><a>-1</a></li><li><a>-1</a></li></ul></nav><main><h1>+7</h1><p>+50</p><p>+3</p><p>+26</p></main><aside><h3>-2</h3><p>-30</p></aside><footer><p>-14</p><p>-60</p></footer>",
+    "<nav><a>-1</a></nav><article><h1>+8</h1><p>+2</p><p>+44</p><div>+30</div><ul><li>+3</li><li><a>+4</a></li></ul><p>+1</p></article><footer>-6</footer>",
+    "<article><h1>+5</h1><p>+65</p><aside><p>-25</p></aside><p>+40</p><form><p>-9</p></form><p>+2</p></article><aside><article><h3>-6</h3><p>-12 <a>#2</a></p></article></aside>",
+    "<main><p>+12</p><p>+6</p></main><footer><div>-3</div><div>-90</div></footer>", "<article><p>+1</p></article>", "<article><p>+9</p><p>+7</p></article>",
+    "<article><p>+30</p><p>+5 <a>#8</a></p><p>+28</p></article>", "<article>+200</article>", "<main><ul><li>+2</li><li>+5</li><li>+1</li></ul></main>",
+    # names
+    "<div class='menu'><a>-1</a><p>-8</p></div><div id='content'><h1>+6</h1><p>+35</p><p>+70</p><p>+4</p></div><div class='sidebar'><p>-40</p><p>-22</p></div><div id='footer'><p>-20</p></div>",
+    "<div class='ad'>-11</div><article><h1>+9</h1><p>+60</p><p>+14</p></article><div class='ad'>-9</div><section class='comments'><p>-34</p><p>-60</p><p>-12</p></section><footer>-4</footer>",
+    "<div id='cookie-notice'><p>-16</p></div><div class='post'><p>+48</p><p>+3</p></div><div class='comments'><div><p>-50</p></div><div><p>-9</p></div></div>",
+    "<div class='newsletter'><p>-12</p></div><div class='story'><p>+20</p><p>+33</p></div><div class='related'><h3>-2</h3><p>-28</p></div><div id='disqus'><p>-45</p><p>-70</p><p>-3</p></div>",
+    "<div id='main' class='with-sidebar'><h1>+6</h1><p>+52</p><p>+2</p><div class='sidebar'><p>-18</p></div></div>",
+    "<article class='post has-comments'><p>+60</p><p>+24</p><p>+5</p></article><div class='comment-list'><article class='comment'><p>-30</p></article><article class='comment'><p>-8</p></article></div>",
+    "<div class='sidebar-left'><article><h1>+7</h1><p>+58</p><p>+3</p><p>+47</p></article></div>", "<div class='banner'><p>-65</p></div><p>+50</p><p>+41</p>",
+    "<div class='sponsored'><p>-38</p></div><div class='entry'><p>+1</p><p>+90</p></div><div class='share'>-3</div><div class='tags'><a>-1</a> <a>#1</a></div>",
+    "<div class='header-layout'><article><p>+29</p><p>+36</p><p>+7</p></article></div>", "<div class='widget'><p>-26</p><p>-44</p></div><div class='text'><p>+10</p></div>",
 ]
+_SIGN = re.compile(r"([-+#])(\d+)")
 
 
-def train_tree(rows: list[tuple], depth: int = 6) -> tuple | int:
+def labelled(pages: list[str] | None = None) -> list[tuple]:
+    """Features and class of every block of the labelled pages."""
+    rows = []
+    for page in LABELLED if pages is None else pages:
+        words = lambda m: " ".join([{"+": "yes", "-": "no", "#": "word"}[m[1]], *["word"] * (int(m[2]) - 1)])
+        found = blocks(_SIGN.sub(words, page))
+        rows += [(*features(found, i), int(b.text.startswith("yes"))) for i, b in enumerate(found)]
+    return rows
+
+
+def train_tree(rows: list[tuple], depth: int = 12) -> tuple | int:
     """A binary tree by Gini impurity: (feature, threshold, at most, above), or the class of a leaf."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
@@ -219,32 +245,34 @@ def classify(tree: tuple | int, features: tuple) -> int:
     return tree
 
 
-NONE = Block("", 0, 0, 0, 0)
+NONE = Block("", 0, 0, 0, 0, 0, 0)
+
+
+def features(found: list[Block], i: int) -> tuple:
+    b, p, q = found[i], found[i - 1] if i else NONE, found[i + 1] if i + 1 < len(found) else NONE
+    return b.named, b.inside, b.words, b.density, p.words, p.density, q.words, q.density, b.heading, b.paragraph
 
 
 def main_text(page: str | None, tree: tuple | int) -> str:
     found = blocks(page or "")
-    kept = []
-    for i, b in enumerate(found):
-        p, q = found[i - 1] if i else NONE, found[i + 1] if i + 1 < len(found) else NONE
-        if classify(tree, (b.hint, b.words, b.density, p.words, p.density, q.words, q.density, b.heading)):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+    return "\n\n".join(b.text for i, b in enumerate(found) if classify(tree, features(found, i)))
 
 
 def extract(pages: DataFrame, column: str = "html", tree: tuple | int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns in ``keep``, text and n_chars, from the whole html of every row."""
-    small_batches(pages.sparkSession, 256)
-    tree = train_tree(LABELLED) if tree is None else tree
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(p, tree) for p in pdf["page_html"]]
-            yield pdf.drop(columns="page_html").assign(text=texts, n_chars=[len(t) for t in texts])
-
-    chosen = pages.select(*keep, F.col(column).alias("page_html"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "page_html"]
-    return chosen.mapInPandas(run, ", ".join([*fields, "text string", "n_chars long"]))
+    """The columns in ``keep``, which pass as they are, and text and n_chars, from the whole html of every row."""
+    tree = train_tree(labelled()) if tree is None else tree
+    if clash := {"text", "n_chars"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns to keep are named as results: {sorted(clash)}")
+    place = free_names([*keep, "text", "n_chars"], "page_html")[0]
+    chosen = pages.select(*keep, F.col(column).alias(place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(p, tree) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    return chosen.mapInArrow(run, ", ".join([*fields, "text string", "n_chars long"]))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
