@@ -4,18 +4,20 @@ One pattern finds e-mail addresses, IPv4 addresses, phone numbers, payment cards
 secrets and titled personal names. Each distinct entity gets one surrogate for the
 whole corpus, drawn from SHA-256 of a key, its type, its canonical form and an attempt
 number, in the same format: digits for digits in the same grouping (cards keep a valid
-check digit), hexadecimal for hexadecimal in the same case, octets for octets, letters
-for letters of the same script, a first name of the same gender for a name.
+check digit, phone numbers their country code), hexadecimal for hexadecimal in the same case, octets for octets, a name
+in the same script and of the same gender for a name. A name under titles of both genders is two entities.
 
 Surrogates are checked: one that another entity also drew, or that is itself an entity of
 the corpus, is drawn again by all but the least of those entities, until all are distinct (distinctness);
-equal entities share their surrogate wherever they occur (coreference).
+equal entities share their surrogate wherever they occur (coreference). Every draw keeps the format. Where a
+format is so full that ``ATTEMPTS`` draws did not find a free form, a surrogate may equal an entity
+of the corpus, but no other surrogate; where ``LAST`` draws find none either, the run fails rather than give two
+entities one surrogate.
 
 Numbers that are not valid cards, and dotted numbers that are not addresses, stay as
 they are. Defined results: null text stays null; text without an entity stays byte for
-byte the same; rows that repeat are rewritten alike; other columns pass through,
-whatever their names; an empty table gives no rows. Columns named in `added` replace
-input columns of that name.
+byte the same, an empty or very long one too; rows that repeat are rewritten alike; other columns pass through,
+whatever their names (where n_entities is one of them, the added column gets an underscore more); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +25,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import durable, table
+from inkgraph.llm.common import durable, free_names, table
 
 # Fixed lists, chosen here.
 FEMALE = ["Alice", "Anna", "Clara", "Diana", "Elena", "Emma", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Sara"]
 MALE = ["Adam", "Boris", "Carl", "David", "Edward", "Frank", "George", "Henry", "Ivan", "James", "Leo", "Martin", "Oscar", "Paul", "Robert", "Victor"]
 FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"]
 MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Сергей"]
+FEMALE_GREEK = ["Άννα", "Ελένη", "Ειρήνη", "Ζωή", "Μαρία", "Νίκη", "Σοφία", "Χαρά"]
+MALE_GREEK = ["Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος"]
+FEMALE_ARMENIAN = ["Աննա", "Անի", "Արփի", "Գայանե", "Լուսինե", "Մարիամ", "Նարե", "Սոնա"]
+MALE_ARMENIAN = ["Արամ", "Արթուր", "Գարիկ", "Դավիթ", "Հայկ", "Նարեկ", "Սարգիս", "Տիգրան"]
+LATIN_PARTS = ["ba", "ve", "do", "ka", "le", "mi", "no", "ro", "sa", "tu", "wen", "fi"]
+CYRILLIC_PARTS = ["ба", "ве", "до", "ка", "ле", "ми", "но", "ро", "са", "ту"]
+GREEK_PARTS = ["βα", "γε", "δο", "κα", "λε", "μι", "νο", "ρο", "σα", "τυ"]
+ARMENIAN_PARTS = ["բա", "գե", "դո", "կա", "լե", "մի", "նո", "րո", "սա", "տու"]
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "[17]", "20|27|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Госпожа"]
 MALE_TITLES = ["Mr", "Monsieur", "Herr", "Señor", "Господин"]
 
@@ -43,10 +55,8 @@ NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IP, PHONE, CARD, SECRET, NAME))
 #: What any entity has in it; quicker to look for.
 HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{_TITLE})[. ]"
-#: Draws after which digits of the attempt are appended, should a format be too small for its entities.
-ATTEMPTS = 24
-
-added = ("text", "n_entities")
+#: Draws after which a form that is itself an entity of the corpus will do, and after which the run fails.
+ATTEMPTS, LAST = 24, 400
 
 
 def digits_of(value: Column) -> Column:
@@ -75,7 +85,7 @@ def kind_of(value: Column) -> Column:
 
 def canonical(value: Column, kind: Column) -> Column:
     """What makes two mentions one entity: letter case of addresses does not, nor do separators in numbers."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card"), digits_of(value)).when(kind == "secret", F.lower(value)).when(kind == "name", F.regexp_replace(F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", ""), "’", "'")).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits_of(value))).when(kind == "card", digits_of(value)).when(kind == "secret", F.lower(value)).when(kind == "name", F.regexp_replace(F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", ""), "’", "'")).otherwise(value)
 
 
 def _number(hex_text: Column, at: int, width: int = 8) -> Column:
@@ -87,9 +97,14 @@ def _digit_stream(draw: Column) -> Column:
     return F.concat(*[F.lpad((_number(draw, 1 + 12 * i, 12) % 1_000_000).cast("string"), 6, "0") for i in range(4)])
 
 
-def surrogate_core(kind: Column, core: Column, gender: Column, attempt: Column, key: str) -> Column:
+def country_code(core: Column) -> Column:
+    """Length of '+' and the country code of a canonical phone number; 0 without one."""
+    return F.when(~core.startswith("+"), 0).when(core.rlike(rf"^\+{ONE_DIGIT}"), 2).when(core.rlike(rf"^\+(?:{TWO_DIGITS})"), 3).otherwise(4)
+
+
+def surrogate_core(kind: Column, core: Column, gender: Column, attempt: Column, key: str) -> tuple[Column, Column]:
     """The canonical form of the surrogate: same kind, same length where the format fixes one."""
-    draw = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, attempt.cast("string")), 256)
+    draw = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, gender, attempt.cast("string")), 256)
     stream = _digit_stream(draw)
     pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (_number(draw, at) % len(names) + 1).cast("int"))
     long_draw = F.concat(draw, F.sha2(F.concat(draw, F.lit("+")), 256))
@@ -97,17 +112,19 @@ def surrogate_core(kind: Column, core: Column, gender: Column, attempt: Column,
     ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
     body = F.concat(F.substring(core, 1, 1), F.expr("substring(core_stream, 1, length(core_in) - 2)"))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    phone = F.expr("concat(substring(core_in, 1, length(core_in) - 7), substring(core_stream, 1, 7))")
-    phone = F.when(F.length(core) >= 10, F.expr("concat(substring(core_in, 1, length(core_in) - 10), cast(2 + cast(substring(core_stream, 1, 1) as int) % 8 as string), substring(core_stream, 2, 2), substring(core_in, length(core_in) - 6, 3), substring(core_stream, 4, 4))")).otherwise(phone)
-    local, domain = F.substring_index(core, "@", 1), F.substring_index(core, "@", -1)
+    # Ten digits at home: area, the exchange as it is, line. Elsewhere the country code and the first digit stay.
+    ten = F.expr("concat(substring(core_in, 1, core_code), cast(2 + cast(substring(core_stream, 1, 1) as int) % 8 as string), substring(core_stream, 2, 2), substring(core_in, core_code + 4, 3), substring(core_stream, 4, 4))")
+    other = F.expr("concat(substring(core_in, 1, core_code + 1), substring(core_stream, 1, length(core_in) - core_code - 1))")
+    phone = F.when((F.length(core) - F.col("core_code") == 10) & (F.col("core_code").isin(0) | core.startswith("+1")), ten).otherwise(other)
+    domain = F.substring_index(core, "@", -1)
     email = F.concat(F.lower(pick(FEMALE + MALE, 1)), F.lit("."), F.substring(draw, 9, 8), F.lit("@"), F.lit("mail"), (_number(draw, 17) % 10).cast("string"), F.lit(".example."), F.substring_index(domain, ".", -1))
-    cyrillic = core.rlike(r"\p{IsCyrillic}")
-    first = F.when(cyrillic, F.when(gender == "f", pick(FEMALE_CYRILLIC, 1)).otherwise(pick(MALE_CYRILLIC, 1))).otherwise(F.when(gender == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)))
     syllables = lambda parts, n: F.initcap(F.concat(*[pick(parts, 9 + 8 * i) for i in range(n)]))
-    last = F.when(cyrillic, syllables(["ба", "ве", "до", "ка", "ле", "ми", "но", "ро", "са", "ту"], 4)).otherwise(syllables(["ba", "ve", "do", "ka", "le", "mi", "no", "ro", "sa", "tu", "wen", "fi"], 4))
+    first, last = F.when(gender == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), syllables(LATIN_PARTS, 4)
+    for script, female, male, parts in (("Cyrillic", FEMALE_CYRILLIC, MALE_CYRILLIC, CYRILLIC_PARTS), ("Greek", FEMALE_GREEK, MALE_GREEK, GREEK_PARTS), ("Armenian", FEMALE_ARMENIAN, MALE_ARMENIAN, ARMENIAN_PARTS)):
+        own = core.rlike(rf"\p{{Is{script}}}")
+        first, last = F.when(own, F.when(gender == "f", pick(female, 1)).otherwise(pick(male, 1))).otherwise(first), F.when(own, syllables(parts, 4)).otherwise(last)
     name = F.when(core.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "phone", phone).when(kind == "secret", F.expr("substring(core_long, 1, length(core_in))")).when(kind == "name", name)
-    made = F.when(attempt >= ATTEMPTS, F.concat(made, attempt.cast("string"))).otherwise(made)
     parts = F.struct(stream.alias("stream"), long_draw.alias("long"))
     return made, parts
 
@@ -115,8 +132,8 @@ def surrogate_core(kind: Column, core: Column, gender: Column, attempt: Column,
 def _draw(entities: DataFrame, key: str) -> DataFrame:
     """Add column drawn. Secrets longer than 128 digits repeat their draw."""
     made, parts = surrogate_core(F.col("kind"), F.col("core"), F.col("gender"), F.col("attempt"), key)
-    with_parts = entities.withColumn("parts", parts).withColumn("core_in", F.col("core")).withColumn("core_stream", F.col("parts.stream")).withColumn("core_long", F.expr("repeat(parts.long, cast(length(core) / 128 as int) + 1)"))
-    return with_parts.withColumn("drawn", made).drop("parts", "core_in", "core_stream", "core_long")
+    with_parts = entities.withColumn("parts", parts).withColumn("core_in", F.col("core")).withColumn("core_code", country_code(F.col("core"))).withColumn("core_stream", F.col("parts.stream")).withColumn("core_long", F.expr("repeat(parts.long, cast(length(core) / 128 as int) + 1)"))
+    return with_parts.withColumn("drawn", made).drop("parts", "core_in", "core_code", "core_stream", "core_long")
 
 
 def mapping(entities: DataFrame, key: str) -> DataFrame:
@@ -129,24 +146,24 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     left, kept, attempt = entities, None, 0
     while True:
         drawn = _draw(left.withColumn("attempt", F.lit(attempt)), key)
-        if attempt < ATTEMPTS:
-            free = drawn.join(known, ["kind", "drawn"], "left_anti")
-        else:
-            free = drawn
+        free = drawn.join(known, ["kind", "drawn"], "left_anti") if attempt < ATTEMPTS else drawn.filter("drawn <> core")
         if kept is not None:
             free = free.join(kept.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
         good = durable(free.groupBy("kind", "drawn").agg(F.min(F.struct("core", "gender")).alias("who")).select("kind", F.col("who.core").alias("core"), F.col("who.gender").alias("gender"), "drawn"))
         kept = good if kept is None else kept.unionByName(good)
-        left = durable(left.join(good.select("kind", "core"), ["kind", "core"], "left_anti"))
+        left = durable(left.join(good.select("kind", "core", "gender"), ["kind", "core", "gender"], "left_anti"))
         if left.isEmpty():
             return kept
         attempt += 1
+        if attempt >= LAST:
+            raise ValueError("a format has too few forms for its entities")
 
 
 def reshape(kind: Column, original: Column, drawn: Column) -> Column:
     """The drawn form in the dress of the mention: separators, letter case and title as they were."""
+    digits = digits_of(drawn)
     shape = F.split(original, "")
-    seen = F.aggregate(shape, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), lambda acc, c: F.struct((acc["i"] + c.rlike("^[0-9]$").cast("int")).alias("i"), F.concat(acc["out"], F.when(c.rlike("^[0-9]$"), F.substring(drawn, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("out")), lambda acc: F.concat(acc["out"], F.substring(drawn, acc["i"] + 1, F.lit(99))))
+    seen = F.aggregate(shape, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), lambda acc, c: F.struct((acc["i"] + c.rlike("^[0-9]$").cast("int")).alias("i"), F.concat(acc["out"], F.when(c.rlike("^[0-9]$"), F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("out")), lambda acc: F.concat(acc["out"], F.substring(digits, acc["i"] + 1, F.lit(99))))
     title = F.regexp_extract(original, rf"^(?:{_TITLE})\.? ", 0)
     return F.when(kind.isin("phone", "card"), seen).when(kind.isin("email", "secret") & (original == F.upper(original)), F.upper(drawn)).when(kind == "name", F.concat(title, drawn)).otherwise(drawn)
 
@@ -158,24 +175,25 @@ def pseudonymise(docs: DataFrame, key: str = "inkgraph", doc: str = "doc_id", te
     (not texts), are made distinct before they are drawn, and come back as one array for
     each (doc, text); the text is split at the same pattern and zipped with it.
     """
-    names = [c for c in docs.columns if c != "n_entities"]
+    names = docs.columns
+    found, held, new, number = free_names(names, "pii_found", "pii_doc", "pii_new", "n_entities")
     body = F.col(text)
-    base = docs.select(*names).withColumn("pii_found", F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))))
-    clean = docs.select(*names).filter(body.isNull() | ~body.rlike(HINT) | ~body.rlike(PATTERN)).withColumn("n_entities", F.lit(0))
-    rich = base.filter(body.rlike(HINT) & body.rlike(PATTERN)).withColumn("pii_doc", F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.md5(body)))
-    mentions = rich.select("pii_doc", F.posexplode("pii_found").alias("at", "value"))
+    every = docs.withColumn(held, F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.md5(body)))
+    clean = docs.filter(body.isNull() | ~body.rlike(HINT) | ~body.rlike(PATTERN)).withColumn(number, F.lit(0))
+    rich = every.filter(body.rlike(HINT) & body.rlike(PATTERN)).withColumn(found, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
+    mentions = rich.select(F.col(held).alias("pii_doc"), F.posexplode(found).alias("at", "value"))
     gender = F.when(F.col("kind") == "name", F.when(F.col("value").rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})[. ]"), "f").otherwise("m")).otherwise("")
     typed = mentions.withColumn("kind", kind_of(F.col("value"))).withColumn("core", canonical(F.col("value"), F.col("kind"))).withColumn("gender", gender)
     real = durable(typed.filter("kind is not null").select("pii_doc", "at", "value", "kind", "core", "gender").distinct())
-    entities = real.groupBy("kind", "core").agg(F.min("gender").alias("gender"))
-    drawn = mapping(durable(entities), key).select("kind", "core", "drawn")
-    replaced = real.join(drawn, ["kind", "core"]).select("pii_doc", "at", reshape(F.col("kind"), F.col("value"), F.col("drawn")).alias("new"))
-    by_doc = replaced.groupBy("pii_doc").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("pii_new"))
-    pieces, found, new = F.split(body, PATTERN, -1), F.col("pii_found"), F.col("pii_new")
-    rebuilt = F.concat_ws("", F.zip_with(pieces, F.transform(found, lambda v, i: F.coalesce(F.element_at(new, i), v)), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))))
-    joined = rich.join(by_doc, "pii_doc", "left")
-    count = F.coalesce(F.size(F.map_keys("pii_new")), F.lit(0))
-    changed = joined.select(*[F.when(F.col("pii_new").isNull(), body).otherwise(rebuilt).alias(text) if c == text else F.col(c) for c in names], F.when(new.isNull(), 0).otherwise(count).alias("n_entities"))
+    entities = real.select("kind", "core", "gender").distinct()
+    drawn = mapping(durable(entities), key)
+    replaced = real.join(drawn, ["kind", "core", "gender"]).select("pii_doc", "at", reshape(F.col("kind"), F.col("value"), F.col("drawn")).alias("new"))
+    by_doc = replaced.groupBy(F.col("pii_doc").alias(held)).agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias(new))
+    pieces = F.split(body, PATTERN, -1)
+    rebuilt = F.concat_ws("", F.zip_with(pieces, F.transform(F.col(found), lambda v, i: F.coalesce(F.element_at(F.col(new), i), v)), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))))
+    joined = rich.join(by_doc, held, "left")
+    count = F.when(F.col(new).isNull(), 0).otherwise(F.size(F.map_keys(F.col(new))))
+    changed = joined.select(*[F.when(F.col(new).isNull(), body).otherwise(rebuilt).alias(text) if c == text else F.col(f"`{c}`") for c in names], count.alias(number))
     return clean.unionByName(changed)
 
 
