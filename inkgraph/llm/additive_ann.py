@@ -4,17 +4,18 @@ A vector is stored as M codes; it is approximated by the sum of one full-dimensi
 codeword from each of M codebooks. Codebooks start as residual k-means and are
 refined jointly by least squares. Encoding is a beam search over the codebooks. The norms of the vector and
 of its approximation are stored; a query scores all codes with a look-up table of its
-products with every codeword, scaled by the stored norms, and the best
-``shortlist`` of each block are ranked again by exact products in double precision.
+products with every codeword, scaled by the stored norms. The ``shortlist`` best of the whole index, by these scores,
+are ranked again by exact products in double precision; how the index is cut into blocks does not change them.
 
 Codebooks are fitted on a bounded sample (``sample`` vectors, those with the smallest hash of
 the id); every vector is indexed. Queries meet the index in blocks: index blocks are dealt to
-groups once, query blocks go to every group, and only the best ``k`` of each pair of blocks leave it.
+groups once, query blocks go to every group, and only a query's best scores and ids leave a pair of blocks.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have
 another dimension than most, take no part; a null id takes no part; the query's own id is never found;
 ties go to the smaller id; fewer candidates than ``k`` give as many rows; rows that
-repeat an id are candidates each, and only the first of a repeated query id asks; an empty table gives no rows.
+repeat an id are candidates each, and only the first of a repeated query id asks; an empty table gives no rows;
+extra columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import partitions, small_batches, stored, table
+from inkgraph.llm.common import partitions, stored, table
 
 SAMPLE = 16_384
 BLOCK, QUERY_BLOCK = 4096, 256
@@ -73,7 +74,7 @@ def _sums(group: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, books: int = 8, size: int = 256, rounds: int = 8, refine: int = 2, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, books: int = 16, size: int = 256, rounds: int = 8, refine: int = 2, seed: int = 7) -> Codebooks:
     """Residual k-means, then ``refine`` times: encode by beam search, solve for all codebooks at once."""
     rng = np.random.Generator(np.random.PCG64(seed))
     x = x.astype(np.float32)
@@ -114,7 +115,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
 
 
 def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """Every vector encoded; a row for each block: ids, codes, norms of vector and approximation, vectors."""
+    """Every vector encoded; a row for each block: ids, codes, norm of the vector over that of its approximation."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     number = _number(rows)
 
@@ -131,18 +132,19 @@ def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
             scale = (np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-30)).astype(np.float32)
             keys.clear()
             held.clear()
-            return pd.DataFrame([{"block": int(ids[0]), "ids": ids.tobytes(), "codes": codes.tobytes(), "scale": scale.tobytes(), "vectors": x.tobytes()}])
+            return pd.DataFrame([{"block": int(ids[0]), "ids": ids.tobytes(), "codes": codes.tobytes(), "scale": scale.tobytes()}])
 
         for pdf in batches:
-            if len(pdf):
-                keys.append(pdf["key"].to_numpy(dtype=np.int64))
-                held.append(np.stack(pdf["v"].to_numpy()).astype(number))
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                keys.append(part["key"].to_numpy(dtype=np.int64))
+                held.append(np.stack(part["v"].to_numpy()).astype(number))
                 if sum(map(len, keys)) >= BLOCK:
                     yield flush()
         if keys:
             yield flush()
 
-    return rows.mapInPandas(run, "block long, ids binary, codes binary, scale binary, vectors binary")
+    return rows.mapInPandas(run, "block long, ids binary, codes binary, scale binary")
 
 
 def query_blocks(rows: DataFrame) -> DataFrame:
@@ -184,15 +186,14 @@ def best_of(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])
 
 
-def search(queries: DataFrame, index: DataFrame, model: Codebooks, k: int = 20, shortlist: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query by inner product."""
+def shortlists(queries: DataFrame, index: DataFrame, model: Codebooks, shortlist: int) -> DataFrame:
+    """query_id, key: the best ``shortlist`` of the whole index by look-up tables; of equal scores, the smaller ids."""
     spark = queries.sparkSession
     groups = partitions(spark)
     shared = spark.sparkContext.broadcast(model)
-    number = _number(queries)
     dealt = index.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = query_blocks(queries).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = dealt.join(asked, "deal").select("ids", "codes", "scale", "vectors", "q_ids", "q")
+    pairs = dealt.join(asked, "deal").select("ids", "codes", "scale", "q_ids", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value.words
@@ -200,26 +201,48 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, k: int = 20,
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ids, q_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.q_ids, dtype=np.int64)
-                codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(ids), books)
+                codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(ids), books).T.astype(np.intp)
                 scale = np.frombuffer(row.scale, dtype=np.float32)
-                x, q = np.frombuffer(row.vectors, dtype=number).reshape(len(ids), d), np.frombuffer(row.q).reshape(len(q_ids), d)
+                q = np.frombuffer(row.q).reshape(len(q_ids), d)
                 tables = (q.astype(np.float32) @ words.reshape(books * size, d).T).reshape(len(q), books, size)
                 out = []
                 for i, own in enumerate(q_ids):
-                    guess = tables[i, 0][codes[:, 0]]
+                    guess = tables[i, 0].take(codes[0])
                     for m in range(1, books):
-                        guess = guess + tables[i, m][codes[:, m]]
-                    near = best_of(guess * scale, shortlist)
-                    near = near[ids[near] != own]
-                    exact = x[near].astype(np.float64) @ q[i]
-                    order = np.lexsort((ids[near], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][order], "score": exact[order]}))
-                yield pd.concat(out)
-
-    small_batches(spark, 4)
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
+                        guess += tables[i, m].take(codes[m])
+                    guess *= scale
+                    guess[ids == own] = -np.inf
+                    near = best_of(guess, shortlist)
+                    near = near[guess[near] > -np.inf]
+                    out.append((own, ids[near].tobytes(), guess[near].tobytes()))
+                yield pd.DataFrame(out, columns=["query_id", "ids", "guesses"])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, guesses = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+        for pdf in batches:
+            for own, more, scores in zip(pdf["query_id"], pdf["ids"], pdf["guesses"], strict=True):
+                if own != now:
+                    if now is not None:
+                        yield pd.DataFrame({"query_id": now, "key": np.unique(ids)})
+                    now, ids, guesses = own, ids[:0], guesses[:0]
+                ids, guesses = np.concatenate([ids, np.frombuffer(more, dtype=np.int64)]), np.concatenate([guesses, np.frombuffer(scores, dtype=np.float32)])
+                best = np.lexsort((ids, -guesses))[:shortlist]
+                ids, guesses = ids[best], guesses[best]
+        if now is not None:
+            yield pd.DataFrame({"query_id": now, "key": np.unique(ids)})
+
+    found = pairs.mapInPandas(run, "query_id long, ids binary, guesses binary")
+    return found.repartition(groups, "query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, key long")
+
+
+def search(queries: DataFrame, rows: DataFrame, index: DataFrame, model: Codebooks, k: int = 20, shortlist: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query by inner product, of its shortlist."""
+    near = shortlists(queries, index, model, shortlist)
+    asked = queries.select(F.col("key").alias("query_id"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
+    exact = near.join(rows, "key").join(asked, "query_id").select("query_id", F.col("key").alias("vec_id"), product.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def sample_rows(rows: DataFrame, n: int = SAMPLE) -> np.ndarray:
@@ -231,14 +254,13 @@ def sample_rows(rows: DataFrame, n: int = SAMPLE) -> np.ndarray:
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 256, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Rows whose id is divisible by ``every`` ask; all rows are candidates."""
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
     rows = usable(vectors, key, column)
     x = sample_rows(rows)
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = fit(x)
     index = stored(index_blocks(rows, model))
-    return search(rows.filter(F.col("key") % every == 0).dropDuplicates(["key"]), index, model, k, shortlist)
+    return search(rows.filter(F.col("key") % every == 0).dropDuplicates(["key"]), rows, index, model, k, shortlist)
 
 
 def op2_additive_ann(spark, sf_dir: str) -> DataFrame:
