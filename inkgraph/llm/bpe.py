@@ -27,12 +27,13 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import small_batches, table
+from inkgraph.llm.common import free_names, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's memory of pre-tokens; it is emptied when full.
@@ -177,6 +178,7 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
+        self.name = hashlib.sha256(b"".join(b"%d:%b" % (len(t), t) for t in tokens) + pattern.encode()).hexdigest()
         self.hash = PerfectHash(tokens)
         self._ready()
 
@@ -188,7 +190,7 @@ class Codec:
         self.text_table = Table([b"%d," % i for i in range(len(self.tokens))])
 
     def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
+        return {"tokens": self.tokens, "pattern": self.pattern, "name": self.name, "hash": self.hash}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -249,7 +251,6 @@ def public_codec(name: str = VOCABULARY) -> Codec:
 
 def encode_documents(docs: DataFrame, model: Codec, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>: the ids of every whole text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is the vocabulary's
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,29 +275,37 @@ def decode_documents(encoded: DataFrame, model: Codec, key: str = "doc_id", ids:
     return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInPandas(run, f"key {kind}, data binary").withColumnRenamed("key", key)
 
 
-_OWN: dict[int, Codec] = {}
+_OWN: dict[str, Codec] = {}
 
 
 def _mine(shared) -> Codec:
-    """A worker process keeps the codec, and what it remembers, from task to task."""
-    return _OWN.setdefault(shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value), shared.value)
+    """A worker process keeps one codec, and what it remembers, from task to task; another vocabulary takes its place."""
+    own = shared.value
+    if own.name not in _OWN:
+        _OWN.clear()
+        _OWN[own.name] = own
+    return _OWN[own.name]
 
 
 def digest_documents(docs: DataFrame, model: Codec, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Encode and decode every whole text; key, n_tokens, ids_sha256, decoded_sha256 and the columns in ``keep``."""
-    small_batches(docs.sparkSession)
+    """Encode and decode every whole text; key, n_tokens, ids_sha256, decoded_sha256 and the columns in ``keep``, which pass as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    chosen = docs.select(key, *keep)
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256"} & {c.lower() for c in chosen.columns}:
+        raise ValueError(f"columns to keep are named as results: {sorted(clash)}")
+    place = free_names(chosen.columns, "text_in")[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _mine(shared)
-        for pdf in batches:
-            found = [own.digest(t) for t in pdf.iloc[:, 1]]
-            rest = pdf.iloc[:, 2:] if keep else pdf.iloc[:, :0]
-            yield pd.concat([pdf.iloc[:, :1], pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=pdf.index), rest], axis=1)
-
-    schema = docs.select(key, *keep).schema
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.select(key, text, *keep).mapInPandas(run, ", ".join([fields[0], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *fields[1:]]))
+        for batch in batches:
+            found = [own.digest(t) for t in batch.column(place).to_pylist()]
+            columns = [pa.array(x, kind) for x, kind in zip(list(zip(*found, strict=True)) or [[], [], []], (pa.int64(), pa.string(), pa.string()), strict=True)]
+            rest = [batch.column(i) for i in range(1, batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *rest], names=names)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
+    names = [chosen.columns[0], "n_tokens", "ids_sha256", "decoded_sha256", *chosen.columns[1:]]
+    return docs.select(key, *keep, F.col(text).alias(place)).mapInArrow(run, ", ".join([fields[0], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *fields[1:]]))
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import partitions, table
+from inkgraph.llm.common import free_names, partitions, table
 
 #: Sources up to which the rates are broadcast; with more they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -68,24 +68,29 @@ def poisson_cdf(rate: Column) -> Column:
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, budget: float = 1.0, seed: str = "mix-1", source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with columns mix_copy (from 0), mix_copies and mix_key added; one row for each copy.
 
-    Rows come in global order of mix_key, hash-random over all sources. The rates have a
-    row for each source: they are broadcast after their number has been checked, and
-    joined by a shuffle that adaptive execution can split where there are too many.
+    Input columns of these names stay as they are; the added ones then get an underscore more. Rows come in
+    global order of mix_key, hash-random over all sources. The rates have a row for each source: they are broadcast
+    after their number has been checked, and joined by a shuffle that adaptive execution can split where there
+    are too many. Keys are uniform hexadecimal numbers, so the cuts of the global order are known without sampling.
     """
+    spark = docs.sparkSession
+    copy, copies, name = free_names(docs.columns, "mix_copy", "mix_copies", "mix_key")
     rate = rates(docs, weights, temperature, budget, source, text).select("mix_source", poisson_cdf(F.col("rate")).alias("mix_cdf"))
     few = docs.select(source).distinct().count() <= BROADCAST_SOURCES
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), F.col(key).alias("mix_doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("mix_source"))
     drawn = (
-        docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-        .join(F.broadcast(rate) if few else rate, "mix_source")
-        .withColumn("mix_u", uniform(F.col(key), seed))
+        held.join(F.broadcast(rate) if few else rate, "mix_source")
+        .withColumn("mix_u", uniform(F.col("mix_doc"), seed))
         .withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
-        .drop("mix_cdf", "mix_u", "mix_source")
         .filter("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+        .select("mix_row", "mix_doc", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
     )
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))
-    keyed = drawn.withColumn("mix_key", F.substring(F.md5(name), 1, 16))
-    return keyed.repartitionByRange(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key", key)
+    called = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("mix_doc").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))
+    keyed = drawn.withColumn("mix_key", F.substring(F.md5(called), 1, 16))
+    n = partitions(spark)
+    part = (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("bigint") * n / F.lit(1 << 32)).cast("int")
+    ordered = keyed.repartitionById(n, part).sortWithinPartitions("mix_key", "mix_doc")
+    return ordered.select("mix_row.*", F.col("mix_copy").alias(copy), F.col("mix_copies").alias(copies), F.col("mix_key").alias(name))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ a parity sketch (a lower bound on the difference, so also exact). Components the
 Defined results: null text, or text without words, has an empty set and no links; texts of
 fewer words than a shingle have one shingle; texts with equal sets are one class before any
 search; rows that repeat a doc_id count as one document with the union of their
-shingles' rows kept apart, and all get the smallest component of that doc_id; an empty table gives no rows.
+shingles' rows kept apart, and all get the smallest component of that doc_id; a row without a doc_id
+has a set but no links, and a null component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.common import durable, partitions, release, small_batches, stored, table
+from inkgraph.llm.common import durable, partitions, release, stored, table
 from inkgraph.llm.components import components
 from inkgraph.llm.shingles import mix, shingle_set
 
@@ -160,17 +161,16 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
 
 def features(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """key, n, two halves of the set's hash, sketch."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["key"], pdf["text"], strict=True):
                 s = shingle_set(t, words)
-                rows.append((k, len(s), int(mix(s, 31).sum().astype(np.int64)), int(mix(s, 37).sum().astype(np.int64)), sketch(s)))
-            yield pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch"])
+                rows.append((None if pd.isna(k) else int(k), len(s), int(mix(s, 31).sum().astype(np.int64)), int(mix(s, 37).sum().astype(np.int64)), sketch(s)))
+            yield pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch"]).astype({"key": "Int64"})
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null").mapInPandas(run, "key long, n long, h1 long, h2 long, sketch array<long>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int, key: str, text: str) -> DataFrame:
@@ -273,7 +273,8 @@ def _buckets(docs: DataFrame, copies: DataFrame, words: int, num: int, den: int,
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id: Jaccard of word shingles at least num/den links two documents."""
-    feats = stored(features(docs, words, key, text))
+    every = stored(features(docs, words, key, text))
+    feats = every.filter("key is not null")
     least = feats.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("first"), F.count("*").alias("same"))
     members = stored(feats.select("key", "h1", "h2", "n").filter("n > 0").join(least.filter("same > 1"), ["h1", "h2", "n"]).select("key", "first").distinct())
 
@@ -302,7 +303,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             labels = durable(components(joined.unionByName(more.select(F.col("query").alias("a"), F.col("key").alias("b"))))) if not more.isEmpty() else labels
 
     named = feats.select("key", "n").join(copies, "key", "left").withColumn("node", F.coalesce("first", "key"))
-    return named.join(labels, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+    linked = named.join(labels, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+    return linked.unionByName(every.filter("key is null").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -93,8 +93,9 @@ def test_ngram_join_chain_and_repeats(spark):
     chain = [(i, " ".join([f"x{j}" for j in range(i)] + base[i:])) for i in range(12)]  # neighbours are near, the ends are not
     rows = [*chain, (3, chain[3][1]), (None, chain[3][1])]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
-    assert len(got) == 13
-    assert {r.component_id for r in got} == {0}
+    assert len(got) == 14
+    assert {r.component_id for r in got if r.doc_id is not None} == {0}
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(98, None)]
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -168,6 +169,13 @@ def test_ann_odd_rows(spark):
     assert additive_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_does_not_depend_on_the_files(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows.repartition(13).write.parquet(str(tmp_path / "many"))
+    own = {tuple(r) for r in additive_ann.nearest(rows, shortlist=40).collect()}
+    assert {tuple(r) for r in additive_ann.nearest(spark.read.parquet(str(tmp_path / "many")), shortlist=40).collect()} == own
+
+
 def test_best_of_keeps_the_first_of_equals():
     assert sorted(additive_ann.best_of(np.array([1.0, 3, 3, 3, 2]), 2).tolist()) == [1, 2]
 
@@ -209,6 +217,17 @@ def test_edits_are_near_and_other_texts_far(spark):
     assert not any(4 in p for p in pairs)
 
 
+def test_texts_side_by_side_walk_as_each_by_itself(monkeypatch):
+    rnd = random.Random(31)
+    texts = ["", "a", LONG[:30_000], "日本語 \U0001f600", *("".join(rnd.choice("abc é\n") for _ in range(rnd.randint(0, 400))) for _ in range(80))]
+    want = [edit_fingerprint.fingerprint(t) for t in texts]
+    changed = [edit_fingerprint.fingerprint(edit_fingerprint.edited(t, f)[0]) for t, f in zip(texts[:-1], texts[1:], strict=True)]
+    for together in (1 << 20, 2000, 10):
+        monkeypatch.setattr(edit_fingerprint, "TOGETHER", together)
+        assert edit_fingerprint.all_fingerprints(texts) == want
+        assert edit_fingerprint.all_edited(texts[:-1], texts[1:]) == (want[:-1], changed)
+
+
 def test_fingerprints_cover_the_whole_text():
     text = LONG[:100_000]
     whole = edit_fingerprint.fingerprint(text)

@@ -1,10 +1,12 @@
 """Archives, tokens, mixing, languages, pages and personal data."""
 
 import hashlib
+import math
 import random
 import re
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -64,6 +66,10 @@ def test_archives_round_trip(spark, tmp_path):
         assert got[k].payload_digest == warc.base32_sha1(data)
         assert got[k].warc_type == "revisit" or bytes(got[k].payload) == data
     assert got[1].refers_to_id == got[7].record_id
+    repeated = spark.createDataFrame([(1, "u", "A"), (1, "u", "A"), (1, "u", "B"), (5, "u", "A"), (5, "v", "A"), (None, "u", "A"), (None, None, "C")], "page_id long, url string, html string")
+    warc.write_warc(warc.mark_revisits(warc.through_arc(repeated, "page_id", "url", "html").filter("warc_type <> 'warcinfo'")), str(tmp_path / "r"))
+    again = sorted(((r.key, r.warc_type, r.refers_to_key, r.payload_digest == warc.base32_sha1(b"A")) for r in warc.read_warc(spark, str(tmp_path / "r")).collect()), key=repr)
+    assert again == sorted([(1, "revisit", 5, True), (1, "revisit", 5, True), (1, "response", None, False), (5, "response", None, True), (5, "response", None, True), (None, "revisit", 5, True), (None, "response", None, False)], key=repr)
     empty = warc.convert(warc.pack_arc(pages.limit(0), "page_id", "url", "html"))
     assert empty.count() == 0
 
@@ -99,6 +105,9 @@ def test_bpe_query_and_odd_rows(spark, codec, tik):
 
 def test_mixing(spark):
     docs = spark.createDataFrame(odd_rows(), DOCS)
+    named = docs.withColumns({c: F.lit("own") for c in ("mix_source", "mix_copies", "mix_copy", "Mix_Key", "mix_row")})
+    assert {(r.mix_source, r.mix_copies, r.mix_copy, r.Mix_Key, r.mix_row) for r in mixing.replicate(named).collect()} == {("own",) * 5}
+    assert mixing.replicate(named).columns[-3:] == ["mix_copy_", "mix_copies_", "mix_key_"]
     one = mixing.replicate(clashing(docs))
     assert sorted(map(repr, one.collect())) == sorted(map(repr, mixing.replicate(clashing(docs)).collect()))
     assert mixing.replicate(docs.limit(0)).count() == 0
@@ -129,23 +138,73 @@ def test_languages_held_out(spark):
 def test_languages_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows() + [(20 + i, f"le la les des une pour {i}", "fr", "s", 1) for i in range(6)], DOCS)
     got = {r.doc_id: r for r in language_id.identify(clashing(docs), language_id.train(docs)).collect()}
-    assert all((got[d].lang_pred, got[d].score) == ("und", 0.0) for d in (3, 4, 7, 12))
+    assert all((got[d].lang_pred, got[d].score_, got[d].excess, got[d].score) == ("und", 0.0, None, "x") for d in (3, 4, 7, 12))
     assert got[21].lang_pred == "fr"
     assert got[5].lang_pred == "en"
+    named = language_id.identify(docs.withColumns({"score": F.lit("own"), "lang_pred": F.lit("own")}), language_id.train(docs))
+    assert named.columns[-3:] == ["lang_pred_", "score_", "excess"]
+    assert {(r.score, r.lang_pred) for r in named.collect()} == {("own", "own")}
     none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), language_id.train(docs.limit(0))).count() == 0
 
 
-def test_code_lengths_sum_to_one():
-    import numpy as np
-
-    counts = np.zeros((4, 4, 4), dtype=np.int64)
-    for a, b, c, n in [(0, 1, 2, 5), (0, 1, 3, 1), (1, 1, 2, 2), (3, 2, 2, 7)]:
-        counts[a, b, c] = n
-    total = np.exp2(-language_id.ppm_bits(counts)).sum(axis=2)
-    assert (total <= 1 + 1e-5).all()
-    assert abs(total[0, 1] - 1) < 1e-5
+def plain_ppm(trained, text):
+    """Escape method C with exclusion, byte by byte, from counts in dictionaries."""
+    order, counts = language_id.ORDER, {}
+    for t in trained:
+        s = language_id.BEFORE + t.encode()
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts.setdefault(s[i - k : i], {}).setdefault(s[i], 0)
+                counts[s[i - k : i]][s[i]] += 1
+    s, bits = language_id.BEFORE + text.encode(), 0.0
+    for i in range(order, len(s)):
+        gone = set()
+        for k in range(order, -1, -1):
+            seen = {b: n for b, n in counts.get(s[i - k : i], {}).items() if b not in gone}
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if s[i] in seen:
+                bits -= math.log2(seen[s[i]] / total)
+                break
+            bits -= math.log2(len(seen) / total)
+            gone |= set(seen)
+        else:
+            bits += math.log2(256 - len(gone))
+    return bits
+
+
+def test_code_lengths_equal_a_plain_coder():
+    texts = {"a": ["the cat sat on the mat", "that hat"], "b": ["der Hund über dem Tisch", "日本語 und ñ"], "c": [""]}
+    counts = {}
+    for name, own in texts.items():
+        cells = np.concatenate([language_id.cells_of(t) for t in own])
+        counts[name] = np.unique(cells, return_counts=True)
+    model = language_id.build(counts)
+    for text in ("the hat", "Tisch ü \x00 zq", "日本", "xyz", "a"):
+        got = model.lengths(text.encode())
+        assert got == pytest.approx([plain_ppm(texts[n], text) for n in model.langs], rel=1e-4)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GROUP", 7)
+    rows = [(1000 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + (k * 7 + j) % 26)}{chr(192 + k)}" for j in range(12)), f"l{k:02d}", "s", 1) for k in range(70) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    models = language_id.train(docs)
+    assert sum(len(m.langs) for m in models) == 70
+    got = language_id.identify(docs, models).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(rows)
+
+
+def test_every_byte_counts(spark):
+    """Scripts that together use more than half of all byte values stay apart."""
+    text = lambda base, i: " ".join("".join(chr(base + (i * 13 + j * 5 + k) % 40) for k in range(6)) for j in range(12))
+    rows = [(100 * n + i, text(base, i), name, "s", 1) for n, (name, base) in enumerate([("ru", 0x430), ("he", 0x5D0), ("th", 0xE01), ("zh", 0x4E00), ("ko", 0xAC00), ("el", 0x3B1), ("hi", 0x905)]) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    assert all(r.lang == r.lang_pred for r in got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -157,27 +216,53 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; me</footer></body></html>"""
 
 
+TREE = html_blocks.train_tree(html_blocks.labelled())
+
+
+def lorem(n):
+    return " ".join(["lorem"] * n)
+
+
 def test_pages():
-    tree = html_blocks.train_tree(html_blocks.LABELLED)
-    assert all(html_blocks.classify(tree, r[:-1]) == r[-1] for r in html_blocks.LABELLED)
-    assert html_blocks.main_text(PAGE, tree) == "Head & tail\n\nFirst para graph with one link in it <ok>.\n\nSecond."
+    rows = html_blocks.labelled()
+    assert 150 <= len(rows) <= 300
+    assert np.mean([html_blocks.classify(TREE, r[:-1]) == r[-1] for r in rows]) > 0.97
+    assert html_blocks.main_text(PAGE, TREE) == "Head & tail\n\nFirst para graph with one link in it <ok>.\n\nSecond."
     for page in (None, "", "<", "<p", "<script>", "<!--", "</p></p>", "<a <b>", "<article"):
-        assert html_blocks.main_text(page, tree) == ""
-    assert html_blocks.main_text("<article><p>a < b &amp; c &am</article", tree) == "a < b & c &am"
+        assert html_blocks.main_text(page, TREE) == ""
+    assert html_blocks.main_text("<article><p>a < b &amp; c &am</article", TREE) == "a < b & c &am"
+    assert html_blocks.main_text("<article><p>Let <math>x</math> be.</p></article>", TREE) == "Let x be."
+
+
+def test_the_tree_splits_on_text_features():
+    def used(t):
+        return set() if isinstance(t, int) else {html_blocks.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert {"words", "density"} <= used(TREE)
+    assert used(TREE) & {"words_before", "words_after"}
+    assert used(TREE) & {"density_before", "density_after"}
+
+
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<div id='main' class='with-sidebar'>{}</div>", "<article class='post has-comments'>{}</article>", "<body class='page with-sidebar'><div class='sidebar-layout'><article>{}</article></div>", "{}"])
+@pytest.mark.parametrize("sizes", [(60, 2, 30), (60, 30, 3), (12, 70), (45, 1, 1, 50)])
+def test_pages_of_plain_paragraphs(around, sizes):
+    page = around.format("".join(f"<p>{lorem(n)}</p>" for n in sizes))
+    page = "<div><a>Home</a></div><div><a>Old news</a></div>" + page + "<div class='comments'><p>" + lorem(25) + "</p></div><footer>(c) someone</footer>"
+    assert html_blocks.main_text(page, TREE).split("\n\n") == [lorem(n) for n in sizes]
 
 
 def test_pages_query(spark):
-    tree = html_blocks.train_tree(html_blocks.LABELLED)
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in html_blocks.op6_html(spark, SF).collect():
         inner = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.DOTALL)[1]
         words = re.findall(r"\w+", re.sub(r"<[^>]*>?|&[a-z]+;?", " ", inner))
         assert words == re.findall(r"\w+", re.sub(r"&[a-z]*\Z", " ", r.text))
         assert r.n_chars == len(r.text)
-    odd = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", PAGE, "x"), (4, "u", PAGE * 200, None)], "page_id long, url string, html string, text string")
-    assert html_blocks.extract(odd, keep=("page_id", "url")).count() == 4
+    odd = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", PAGE, "x"), (4, "u", PAGE * 200, None), (4, "u", PAGE, None), (4, "u", PAGE, None)], "page_id long, url string, html string, text string")
+    got = html_blocks.extract(clashing(odd).withColumn("page_html", F.lit("y")), keep=("page_id", "url", "page_html")).collect()
+    assert len(got) == 6
+    assert {r.page_html for r in got} == {"y"}
     assert html_blocks.extract(odd.limit(0), keep=("page_id",)).count() == 0
-    assert tree is not None
 
 
 def luhn(s: str) -> bool:
@@ -222,6 +307,8 @@ def test_surrogates(spark):
     first, second = re.findall(r"Mrs\. (\w+)", text[5])
     assert first == second != "Smith"
     assert re.search(r"Госпожа [А-Я]", text[5])
+    named = docs.withColumns({c: F.lit("own") for c in ("pii_found", "pii_doc", "pii_new", "n_entities")})
+    assert {(r.pii_found, r.pii_doc, r.pii_new, r.n_entities) for r in surrogates.pseudonymise(named).collect()} == {("own",) * 4}
     again = surrogates.pseudonymise(docs).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     other = {r.doc_id: r.text for r in surrogates.pseudonymise(docs, key="other").collect()}
@@ -229,6 +316,25 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_surrogates_match_gender_script_and_format(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
+    rows = [(1, "Mr. Alex Doe and Mrs. Alex Doe and Mr. Alex Doe"), (2, "Mr. Παπαδόπουλος, Mrs. Ελένη Νίκου, Mr. Արամ Հայկյան"), (3, "Call +49 30 901820 or +4930901820 or +380 44 123 4567")]
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    he, she, again = re.fullmatch(r"Mr\. (.*) and Mrs\. (.*) and Mr\. (.*)", got[1]).groups()
+    assert he == again
+    assert he.split()[0] in surrogates.MALE
+    assert she.split()[0] in surrogates.FEMALE
+    one, two, three = re.fullmatch(r"Mr\. (\w+), Mrs\. (\w+ \w+), Mr\. (\w+ \w+)", got[2]).groups()
+    assert all("Ͱ" <= c <= "Ͽ" or "ἀ" <= c for c in one + two.replace(" ", ""))
+    assert two.split()[0] in surrogates.FEMALE_GREEK
+    assert three.split()[0] in surrogates.MALE_ARMENIAN
+    assert re.fullmatch(r"Call \+49 3\d \d{6} or \+493\d{7} or \+380 4\d \d{3} \d{4}", got[3])
+    assert got[3][5:18].replace(" ", "") == got[3][21:33].strip().replace(" ", "")
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("+49 3"), F.lpad(F.col("id").cast("string"), 1, "0"), F.lit(" 000 "), F.lpad((F.col("id") * 7).cast("string"), 4, "0")).alias("text"))
+    shaped = [r.text for r in surrogates.pseudonymise(many).collect()]
+    assert all(re.fullmatch(r"\+49 3\d \d{3} \d{4}", t) for t in shaped)
+
+
 def test_surrogates_stay_distinct(spark):
     rows = spark.range(3000).select("id", F.concat(F.lit("call +1 (555) 555-"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" now")).alias("text")).withColumnRenamed("id", "doc_id")
     got = {re.search(r"\+1.*\d", r.text)[0] for r in surrogates.pseudonymise(rows).collect()}
