@@ -51,7 +51,7 @@ KINDS = 256
 SEED = 20_240_101
 PIECE = 1 << 15
 #: Code points of the texts whose walks are taken side by side; longer texts are walked by themselves, piece by piece.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: With fewer texts than this left, each goes on by itself.
 FEW = 24
 #: Lengths over which walks are banded grow by this factor.
@@ -111,7 +111,7 @@ def _padded(written: np.ndarray) -> np.ndarray:
 
 def _steps(ends: np.ndarray, begin: int) -> np.ndarray:
     """How many steps the walk stays on each character."""
-    return ((np.diff(ends, prepend=begin) - 1) & (PERIOD - 1)) + 1
+    return ((np.diff(ends.astype(np.int32), prepend=begin) - 1) & (PERIOD - 1)) + 1
 
 
 class Walk:
@@ -151,7 +151,7 @@ def _side_by_side(kinds: np.ndarray, start: np.ndarray, length: np.ndarray, begi
     """By walk, the step mod PERIOD after each character of many texts that lie in ``kinds``; all texts and walks take their i-th character at once."""
     table, lists = _tables()
     size = len(kinds)
-    ends = np.zeros(WALKS * size, dtype=np.int32)
+    ends = np.zeros(WALKS * size, dtype=np.int16)
     row = kinds.astype(np.int32) * PERIOD
     every = np.tile(length, WALKS)
     order = np.argsort(-every, kind="stable")
@@ -162,13 +162,12 @@ def _side_by_side(kinds: np.ndarray, start: np.ndarray, length: np.ndarray, begi
     i, n = 0, int((left > 0).sum())
     while n >= FEW:
         j[:n] = table.take(row.take(at[:n]) + j[:n])
-        ends[to[:n]] = j[:n]
+        ends[to[:n]] = j[:n] & (PERIOD - 1)
         at[:n] += 1
         to[:n] += 1
         i += 1
         while n and left[n - 1] <= i:
             n -= 1
-    ends &= PERIOD - 1
     for k in range(n):
         step, first, out, rest = int(j[k]) % PERIOD, int(at[k]), int(to[k]), int(left[k]) - i
         part = kinds[first : first + rest].tobytes()
@@ -180,11 +179,13 @@ def _written(kinds: np.ndarray, start: np.ndarray, length: np.ndarray, begin: li
     """For each walk: of each text, what it writes, and the step after each character."""
     some = length > 0
     for ends, own in zip(_side_by_side(kinds, start, length, begin), begin, strict=True):
-        before = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+        before = np.empty_like(ends)
+        before[1:] = ends[:-1]
         before[start[some]] = own[some]
-        stay = ((ends - before - 1) & (PERIOD - 1)) + 1
+        stay = ((ends - before - np.int16(1)) & np.int16(PERIOD - 1)) + np.int16(1)
         written = np.repeat(kinds.astype(np.uint16) + np.uint16(1), stay)
-        total = np.concatenate([[0], np.cumsum(stay)])
+        total = np.zeros(len(stay) + 1, dtype=np.int32)  # TOGETHER characters stay some 2 * TOGETHER steps
+        np.cumsum(stay, out=total[1:], dtype=np.int32)
         yield [written[total[a] : total[a + n]] for a, n in zip(start.tolist(), length.tolist(), strict=True)], [ends[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
 
 

@@ -269,13 +269,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     rows = _rows(docs, key, text)
 
     left = _shared_grams(rows, length, gram)
+    release(spark)  # of what a step has shuffled, once nothing names its frames any more
     two = stored(stretch_ranks(rows, left, length, gram))
     discard(left)
+    release(spark)
     ranked = _by_stretch(two)
     discard(two)
+    release(spark)
     settled = _merged(ranked.filter("settled").select("doc", "t", "first", (F.col("first") + F.col("more")).alias("last")))
     open_ = _unsettled(ranked)
     discard(ranked)
+    release(spark)
     single = _by_window(rows, open_, length)
     discard(open_)
     release(spark)
