@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgraph.functions.batches import usual_batches
 from inkgraph.functions.numbers import BOUND, TICKS
 
 KEYS = ["book_id", "chapter"]
@@ -34,10 +33,10 @@ def _polarity(value: int, scale: int) -> str:
     return "positive" if value > BOUND * scale else "negative" if value < -BOUND * scale else "neutral"
 
 
-def fold_pair(seen: dict[int, tuple[int, int]], last: int, percent: int, least: int) -> Iterator[tuple]:
+def fold_pair(seen: dict[int, tuple[int, int]], last: int, percent: int, least: int, whole: int = 100) -> Iterator[tuple]:
     """(k, weight_e4, sentiment_e4, polarity, label, is_carry) of one pair in order.
 
-    ``seen``: ordinal -> (count, sentiment_e4). ``percent``: alpha in hundredths. ``least``: ticks below which a carry is pruned.
+    ``seen``: ordinal -> (count, sentiment_e4). ``percent``: alpha in parts of ``whole``. ``least``: ticks below which a carry is pruned.
     """
     weight = sentiment = 0
     alive = False
@@ -51,14 +50,14 @@ def fold_pair(seen: dict[int, tuple[int, int]], last: int, percent: int, least:
                 weight, sentiment = now[0] * TICKS, now[1]
                 yield k, weight, sentiment, _polarity(sentiment, 1), PLAIN, None
             else:
-                exact = percent * sentiment + (100 - percent) * now[1]
-                weight, sentiment = _nearest(percent * weight + (100 - percent) * now[0] * TICKS, 100), _nearest(exact, 100)
-                yield k, weight, sentiment, _polarity(exact, 100), CARRIED, False
+                exact = percent * sentiment + (whole - percent) * now[1]
+                weight, sentiment = _nearest(percent * weight + (whole - percent) * now[0] * TICKS, whole), _nearest(exact, whole)
+                yield k, weight, sentiment, _polarity(exact, whole), CARRIED, False
             alive = True
-        elif alive and percent * weight >= least * 100:
+        elif alive and percent * weight >= least * whole:
             exact = percent * sentiment
-            weight, sentiment = _nearest(percent * weight, 100), _nearest(exact, 100)
-            yield k, weight, sentiment, _polarity(exact, 100), CARRIED, True
+            weight, sentiment = _nearest(percent * weight, whole), _nearest(exact, whole)
+            yield k, weight, sentiment, _polarity(exact, whole), CARRIED, True
         else:
             weight = sentiment = 0
             alive = False
@@ -90,15 +89,14 @@ def fold_pair_floats(seen: dict[int, tuple[int, float]], last: int, alpha: float
             weight, sentiment, alive = 0.0, 0.0, False
 
 
-def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), least: float = 0.5, exact_python: bool = False) -> DataFrame:
-    """book_id, chapter, k, alpha (hundredths), a, b, weight_e4, sentiment_e4, polarity, label, is_carry.
+def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), least: float = 0.5, exact_python: bool = False, whole: int = 100) -> DataFrame:
+    """book_id, chapter, k, alpha (in parts of ``whole``: hundredths), a, b, weight_e4, sentiment_e4, polarity, label, is_carry.
 
     ``edges``: book_id, chapter, a, b, weight [, sentiment_e4]. ``chapters``: the processed ones. Alpha is a column, so a
     sweep shares extraction. Observations of a pair are gathered once (at most one a chapter).
     """
-    if not all(0 <= a <= 100 for a in alphas):
+    if not all(0 <= a <= whole for a in alphas):
         raise ValueError("alpha must lie between 0 and 1")
-    usual_batches(edges.sparkSession)
     place = ordinals(chapters)
     observed = edges if "sentiment_e4" in edges.columns else edges.withColumn("sentiment_e4", F.lit(0).cast("bigint"))
     gathered = observed.join(place, KEYS).groupBy("book_id", "a", "b").agg(F.collect_list(F.struct(F.col("k").cast("bigint").alias("k"), "weight", "sentiment_e4")).alias("seen"))
@@ -115,9 +113,9 @@ def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), le
                 seen = {x["k"]: (x["weight"], x["sentiment_e4"]) for x in r.seen}
                 if exact_python:
                     floats = {k: (n, s / TICKS) for k, (n, s) in seen.items()}
-                    held += [(r.book_id, k, r.alpha, r.a, r.b, round(w * TICKS), round(s * TICKS), None, PLAIN if c is None else CARRIED, c) for k, w, s, c in fold_pair_floats(floats, r.last, r.alpha / 100, least)]
+                    held += [(r.book_id, k, r.alpha, r.a, r.b, round(w * TICKS), round(s * TICKS), None, PLAIN if c is None else CARRIED, c) for k, w, s, c in fold_pair_floats(floats, r.last, r.alpha / whole, least)]
                 else:
-                    held += [(r.book_id, k, r.alpha, r.a, r.b, w, s, p, label, c) for k, w, s, p, label, c in fold_pair(seen, r.last, r.alpha, round(least * TICKS))]
+                    held += [(r.book_id, k, r.alpha, r.a, r.b, w, s, p, label, c) for k, w, s, p, label, c in fold_pair(seen, r.last, r.alpha, round(least * TICKS), whole)]
                 if len(held) > 50_000:
                     yield pd.DataFrame(held, columns=names)
                     held = []

@@ -96,7 +96,7 @@ def mention_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def character_positions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mentions.positions(events_mentions(spark, sf).filter("chapter <= 10"))
+    rows = mentions.positions(events_mentions(spark, sf))
     return rows.select("chapter", "name", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
@@ -119,7 +119,7 @@ def polarity_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _t(spark, sf, "conversations").select("conv_id", "turn", T.tokenize(F.col("text")).alias("tokens"))
-    at = tokens.select("conv_id", "turn", "tokens", F.posexplode("tokens").alias("pos", "tok")).filter("pos % 10 = 0")
+    at = tokens.select("conv_id", "turn", "tokens", F.posexplode("tokens").alias("pos", "tok"))
     return at.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), T.context(F.col("tokens"), F.col("pos"), F.lit(5)).alias("context"))
 
 
@@ -294,14 +294,14 @@ FROM documents, (VALUES (1), (2), (3)) c(chapter)""",
         "canonical_name": """
 SELECT user_id, event_type AS name FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY 1, 2) WHERE r = 1""",
         "mention_counts": _E + "SELECT 'events' AS book_id, chapter, name, count(*) AS mention_count FROM m GROUP BY 2, 3",
-        "character_positions": _E + "SELECT chapter, name, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM m WHERE chapter <= 10 GROUP BY 1, 2",
+        "character_positions": _E + "SELECT chapter, name, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM m GROUP BY 1, 2",
         "cooccur_window": _E + "SELECT book_id, chapter, a, b, weight FROM edges",
         "cooccur_sentiment": _E + "SELECT book_id, chapter, a, b, weight, sentiment_e4 FROM g",
         "cooccur_bag": _L + "SELECT 'orders' AS book_id, chapter, a, b, weight FROM edges",
         "polarity_label": "SELECT event_id, CASE WHEN v > 500 THEN 'positive' WHEN v < -500 THEN 'negative' ELSE 'neutral' END AS polarity FROM (SELECT event_id, CAST(floor(value * 10) AS BIGINT) - 500 AS v FROM events)",
         "context_window": f"""
 SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS pos, array_to_string(list_slice(t, greatest(1, i - 5), least(len(t), i + 5)), ' ') AS context
-FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations)) WHERE (i - 1) % 10 = 0""",
+FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations))""",
         "decay_fold": _fold("(70)") + "SELECT chapter, a, b, weight_e4, is_carry FROM graph",
         "decay_nodes": _fold("(70)")
         + """, ghosts AS (SELECT DISTINCT p.chapter, x.name FROM (SELECT k + 1 AS k, a AS name FROM graph UNION SELECT k + 1, b FROM graph) x JOIN place p ON p.k = x.k),

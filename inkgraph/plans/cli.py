@@ -8,17 +8,21 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.operators import sweep
+from inkgraph.functions import scoring
+from inkgraph.operators import decay, sweep
 from inkgraph.plans import pipelines
-from inkgraph.sources import readers, writers
+from inkgraph.sources import annotate, readers, writers
 
 
+# Option names and defaults are fixed values.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("mode", choices=["plain", "carried", "sweep"])
     p.add_argument("--books", help="pattern of whole books; split into chapters at headings")
     p.add_argument("--chapters", help="pattern of {book_id}_ch{NN}.txt files, instead of --books")
-    p.add_argument("--entities", required=True, help="pattern of {book_id}_ch{NN}.entities files")
+    p.add_argument("--entities", help="pattern of {book_id}_ch{NN}.entities files")
+    p.add_argument("--dictionary", help="file of lines 'surface form TAB number of the person'; annotates the chapters that have no entities")
+    p.add_argument("--lexicon", help="file of lines 'word TAB valence', in place of the built-in one")
     p.add_argument("--gold", help="pattern of {book_id}_ch{NN}.graphml files")
     p.add_argument("--out", required=True)
     p.add_argument("--window", type=int, default=100)
@@ -34,10 +38,39 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("book_id", F.regexp_replace("stem", r"_ch[^_]*$", "")).withColumn("chapter", F.regexp_extract("stem", r"_ch([^_]*)$", 1).try_cast("int")).drop("stem")
 
 
+def _pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema=schema, quote="").dropna()
+
+
+def _entities(spark: SparkSession, a: argparse.Namespace, chapters: DataFrame) -> DataFrame:
+    cached = readers.read_entities(spark, a.entities) if a.entities else None
+    if not a.dictionary:
+        return cached
+    provider = annotate.Dictionary(_pairs(spark, a.dictionary, "form string, coref int"))
+    return provider.annotate(chapters) if cached is None else annotate.annotate_missing(chapters, cached, provider)
+
+
+def _kept(frame: DataFrame, path: str) -> DataFrame:
+    """Written once for all that follow."""
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def _show(rows: DataFrame, columns: dict[str, str], order: list[str]) -> None:
+    print(" ".join(columns))
+    for r in writers.table_text(rows.orderBy(*order), columns).toLocalIterator():
+        print(r.line)
+
+
+#: Console tables: column -> format.
+SUMMARY = {"book_id": "%-20s", "chapter": "%7d", "node_count": "%10d", "edge_count": "%10d"}
+SWEEP = {"book_id": "%-20s", "alpha": "%5d", "precision_e4": "%12d", "recall_e4": "%9d", "f1_e4": "%6d"}
+
+
 def main(args: list[str]) -> int:
     a = parser().parse_args(args)
-    if not (a.books or a.chapters):
-        print("one of --books and --chapters is needed")
+    if not (a.books or a.chapters) or not (a.entities or a.dictionary):
+        print("one of --books and --chapters is needed, and one of --entities and --dictionary")
         return 1
     try:
         params = pipelines.Params(a.window, a.min_freq, a.alpha, strategy=a.strategy, top_n=a.topN)
@@ -49,18 +82,26 @@ def main(args: list[str]) -> int:
     if chapters.limit(1).isEmpty():
         print("no chapters")
         return 1
-    found, edges = pipelines.extract(chapters, readers.read_entities(spark, a.entities), params)
+    if a.mode != "plain" and chapters.select("book_id", "chapter").distinct().limit(2).count() < 2:
+        print("warning: with fewer than two chapters nothing is carried")
+    lexicon = {r.word: r.valence for r in _pairs(spark, a.lexicon, "word string, valence double").collect()} if a.lexicon else None
+    found, edges = (_kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, _entities(spark, a, chapters), params, scoring.scorer(lexicon)), ("mentions", "edges"), strict=True))
     gold = tuple(map(_keyed, readers.read_graphml(spark, a.gold))) if a.gold else None
     if a.mode == "sweep":
         if gold is None or gold[0].limit(1).isEmpty():
             print("a sweep needs gold graphs")
             return 1
         results, best = pipelines.alpha_search(found, edges, gold[1], params, sweep.ALPHAS)
+        linked = decay.decayed(edges, found, sweep.ALPHAS, params.least_weight)
+        keys = ["alpha", "book_id", "chapter"]
+        writers.write_graphml(writers.graphml_documents(decay.carried_nodes(found, linked), linked, keys), f"{a.out}/graphs", keys)
+        _show(results, SWEEP, ["book_id", "alpha"])
         writers.write_records(results, f"{a.out}/sweep")
         writers.write_records(best, f"{a.out}/best_alpha")
         return 0
     graphs = pipelines.plain(found, edges) if a.mode == "plain" else pipelines.carried(found, edges, params)
     writers.write_graphml(writers.graphml_documents(graphs.nodes, graphs.edges), f"{a.out}/graphs")
+    _show(graphs.summary, SUMMARY, ["book_id", "chapter"])
     writers.write_records(graphs.summary, f"{a.out}/summary")
     if a.mode == "carried":
         writers.write_records(pipelines.snapshots(graphs, found, params), f"{a.out}/snapshots")

@@ -6,6 +6,7 @@ Every plan handles all books and chapters in one lazy DataFrame; nothing loops o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +71,19 @@ def plain(found: DataFrame, edges: DataFrame) -> Graphs:
     return Graphs(nodes, linked, graph.summary_records(nodes, linked))
 
 
+def alpha_parts(alpha: float) -> tuple[int, int]:
+    """alpha as whole hundredths, or else as whole parts of the least power of ten that holds all its digits (nine at most)."""
+    exact = Decimal(repr(alpha))
+    digits = max(2, -exact.normalize().as_tuple().exponent)
+    if digits > 9:
+        raise ValueError("alpha may have nine decimal places")
+    return int(exact.scaleb(digits)), 10**digits
+
+
 def carried(found: DataFrame, edges: DataFrame, params: Params) -> Graphs:
     """Each chapter on top of the ones before it."""
-    linked = decay.decayed(edges, found, [round(params.alpha * 100)], params.least_weight)
+    parts, whole = alpha_parts(params.alpha)
+    linked = decay.decayed(edges, found, [parts], params.least_weight, whole=whole)
     first = found.groupBy(*KEYS, "name").agg(F.min("line_no").alias("first"))
     nodes = decay.carried_nodes(found, linked).join(first, [*KEYS, "name"], "left").withColumn("first", F.coalesce("first", F.lit(1 << 40)))
     return Graphs(nodes, linked, graph.summary_records(nodes, linked))

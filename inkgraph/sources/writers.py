@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.functions.batches import usual_batches
 from inkgraph.functions.numbers import TICKS
 
 NODE_KEYS = [("n0", "name", "string"), ("n1", "mention_count", "long")]
@@ -38,7 +37,6 @@ def graphml_documents(nodes: DataFrame, edges: DataFrame, keys: list[str] = ["bo
     n = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("name").cast("string").alias("name"), "mention_count"))).alias("nodes"))
     one = F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (F.col("weight_e4") / TICKS).alias("weight"), (F.col("sentiment_e4") / TICKS).alias("sentiment"), "polarity", "label", "is_carry")
     e = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("edges"))
-    usual_batches(edges.sparkSession)
     rows = n.join(e, keys, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

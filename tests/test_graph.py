@@ -219,3 +219,31 @@ def test_edit_bounds_tell_exact_from_upper_bound():
     assert lower == 0.0 < 4.0 <= upper
     many = [str(i) for i in range(1_200)]
     assert metrics.edit_bounds((many, []), (many, []))[0] == 0.0
+
+
+def test_alpha_keeps_all_its_digits():
+    from inkgraph.plans import pipelines
+
+    assert pipelines.alpha_parts(0.7) == (70, 100)
+    assert pipelines.alpha_parts(1.0) == (100, 100)
+    assert pipelines.alpha_parts(0.705) == (705, 1000)
+    with pytest.raises(ValueError, match="alpha"):
+        pipelines.alpha_parts(1 / 3)
+    seen = {1: (10, 5000), 2: (4, -5000)}
+    assert [x[1] for x in decay.fold_pair(seen, 2, 705, 5000, 1000)] == [100_000, 82_300]
+
+
+def test_command_line_annotates_and_shows_a_table(spark, tmp_path, capsys):
+    from inkgraph.plans import cli
+
+    for n in (1, 2, 3):
+        (tmp_path / f"book_ch0{n}.txt").write_text("Ann met Bob and Ann loved Bob there. " * 4)
+    (tmp_path / "names.tsv").write_text("ann\t1\nbob\t2\n")
+    (tmp_path / "words.tsv").write_text("loved\t3.0\n")
+    args = ["carried", "--chapters", str(tmp_path / "*.txt"), "--dictionary", str(tmp_path / "names.tsv"), "--lexicon", str(tmp_path / "words.tsv"), "--alpha", "0.705", "--out", str(tmp_path / "out")]
+    assert cli.main(args) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].split() == list(cli.SUMMARY)
+    assert [x.split()[:4] for x in lines[1:4]] == [["book", str(n), "2", "1"] for n in (1, 2, 3)]
+    assert spark.read.parquet(str(tmp_path / "out" / "edges")).filter("sentiment_e4 > 0").count() == 3
+    assert cli.main(["plain", "--chapters", "x", "--out", "y"]) == 1
