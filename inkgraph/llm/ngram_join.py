@@ -34,15 +34,15 @@ from math import log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.common import durable, partitions, release, stored, table
 from inkgraph.llm.components import components
 from inkgraph.llm.shingles import mix, shingle_set
 
-#: Bits of the parity sketch, in 64-bit words.
-SKETCH = 64
+#: Least and most 64-bit words of the parity sketch; between them it has a cell for each shingle at least.
+SKETCH = (8, 256)
 #: Candidates, and bytes of their sets, that one search holds at a time.
 CHUNK, CHUNK_BYTES = 256, 8 << 20
 #: DivideSkip's cost ratio between a step of the merge and a probe.
@@ -113,8 +113,14 @@ def part_hashes(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of SKETCH * 64 cells."""
-    cells = np.bincount((mix(found, 23) >> np.uint64(64 - 6 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH * 64)
+    """Parity of the shingles in each cell. The words are a power of two that grows with the set, so a short text has a short sketch.
+
+    A cell is a hash modulo the number of cells: the xor of the two halves of a sketch is the sketch of half its length.
+    """
+    words = SKETCH[0]
+    while words < SKETCH[1] and words * 64 < len(found):
+        words *= 2
+    cells = np.bincount(((mix(found, 23) >> np.uint64(32)) & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64)
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -160,17 +166,18 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
 
 
 def features(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """key, n, two halves of the set's hash, sketch."""
+    """key, n, two halves of the set's hash, sketch, and brief: the sketch at its least length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["key"], pdf["text"], strict=True):
                 s = shingle_set(t, words)
-                rows.append((None if pd.isna(k) else int(k), len(s), int(mix(s, 31).sum().astype(np.int64)), int(mix(s, 37).sum().astype(np.int64)), sketch(s)))
-            yield pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch"]).astype({"key": "Int64"})
+                parity = sketch(s)
+                rows.append((None if pd.isna(k) else int(k), len(s), int(mix(s, 31).sum().astype(np.int64)), int(mix(s, 37).sum().astype(np.int64)), parity, np.bitwise_xor.reduce(parity.reshape(-1, SKETCH[0]))))
+            yield pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch", "brief"]).astype({"key": "Int64"})
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, n long, h1 long, h2 long, sketch array<long>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, n long, h1 long, h2 long, sketch array<long>, brief array<long>")
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int, key: str, text: str) -> DataFrame:
@@ -256,12 +263,26 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, ke
     return rows.mapInPandas(run, "query long, key long")
 
 
+def _folded(held: Column, words: Column) -> Column:
+    """A sketch at a smaller length: the xor of its pieces of so many words."""
+    piece = lambda i: F.aggregate(F.sequence(F.lit(1), (F.size(held) / words).cast("int") - 1), F.get(held, i), lambda acc, j: acc.bitwiseXOR(F.get(held, i + j * words)))
+    return F.when(F.size(held) == words, held).otherwise(F.transform(F.sequence(F.lit(0), words - 1), piece))
+
+
+def _linkable(num: int, den: int) -> Column:
+    """Whether sizes and sketches of query and key allow a link: cells that differ in parity are shingles that differ at least."""
+    words = F.least(F.size("s_query"), F.size("s_key"))
+    differ = F.aggregate(F.zip_with(_folded(F.col("s_query"), words), _folded(F.col("s_key"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    sized = F.least("n_query", "n_key") * den >= F.greatest("n_query", "n_key") * num
+    return sized & (differ * (num + den) <= (F.col("n_query") + F.col("n_key")) * (den - num))
+
+
 def _possible(pairs: DataFrame, feats: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (query, key) whose sizes and sketches allow a link."""
-    side = lambda name: feats.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-    differ = F.aggregate(F.zip_with("s_query", "s_key", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    sized = pairs.join(side("query"), "query").join(side("key"), "key")
-    return sized.filter((F.least("n_query", "n_key") * den >= F.greatest("n_query", "n_key") * num) & (differ * (num + den) <= (F.col("n_query") + F.col("n_key")) * (den - num))).select("query", "key")
+    """Pairs (query, key) whose sizes and sketches allow a link; whole sketches move only for pairs that brief ones let through."""
+    for name in ("brief", "sketch"):
+        side = lambda s: feats.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col(name).alias(f"s_{s}"))  # noqa: B023, E731
+        pairs = pairs.join(side("query"), "query").join(side("key"), "key").filter(_linkable(num, den)).select("query", "key")
+    return pairs
 
 
 def _buckets(docs: DataFrame, copies: DataFrame, words: int, num: int, den: int, key: str, text: str) -> DataFrame:
@@ -284,7 +305,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     pivots = buckets.groupBy("sig").agg(F.min("key").alias("query"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = buckets.join(pivots, "sig").filter("key <> query").select("query", "key").distinct()
-    one = feats.groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = feats.groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"))
     links = durable(verify(durable(_possible(firsts, one, num, den)), docs, words, num, den, key, text))
     release(docs.sparkSession)
     joined = links.select(F.col("query").alias("a"), F.col("key").alias("b"))
@@ -292,12 +313,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     labelled = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
     open_ = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("sig")
-    left = durable(labelled.join(open_, "sig").join(one, "key"))
+    left = durable(labelled.join(open_, "sig").join(one.drop("sketch"), "key"))
+    release(docs.sparkSession)
     if not left.isEmpty():
-        side = lambda s: left.select("sig", F.col("key").alias(s), F.col("label").alias(f"l_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-        differ = F.aggregate(F.zip_with("s_query", "s_key", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        across = side("query").join(side("key"), "sig").filter((F.col("query") < F.col("key")) & (F.col("l_query") != F.col("l_key")) & (F.least("n_query", "n_key") * den >= F.greatest("n_query", "n_key") * num) & (differ * (num + den) <= (F.col("n_query") + F.col("n_key")) * (den - num)))
-        again = durable(across.select("query", "key").distinct().join(firsts, ["query", "key"], "left_anti"))
+        side = lambda s: left.select("sig", F.col("key").alias(s), F.col("label").alias(f"l_{s}"), F.col("n").alias(f"n_{s}"), F.col("brief").alias(f"s_{s}"))
+        across = side("query").join(side("key"), "sig").filter((F.col("query") < F.col("key")) & (F.col("l_query") != F.col("l_key")) & _linkable(num, den))
+        again = durable(_possible(across.select("query", "key").distinct().join(firsts, ["query", "key"], "left_anti"), one, num, den))
+        release(docs.sparkSession)
         if not again.isEmpty():
             more = durable(verify(again, docs, words, num, den, key, text))
             labels = durable(components(joined.unionByName(more.select(F.col("query").alias("a"), F.col("key").alias("b"))))) if not more.isEmpty() else labels

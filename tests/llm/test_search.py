@@ -126,6 +126,21 @@ def test_part_filter_misses_no_link():
             assert set(ngram_join.part_hashes(a, bands).tolist()) & set(ngram_join.part_hashes(b, bands).tolist())
 
 
+def test_sketches_let_every_link_through(spark):
+    rnd = np.random.default_rng(6)
+    rows, must = [], {}
+    for i, n in enumerate([1, 7, 500, 512, 520, 1030, 9000, 15000]):
+        base = rnd.integers(0, 1 << 62, n).astype(np.uint64)
+        for j, (other, link) in enumerate([(base, True), (base[: -(-n * 4 // 5)], True), (np.concatenate([base, base[: n // 4] + np.uint64(1)]), True), (rnd.integers(0, 1 << 62, n).astype(np.uint64), False)]):
+            a, b = ngram_join.sketch(base), ngram_join.sketch(other)
+            rows.append((10 * i + j, n, len(other), a.tolist(), b.tolist()))
+            must[10 * i + j] = link
+            assert len(a) * 64 >= min(n, 64 * ngram_join.SKETCH[1])
+    pairs = spark.createDataFrame(rows, "id int, n_query int, n_key int, s_query array<long>, s_key array<long>")
+    kept = {r.id for r in pairs.filter(ngram_join._linkable(80, 100)).collect()}
+    assert kept >= {i for i, link in must.items() if link} and not any(i in kept for i, link in must.items() if not link and i >= 20)
+
+
 def test_shingles(monkeypatch):
     for text in ("", "a", "A b", "a b c", "A  B\tc\nd e f a b c", "é É", LONG[:5000]):
         assert len(shingle_set(text, 3)) == len(shingles(text, 3))
