@@ -45,6 +45,8 @@ from inkgraph.llm.shingles import mix, shingle_set
 SKETCH = (8, 256)
 #: Candidates, and bytes of their sets, that one search holds at a time.
 CHUNK, CHUNK_BYTES = 256, 8 << 20
+#: Values that a Python task gathers before it hands them on.
+HELD = 1 << 18
 #: DivideSkip's cost ratio between a step of the merge and a probe.
 MU = 0.01
 
@@ -168,14 +170,20 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
 def features(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """key, n, two halves of the set's hash, sketch, and brief: the sketch at its least length."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch", "brief"]).astype({"key": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["key"], pdf["text"], strict=True):
+                if len(rows) * SKETCH[1] >= HELD:
+                    yield frame(rows)
+                    rows = []
                 s = shingle_set(t, words)
                 parity = sketch(s)
                 rows.append((None if pd.isna(k) else int(k), len(s), int(mix(s, 31).sum().astype(np.int64)), int(mix(s, 37).sum().astype(np.int64)), parity, np.bitwise_xor.reduce(parity.reshape(-1, SKETCH[0]))))
-            yield pd.DataFrame(rows, columns=["key", "n", "h1", "h2", "sketch", "brief"]).astype({"key": "Int64"})
+            yield frame(rows)
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, n long, h1 long, h2 long, sketch array<long>, brief array<long>")
 
@@ -186,12 +194,16 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, key: str, text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(num, den)
         for pdf in batches:
-            keys, sigs = [], []
+            keys, sigs, held = [], [], 0
             for k, t in zip(pdf["key"], pdf["text"], strict=True):
                 s = shingle_set(t, words)
                 if len(s):
                     keys.append(k)
                     sigs.append(part_hashes(s, bands))
+                    held += len(sigs[-1])
+                if held >= HELD:
+                    yield pd.DataFrame({"key": np.repeat(keys, [len(s) for s in sigs]), "sig": np.concatenate(sigs)})
+                    keys, sigs, held = [], [], 0
             if keys:
                 yield pd.DataFrame({"key": np.repeat(keys, [len(s) for s in sigs]), "sig": np.concatenate(sigs)})
 
@@ -216,8 +228,16 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, key: str, text: str) -> D
         for pdf in batches:
             cell = pdf["cell"].to_numpy()
             pdf = pdf[(bits[cell >> 6] >> (cell & 63)) & 1 == 1]
-            if len(pdf):
-                yield pd.DataFrame({"key": pdf["key"], "hashes": [shingle_set(t, words).tobytes() for t in pdf["text"]]})
+            keys, sets, held = [], [], 0
+            for k, t in zip(pdf["key"], pdf["text"], strict=True):
+                keys.append(k)
+                sets.append(shingle_set(t, words).tobytes())
+                held += len(sets[-1]) // 8
+                if held >= HELD:
+                    yield pd.DataFrame({"key": keys, "hashes": sets})
+                    keys, sets, held = [], [], 0
+            if keys:
+                yield pd.DataFrame({"key": keys, "hashes": sets})
 
     named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(1 << 23)))
     return named.select("key", "text", "cell").mapInPandas(run, "key long, hashes binary")
