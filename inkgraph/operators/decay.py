@@ -6,66 +6,78 @@ independent for each (book, segment, alpha, pair): one group of observations, fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgraph.functions.numbers import BOUND, TICKS
+from inkgraph.functions.numbers import TICKS, polarity
 
 KEYS = ["book_id", "chapter"]
 PLAIN, CARRIED = "co-occurrence", "co-occurrence-markov"
 
 
+def _runs(chapters: DataFrame) -> list[str]:
+    """Columns within which state passes from chapter to chapter: the book, and its segment where there is one."""
+    return ["book_id", "segment"] if "segment" in chapters.columns else ["book_id"]
+
+
 def ordinals(chapters: DataFrame) -> DataFrame:
-    """book_id, chapter, k: place of each processed chapter of a book, from 1; chapters that were skipped have no place."""
-    known = chapters.select(*KEYS).distinct()
-    return known.withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy("chapter")))
+    """book_id, chapter [, segment], k: place of each processed chapter of a book (or segment), from 1; skipped chapters have no place."""
+    runs = _runs(chapters)
+    known = chapters.select(*runs, "chapter").distinct()
+    return known.withColumn("k", F.row_number().over(Window.partitionBy(*runs).orderBy("chapter")))
+
 
+#: What one pair is in one chapter, while it is folded; ``exact``: its sentiment before rounding, times ``whole``.
+STEP = "struct<k:bigint,weight:bigint,sentiment:bigint,exact:decimal(38,0),carry:boolean>"
 
-def _nearest(n: int, d: int) -> int:
-    whole = (2 * abs(n) + d) // (2 * d)
-    return -whole if n < 0 else whole
 
+def _let(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
+    """body(value) with the value computed once."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
-def _polarity(value: int, scale: int) -> str:
-    return "positive" if value > BOUND * scale else "negative" if value < -BOUND * scale else "neutral"
 
+def _nearest(n: Column, d: int) -> Column:
+    """n / d as the nearest whole number, half away from zero, in whole numbers throughout."""
+    return (F.signum(n) * F.call_function("div", 2 * F.abs(n) + d, F.lit(2 * d))).cast("bigint")
 
-def fold_pair(seen: dict[int, tuple[int, int]], last: int, percent: int, least: int, whole: int = 100) -> Iterator[tuple]:
-    """(k, weight_e4, sentiment_e4, polarity, label, is_carry) of one pair in order.
 
-    ``seen``: ordinal -> (count, sentiment_e4). ``percent``: alpha in parts of ``whole``. ``least``: ticks below which a carry is pruned.
+def fold(seen: Column, last: Column, part: Column, least: int, whole: int = 100) -> Column:
+    """The steps of one pair in order, an array of STEP.
+
+    ``seen``: array of (k, weight, sentiment_e4), at most one a chapter. ``part``: alpha in parts of ``whole``.
+    ``least``: ticks below which a carry is pruned; after that no chapter is visited up to the next observation.
     """
-    weight = sentiment = 0
-    alive = False
-    waiting = sorted(seen, reverse=True)
-    k = waiting[-1]
-    while k <= last:
-        now = seen.get(k)
-        if now is not None:
-            waiting.pop()
-            if k == 1:
-                weight, sentiment = now[0] * TICKS, now[1]
-                yield k, weight, sentiment, _polarity(sentiment, 1), PLAIN, None
-            else:
-                exact = percent * sentiment + (whole - percent) * now[1]
-                weight, sentiment = _nearest(percent * weight + (whole - percent) * now[0] * TICKS, whole), _nearest(exact, whole)
-                yield k, weight, sentiment, _polarity(exact, whole), CARRIED, False
-            alive = True
-        elif alive and percent * weight >= least * whole:
-            exact = percent * sentiment
-            weight, sentiment = _nearest(percent * weight, whole), _nearest(exact, whole)
-            yield k, weight, sentiment, _polarity(exact, whole), CARRIED, True
-        else:
-            weight = sentiment = 0
-            alive = False
-            if not waiting:
-                return
-            k = waiting[-1]
-            continue
-        k += 1
+    wide = "bigint" if whole <= 10**6 else "decimal(38,0)"  # products of weights and parts have to fit
+    part = part.cast(wide)
+
+    def at(k: Column, weight: Column, sentiment: Column, carry: Column) -> Column:
+        return F.struct(k.alias("k"), _nearest(weight, whole).alias("weight"), _nearest(sentiment, whole).alias("sentiment"), sentiment.cast("decimal(38,0)").alias("exact"), carry.alias("carry")).cast(STEP)
+
+    def lives(done: Column, k: Column) -> Column:
+        end = F.element_at(done, -1)
+        return (end.k == k - 1) & (part * end.weight >= least * whole)
+
+    def carried(done: Column, k: Column) -> Column:
+        end = F.element_at(done, -1)
+        return F.when(lives(done, k), F.array_append(done, at(k, part * end.weight, part * end.sentiment, F.lit(True)))).otherwise(done)
+
+    def observed(done: Column, now: Column) -> Column:
+        end = F.get(done, F.size(done) - 1)
+        linked = end.isNotNull() & (end.k == now.k - 1)
+        weight, sentiment = (now.weight * TICKS).cast(wide), now.sentiment_e4.cast(wide)
+        before = lambda field: F.when(linked, end[field]).otherwise(F.lit(0).cast("bigint"))
+        first = now.k == 1
+        blend = lambda old, new: F.when(first, new * whole).otherwise(part * old + (whole - part) * new)
+        step = at(now.k, blend(before("weight"), weight), blend(before("sentiment"), sentiment), F.when(~first, F.lit(False)))
+        chain = lambda grown: F.when((now.until > now.k + 1) & lives(grown, now.k + 1), F.aggregate(F.sequence(now.k + 1, now.until - 1), grown, carried)).otherwise(grown)
+        return _let(F.array_append(done, step), chain, f"array<{STEP}>")
+
+    ordered = F.array_sort(seen)
+    until = F.transform(ordered, lambda x, i: F.struct(x.k.alias("k"), x.weight.alias("weight"), x.sentiment_e4.alias("sentiment_e4"), F.coalesce(F.get(ordered, i + 1).k, last.cast("bigint") + 1).alias("until")))
+    return F.aggregate(until, F.array().cast(f"array<{STEP}>"), observed)
 
 
 def fold_pair_floats(seen: dict[int, tuple[int, float]], last: int, alpha: float, least: float) -> Iterator[tuple]:
@@ -90,39 +102,49 @@ def fold_pair_floats(seen: dict[int, tuple[int, float]], last: int, alpha: float
 
 
 def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), least: float = 0.5, exact_python: bool = False, whole: int = 100) -> DataFrame:
-    """book_id, chapter, k, alpha (in parts of ``whole``: hundredths), a, b, weight_e4, sentiment_e4, polarity, label, is_carry.
+    """book_id, chapter [, segment], k, alpha (in parts of ``whole``: hundredths), a, b, weight_e4, sentiment_e4, polarity, label, is_carry.
 
-    ``edges``: book_id, chapter, a, b, weight [, sentiment_e4]. ``chapters``: the processed ones. Alpha is a column, so a
-    sweep shares extraction. Observations of a pair are gathered once (at most one a chapter).
+    ``edges``: book_id, chapter, a, b, weight [, sentiment_e4]. ``chapters``: the processed ones; where they have a column ``segment`` (see
+    `segments`), each segment starts afresh. Alpha is a column, so a sweep shares extraction. Observations of a pair are
+    gathered once (at most one a chapter). ``exact_python`` folds in binary floating point, by a Python function.
     """
     if not all(0 <= a <= whole for a in alphas):
         raise ValueError("alpha must lie between 0 and 1")
-    place = ordinals(chapters)
-    observed = edges if "sentiment_e4" in edges.columns else edges.withColumn("sentiment_e4", F.lit(0).cast("bigint"))
-    gathered = observed.join(place, KEYS).groupBy("book_id", "a", "b").agg(F.collect_list(F.struct(F.col("k").cast("bigint").alias("k"), "weight", "sentiment_e4")).alias("seen"))
-    ends = place.groupBy("book_id").agg(F.max("k").alias("last"))
-    rows = gathered.join(ends, "book_id").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    name_type = edges.schema["a"].dataType.simpleString()
-    out = f"book_id string, k int, alpha int, a {name_type}, b {name_type}, weight_e4 long, sentiment_e4 long, polarity string, label string, is_carry boolean"
-    names = [x.split()[0] for x in out.split(", ")]
+    place = ordinals(chapters).withColumn("book_id", F.col("book_id").cast("string"))
+    runs = _runs(chapters)
+    observed = (edges if "sentiment_e4" in edges.columns else edges.withColumn("sentiment_e4", F.lit(0).cast("bigint"))).withColumn("book_id", F.col("book_id").cast("string"))
+    one = F.struct(F.col("k").cast("bigint").alias("k"), F.col("weight").cast("bigint").alias("weight"), F.col("sentiment_e4").cast("bigint").alias("sentiment_e4"))
+    gathered = observed.join(place, KEYS).groupBy(*runs, "a", "b").agg(F.collect_list(one).alias("seen"))
+    ends = place.groupBy(*runs).agg(F.max("k").alias("last"))
+    rows = gathered.join(ends, runs).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    if exact_python:
+        return _float_steps(rows, runs, least, whole).join(place, [*runs, "k"])
+    steps = rows.select(*runs, "alpha", "a", "b", F.explode(fold(F.col("seen"), F.col("last"), F.col("alpha"), round(least * TICKS), whole)).alias("step"))
+    return steps.select(
+        *runs, F.col("step.k").cast("int").alias("k"), "alpha", "a", "b", F.col("step.weight").alias("weight_e4"), F.col("step.sentiment").alias("sentiment_e4"),
+        polarity(F.col("step.exact"), whole).alias("polarity"), F.when(F.col("step.carry").isNull(), PLAIN).otherwise(CARRIED).alias("label"), F.col("step.carry").alias("is_carry"),
+    ).join(place, [*runs, "k"])
+
+
+def _float_steps(rows: DataFrame, runs: list[str], least: float, whole: int) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = [*runs, "k", "alpha", "a", "b", "weight_e4", "sentiment_e4", "polarity", "label", "is_carry"]
+    kinds |= {"k": "int", "weight_e4": "long", "sentiment_e4": "long", "polarity": "string", "label": "string", "is_carry": "boolean"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             held = []
             for r in pdf.itertuples(index=False):
-                seen = {x["k"]: (x["weight"], x["sentiment_e4"]) for x in r.seen}
-                if exact_python:
-                    floats = {k: (n, s / TICKS) for k, (n, s) in seen.items()}
-                    held += [(r.book_id, k, r.alpha, r.a, r.b, round(w * TICKS), round(s * TICKS), None, PLAIN if c is None else CARRIED, c) for k, w, s, c in fold_pair_floats(floats, r.last, r.alpha / whole, least)]
-                else:
-                    held += [(r.book_id, k, r.alpha, r.a, r.b, w, s, p, label, c) for k, w, s, p, label, c in fold_pair(seen, r.last, r.alpha, round(least * TICKS), whole)]
+                seen = {x["k"]: (x["weight"], x["sentiment_e4"] / TICKS) for x in r.seen}
+                own = tuple(getattr(r, c) for c in runs)
+                held += [(*own, k, r.alpha, r.a, r.b, round(w * TICKS), round(s * TICKS), None, PLAIN if c is None else CARRIED, c) for k, w, s, c in fold_pair_floats(seen, r.last, r.alpha / whole, least)]
                 if len(held) > 50_000:
                     yield pd.DataFrame(held, columns=names)
                     held = []
             if held:
                 yield pd.DataFrame(held, columns=names)
 
-    return rows.select(F.col("book_id").cast("string"), "a", "b", "seen", "last", "alpha").mapInPandas(run, out).join(place.withColumn("book_id", F.col("book_id").cast("string")), ["book_id", "k"])
+    return rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def carried_nodes(mentions: DataFrame, graph: DataFrame) -> DataFrame:
@@ -130,11 +152,11 @@ def carried_nodes(mentions: DataFrame, graph: DataFrame) -> DataFrame:
 
     Ends of edges that were pruned on the way stay one chapter, with no mentions.
     """
-    place = ordinals(mentions)
+    place, runs = ordinals(mentions), _runs(mentions)
     alphas = graph.select("alpha").distinct()
     cast = mentions.groupBy(*KEYS, "name").agg(F.count("*").alias("mention_count")).crossJoin(F.broadcast(alphas))
-    ends = graph.select("book_id", (F.col("k") + 1).alias("k"), "alpha", F.explode(F.array("a", "b")).alias("name")).distinct()
-    ghosts = ends.join(place, ["book_id", "k"]).select(*KEYS, "alpha", "name")
+    ends = graph.select(*runs, (F.col("k") + 1).alias("k"), "alpha", F.explode(F.array("a", "b")).alias("name")).distinct()
+    ghosts = ends.join(place, [*runs, "k"]).select(*KEYS, "alpha", "name")
     joined = cast.join(ghosts, [*KEYS, "alpha", "name"], "full_outer")
     return joined.select(*KEYS, "alpha", "name", F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"))
 

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import pytest
 
@@ -75,11 +76,20 @@ def test_clusters_of_one_name_merge(spark):
     assert {r.name: r.mention_count for r in mentions.mention_counts(m).collect()} == {"Ann": 3, "old Tom": 1}
 
 
-def fold(seen, last, percent=70, least=5000):
-    return list(decay.fold_pair(seen, last, percent, least))
+def nearest(n, d):
+    whole = (2 * abs(n) + d) // (2 * d)
+    return -whole if n < 0 else whole
 
 
-def test_fold_goldens():
+def folded(spark, seen, last, percent=70, least=0.5, whole=100):
+    edges = spark.createDataFrame([("b", k, "A", "B", n, s) for k, (n, s) in seen.items()], E)
+    chapters = spark.createDataFrame([("b", k) for k in range(1, last + 1)], "book_id string, chapter int")
+    rows = decay.decayed(edges, chapters, [percent], least, whole=whole).orderBy("k").collect()
+    return [(r.k, r.weight_e4, r.sentiment_e4, r.polarity, r.label, r.is_carry) for r in rows]
+
+
+def test_fold_goldens(spark):
+    fold = partial(folded, spark)
     assert fold({1: (10, 5000), 2: (4, -5000)}, 2)[1] == (2, 82_000, 2000, "positive", "co-occurrence-markov", False)
     assert fold({1: (10, 5000)}, 2)[1] == (2, 70_000, 3500, "positive", "co-occurrence-markov", True)
     assert fold({2: (3, 1000)}, 2) == [(2, 9_000, 300, "neutral", "co-occurrence-markov", False)]
@@ -99,9 +109,9 @@ def test_fold_equals_a_loop_over_chapters(spark):
             w, s = state.get(p, (0, 0))
             if (k, p) in obs:
                 c, n = obs[k, p]
-                new[p] = (c * TICKS, n) if k == 1 else (decay._nearest(70 * w + 30 * c * TICKS, 100), decay._nearest(70 * s + 30 * n, 100))
+                new[p] = (c * TICKS, n) if k == 1 else (nearest(70 * w + 30 * c * TICKS, 100), nearest(70 * s + 30 * n, 100))
             elif p in state and 70 * w >= 500_000:
-                new[p] = (decay._nearest(70 * w, 100), decay._nearest(70 * s, 100))
+                new[p] = (nearest(70 * w, 100), nearest(70 * s, 100))
         state = new
         want |= {(k * 10, p, *v) for p, v in state.items()}
     edges = spark.createDataFrame([("b", k * 10, p, p + "z", c, s) for (k, p), (c, s) in obs.items()], E)
@@ -128,7 +138,12 @@ def test_ghost_nodes(spark):
 
 def test_segments_restart_after_failure(spark):
     df = spark.createDataFrame([("b", k, k == 3) for k in range(1, 6)], "book_id string, chapter int, failed boolean")
-    assert {r.chapter: r.segment for r in decay.segments(df).collect()} == {1: 0, 2: 0, 4: 1, 5: 1}
+    parts = decay.segments(df)
+    assert {r.chapter: r.segment for r in parts.collect()} == {1: 0, 2: 0, 4: 1, 5: 1}
+    edges = spark.createDataFrame([("b", 2, "A", "B", 9, 0), ("b", 4, "A", "B", 3, 0)], E)
+    for binary in (False, True):
+        got = {(r.chapter, r.weight_e4, r.is_carry) for r in decay.decayed(edges, parts, exact_python=binary).collect()}
+        assert got == {(2, 27_000, False), (4, 30_000, None), (5, 21_000, True)}  # nothing passes the failed chapter
 
 
 def linked(spark, names, chapter=1, polarity=None):
@@ -229,8 +244,12 @@ def test_alpha_keeps_all_its_digits():
     assert pipelines.alpha_parts(0.705) == (705, 1000)
     with pytest.raises(ValueError, match="alpha"):
         pipelines.alpha_parts(1 / 3)
+
+
+def test_fold_in_any_number_of_parts(spark):
     seen = {1: (10, 5000), 2: (4, -5000)}
-    assert [x[1] for x in decay.fold_pair(seen, 2, 705, 5000, 1000)] == [100_000, 82_300]
+    assert [x[1] for x in folded(spark, seen, 2, 705, whole=1000)] == [100_000, 82_300]
+    assert [x[1] for x in folded(spark, seen, 2, 705_000_000, whole=10**9)] == [100_000, 82_300]  # beyond 64 bits on the way
 
 
 def test_command_line_annotates_and_shows_a_table(spark, tmp_path, capsys):
