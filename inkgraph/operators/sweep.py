@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkgraph.functions.numbers import round_div
 from inkgraph.operators.decay import decayed
-from inkgraph.operators.metrics import precision_recall_f1
+from inkgraph.operators.graph import edge_set
+from inkgraph.operators.metrics import ratios
 
 # The grid, in hundredths.
 ALPHAS = [30, 50, 70, 90]
@@ -17,13 +18,19 @@ KEYS = ["book_id", "chapter", "alpha"]
 def sweep(edges: DataFrame, chapters: DataFrame, gold: DataFrame, alphas: list[int] = ALPHAS, least: float = 0.5) -> DataFrame:
     """book_id, alpha, chapters, precision_e4, recall_e4, f1_e4: averages of the chapters' rounded metrics.
 
-    Only chapters that have a gold graph count. ``gold``: book_id, chapter, a, b.
+    Only chapters that have a gold graph count. ``gold``: book_id, chapter, a, b. A pair is one row with a mark
+    for each alpha that predicts it, so neither side is repeated for the alphas when they meet.
     """
     judged = gold.select("book_id", "chapter").distinct().join(chapters.select("book_id", "chapter").distinct(), ["book_id", "chapter"], "left_semi")
-    grid = judged.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    predicted = decayed(edges, chapters, alphas, least).join(judged, ["book_id", "chapter"], "left_semi")
-    wanted = gold.join(judged, ["book_id", "chapter"], "left_semi").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    each = precision_recall_f1(predicted, wanted, KEYS, chapters=grid)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    linked = decayed(edges, chapters, alphas, least).join(judged, ["book_id", "chapter"], "left_semi")
+    predicted = linked.groupBy("book_id", "chapter", *pair).agg(*[F.max(F.col("alpha") == x).alias(f"in_{i}") for i, x in enumerate(alphas)])
+    wanted = edge_set(gold.join(judged, ["book_id", "chapter"], "left_semi"), ["book_id", "chapter"]).withColumn("wanted", F.lit(True))
+    both = predicted.join(wanted, ["book_id", "chapter", "a", "b"], "full_outer")
+    each_count = [c for i in range(len(alphas)) for c in (F.count_if(f"in_{i}").alias(f"n_{i}"), F.count_if(F.col(f"in_{i}") & F.col("wanted")).alias(f"both_{i}"))]
+    counts = judged.join(both.groupBy("book_id", "chapter").agg(F.count("wanted").alias("n_gold"), *each_count), ["book_id", "chapter"], "left").fillna(0)
+    grid = counts.select("book_id", "chapter", "n_gold", F.inline(F.array(*[F.struct(F.lit(x).alias("alpha"), F.col(f"n_{i}").alias("n_pred"), F.col(f"both_{i}").alias("both")) for i, x in enumerate(alphas)])))
+    each = ratios(grid, KEYS)
     total = each.groupBy("book_id", "alpha").agg(F.count("*").alias("chapters"), *[F.sum(c).alias(c) for c in ("precision_e4", "recall_e4", "f1_e4")])
     return total.select("book_id", "alpha", "chapters", *[round_div(F.col(c), F.col("chapters")).alias(c) for c in ("precision_e4", "recall_e4", "f1_e4")])
 
