@@ -161,7 +161,7 @@ def brute_judge(url, rules):
 URLS = [
     None, "", "no scheme", "http://", "http://EXAMPLE.net/en/x", "http://a.Example.NET/en", "http://net", "http://net/", "http://planet/", "http://x.net?/en/", "https://ads-track.example.org/fr/", "https://m.ads-track.example.org/EN/?q=://net/",
     "ftp://a.example.com/de/1#f", "http://example.com/de", "http://é.net/ü", "http://x.org/adserver/a", "http://x.org/fr/adserver/", "http://x.org/popunder", "http://x.org/popunders", "http://x.org/popunder_", "http://x.org/a/POPUNDER/", "http://good-pills.io/",
-    "http://pills.io/", "http://a\nb.net/\n", "http://h.io/" + "a/" * 300_000 + "doorway/", "http://" + "b." * 100_000 + "net/", "http://[::1]:80/$(x)+", "http://a.io/(x)$+z", "http://K.net/", "http://x.io/a*b", "http://u.io/one-two/three",
+    "http://pills.io/", "http://a\nb.net/\n", "http://h.io/" + "a/" * 3_000 + "doorway/", "http://" + "b." * 3_000 + "net/", "http://[::1]:80/$(x)+", "http://a.io/(x)$+z", "http://K.net/", "http://x.io/a*b", "http://u.io/one-two/three",
 ]
 
 
@@ -176,6 +176,12 @@ def test_urls_equal_brute_force(spark, monkeypatch, chunk):
     assert {r.pattern for r in got} >= {"*one*three", "(x)$+"} or any(r.pattern for r in got)
 
 
+def test_very_long_urls(spark):
+    rows = [(1, "http://h.io/" + "a/" * 300_000 + "doorway/"), (2, "http://" + "b." * 300_000 + "net/"), (3, "http://a.com/" + "pills/" * 100_000 + "x-pills.")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.HOST_RULES + url_filter.PATTERNS + [url_filter.Rule("*pills*bets*")])
+    assert [(r.page_id, r.rule, r.pattern) for r in got.orderBy("page_id").collect()] == [(1, None, "/doorway/"), (2, "net/", None), (3, None, "||*-pills.")]
+
+
 def test_urls_of_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(empty, url_filter.PATTERNS).collect() == []
