@@ -85,3 +85,15 @@ def context(tokens: Column, centre: Column, half: Column) -> Column:
     low = F.greatest(centre - half, F.lit(0))
     high = F.least(F.size(tokens), centre + half + 1)
     return F.array_join(F.slice(tokens, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")), " ")
+
+
+def pieces(tokens: Column, size: int, before: int = 0, after: int = 0) -> Column:
+    """array<struct<stretch, first, tokens>>: stretches of ``size`` positions, each with tokens of its neighbours on both sides; ``first`` is the position of its first token.
+
+    Exploded, they let a long text be many rows of bounded size. No tokens (or null) give no pieces.
+    """
+    n = F.size(tokens)
+    first = lambda i: F.greatest(i * size - before, F.lit(0)).cast("int")
+    piece = lambda i: F.struct(i.cast("bigint").alias("stretch"), first(i).cast("bigint").alias("first"), F.slice(tokens, first(i) + 1, (i * size + size + after - first(i)).cast("int")).alias("tokens"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))), piece)
+    return F.when(n > 0, cut).otherwise(F.slice(cut, 1, 0))

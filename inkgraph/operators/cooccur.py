@@ -6,12 +6,15 @@ side, both ends included. A pair weighs as many centres as have both names in th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgraph.functions.numbers import round_div
 
 KEYS = ["book_id", "chapter"]
+Scores = DataFrame | Callable[[DataFrame], DataFrame] | None
 
 
 def in_range(mentions: DataFrame, lengths: DataFrame | None) -> DataFrame:
@@ -21,13 +24,18 @@ def in_range(mentions: DataFrame, lengths: DataFrame | None) -> DataFrame:
     return mentions.join(lengths.select(*KEYS, "n_tokens"), KEYS).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("n_tokens"))).drop("n_tokens")
 
 
+def stretch_of(half: int) -> int:
+    """Positions in one stretch, where none are asked for."""
+    return max(64 * (half + 1), 2 * half + 1)
+
+
 def windows(mentions: DataFrame, half: int, stretch: int | None = None) -> DataFrame:
-    """book_id, chapter, pos, cast: every centre and the sorted distinct names in its window.
+    """book_id, chapter, bucket (its stretch), pos, cast: every centre and the sorted distinct names in its window.
 
     A chapter is cut into stretches of positions, and mentions within ``half`` of a border also
     go to the neighbour, so one long chapter is many tasks. All of it, up to the pair counts, rides one exchange.
     """
-    stretch = max(stretch or 64 * (half + 1), 2 * half + 1)
+    stretch = max(stretch or stretch_of(half), 2 * half + 1)
     own = F.floor(F.col("pos") / stretch)
     near = F.array_distinct(F.array(own, F.floor((F.col("pos") - half) / stretch), F.floor((F.col("pos") + half) / stretch)))
     dealt = mentions.select(*KEYS, "name", "pos", own.alias("own"), F.explode(near).alias("bucket")).repartition(*KEYS, "bucket")
@@ -42,16 +50,21 @@ def pairs_of(cast: Column) -> Column:
     return F.flatten(F.transform(cast, lambda a, i: F.transform(F.slice(cast, i + 2, F.size(cast)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def pair_events(mentions: DataFrame, half: int, lengths: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """One row for each (centre, pair); with ``scores`` (book_id, chapter, pos, score_e4) each centre is scored once, before pairs are made."""
+def pair_events(mentions: DataFrame, half: int, lengths: DataFrame | None = None, scores: Scores = None) -> DataFrame:
+    """One row for each (centre, pair); with ``scores`` each centre is scored once, before pairs are made.
+
+    ``scores``: a table (book_id, chapter, pos, score_e4), or a function that adds score_e4 to the rows of `windows`.
+    """
     found = windows(in_range(mentions, lengths), half).filter(F.size("cast") >= 2)
     extra = []
-    if scores is not None:
+    if callable(scores):
+        found, extra = scores(found), ["score_e4"]
+    elif scores is not None:
         found, extra = found.join(scores.select(*KEYS, "pos", "score_e4"), [*KEYS, "pos"], "left"), [F.coalesce("score_e4", F.lit(0).cast("bigint")).alias("score_e4")]
     return found.select(*KEYS, "pos", *extra, F.explode(pairs_of(F.col("cast"))).alias("p")).select(*KEYS, "pos", *[e if isinstance(e, str) else "score_e4" for e in extra], "p.a", "p.b")
 
 
-def edges(mentions: DataFrame, half: int, min_freq: int = 3, lengths: DataFrame | None = None, scores: DataFrame | None = None, raw: bool = False) -> DataFrame:
+def edges(mentions: DataFrame, half: int, min_freq: int = 3, lengths: DataFrame | None = None, scores: Scores = None, raw: bool = False) -> DataFrame:
     """book_id, chapter, a, b, weight [, sentiment_e4 [, raw_scores]]: pairs seen at ``min_freq`` centres or more."""
     events = pair_events(mentions, half, lengths, scores)
     aggs = [F.count("*").alias("weight")]

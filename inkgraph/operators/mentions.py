@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.functions.text import strip
+from inkgraph.functions.text import pieces, strip
+from inkgraph.operators.phrases import PIECE
 
 # Pronouns that never name a cluster that has another mention.
 PRONOUNS = ["he", "she", "they", "him", "her", "them", "his", "hers", "their", "theirs", "it", "its", "i", "we", "us", "our", "you", "your", "me", "my"]
@@ -18,10 +19,22 @@ def people(entities: DataFrame) -> DataFrame:
 
 
 def fill_spans(entities: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Entities without text take the tokens start..end of their chapter. ``tokens``: book_id, chapter, tokens array<string>."""
-    span = F.array_join(F.expr("slice(tokens, start + 1, greatest(end - start + 1, 0))"), " ")
+    """Entities without text take the tokens start..end of their chapter. ``tokens``: book_id, chapter, tokens array<string>; (book_id, chapter, line_no) tells entities apart.
+
+    Only entities without text move, as positions: they meet stretches of their chapter's tokens, and a span over several is put
+    together from its parts. Positions outside the chapter give no words; in a chapter without tokens the text stays as it is.
+    """
     blank = strip(F.coalesce("text", F.lit(""))) == ""
-    return entities.join(tokens.select("book_id", "chapter", "tokens"), ["book_id", "chapter"], "left").withColumn("text", F.when(blank & F.col("tokens").isNotNull(), span).otherwise(F.col("text"))).drop("tokens")
+    ids = ["book_id", "chapter", "line_no"]
+    over = F.sequence(F.floor(F.greatest("start", F.lit(0)) / PIECE), F.floor(F.greatest("start", "end", F.lit(0)) / PIECE))
+    asked = entities.filter(blank).select(*ids, "start", "end", F.explode(over).alias("stretch"))
+    cut = tokens.select("book_id", "chapter", F.inline(pieces(F.col("tokens"), PIECE)))
+    low = F.greatest(F.col("start"), F.lit(0)) - F.col("first")
+    part = F.slice("tokens", F.greatest(low, F.lit(0)).cast("int") + 1, F.greatest(F.col("end") - F.col("first") + 1 - F.greatest(low, F.lit(0)), F.lit(0)).cast("int"))
+    parts = asked.join(cut, ["book_id", "chapter", "stretch"]).select(*ids, "stretch", part.alias("part"))
+    spans = parts.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("stretch", "part"))).alias("p")).select(*ids, F.array_join(F.flatten(F.transform("p", lambda x: x["part"])), " ").alias("span"))
+    filled = entities.filter(blank).join(spans, ids, "left").withColumn("text", F.coalesce("span", "text")).select(*entities.columns)
+    return entities.filter(~blank).unionByName(filled)
 
 
 def canonical_names(mentions: DataFrame, group: list[str], text: str = "text", order: str = "line_no") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inkgraph.functions import numbers, scoring
 from inkgraph.functions import text as T
 from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.plans import pipelines
 from inkgraph.sources import annotate, readers, writers
 
 HALF, MIN_FREQ = 60, 2
@@ -197,15 +198,37 @@ def lexicon_valence(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", scoring.valence(T.tokenize(F.col("text")), VALENCE).alias("valence"))
 
 
+#: Valences and forms (of one to six tokens) of the registered queries; forms overlap and hold each other.
+TONES = [("the", 0.5), ("and", -0.4), ("is", 1.5), ("der", 0.7), ("que", -1.1), ("of the", 2.0), ("the and", -2.5), ("and the , and", 1.2), ("de la", 0.9)]
+FORMS = [("the", 1), ("that", 2), ("que", 3), ("The And", 1), ("and the", 4), ("de la", 5), ("la que le", 6), ("of of of of of of", 7), ("in the and", 8), ("der und", 9), ("und", 10), (". the", 11), ("and that for the", 12)]
+
+
 def scored_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule-based compound scores; a vectorised Python function, so not in SQL."""
-    return _t(spark, sf, "conversations").select("conv_id", "turn", F.round(scoring.scorer({"the": 0.5, "and": -0.4, "is": 1.5})(F.array_join(T.tokenize(F.col("text")), " ")), 4).alias("compound"))
+    """Rule-based compound score of every turn."""
+    texts = _t(spark, sf, "conversations").select("conv_id", "turn", T.tokenize(F.col("text")).alias("tokens"))
+    return scoring.score_texts(texts, spark.createDataFrame(TONES, "form string, valence double"), ["conv_id", "turn"])
+
+
+def _document_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select(F.lit("documents").alias("book_id"), F.col("doc_id").alias("chapter"), "text")
+
+
+def _forms(spark: SparkSession) -> annotate.Dictionary:
+    return annotate.Dictionary(spark.createDataFrame(FORMS, "form string, coref int"))
 
 
 def dictionary_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    chapters = _t(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter"), "text")
-    forms = spark.createDataFrame([("the", 1), ("that", 2), ("que", 3)], "form string, coref int")
-    return mentions.mention_counts(mentions.character_positions(annotate.Dictionary(forms).annotate(chapters)))
+    """Every match of the forms in every document, where it stands."""
+    found = _forms(spark).annotate(_document_chapters(spark, sf))
+    return found.select("chapter", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("coref").cast("bigint").alias("coref"), "text")
+
+
+def extracted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents to sentiment edges: forms found, named, windowed, each centre scored on its own tokens."""
+    chapters = _document_chapters(spark, sf)
+    lexicon = spark.createDataFrame(TONES, "form string, valence double")
+    _, edges = pipelines.extract(chapters, _forms(spark).annotate(chapters), pipelines.Params(window=20, min_freq=2), lexicon)
+    return edges
 
 
 def graphml_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +236,7 @@ def graphml_documents(spark: SparkSession, sf: str) -> DataFrame:
     return writers.graphml_documents(graph.plain_nodes(events_mentions(spark, sf)), _event_edges(spark, sf)).select("chapter", F.length("xml").alias("n_chars"))
 
 
-_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, graphml_documents]
+_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, extracted_edges, graphml_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -279,8 +302,69 @@ results AS (SELECT 'orders' AS book_id, alpha, count(*) AS chapters, CAST((2 * s
 _NEXT = "(SELECT book_id, chapter - 1 AS chapter, a, b, polarity FROM p)"
 
 
+_CLEAN = _STRIP(f"regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '{_SPACE}+', ' ', 'g')")
+_TEXTS = f"(SELECT doc_id AS id, {_TOKENS} AS t FROM (SELECT doc_id, {_CLEAN} AS text FROM documents))"
+_TURNS = f"(SELECT struct_pack(conv_id, turn) AS id, {_TOKENS} AS t FROM conversations)"
+
+
+def _matched(name: str, texts: str, forms: list[tuple]) -> str:
+    """Tables ``name``_at (id, i, tok) and ``name`` (id, start, stop, form, given): leftmost-longest matches of the forms."""
+    held = ", ".join(f"('{f}', {g!r}{'e0' if isinstance(g, float) else ''})" for f, g in forms)
+    ahead = ", ".join(f"lead(tok, {k}) OVER (PARTITION BY id ORDER BY i)" for k in range(6))
+    return f"""{name}_forms AS (SELECT text AS form, given, {_TOKENS} AS w FROM (VALUES {held}) v(text, given)),
+{name}_at AS (SELECT id, i - 1 AS i, tok FROM (SELECT id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM {texts})),
+{name}_hits AS (SELECT id, i AS start, max(len(w)) AS n FROM (SELECT id, i, tok, [{ahead}] AS ahead FROM {name}_at) JOIN {name}_forms ON tok = w[1] AND list_slice(ahead, 1, len(w)) = w GROUP BY 1, 2),
+{name}_all AS (SELECT h.id, start, start + n - 1 AS stop, form, given FROM {name}_hits h JOIN {name}_at a ON h.id = a.id AND h.start = a.i JOIN {name}_forms f ON f.w[1] = a.tok AND len(f.w) = n
+  AND (n = 1 OR list_slice((SELECT list(b.tok ORDER BY b.i) FROM {name}_at b WHERE b.id = h.id AND b.i BETWEEN h.start AND h.start + n - 1), 1, n) = f.w)),
+{name}_runs AS (SELECT *, sum(apart::INT) OVER (PARTITION BY id ORDER BY start) AS run FROM (SELECT *, coalesce(max(stop) OVER (PARTITION BY id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < start, TRUE) AS apart FROM {name}_all)),
+{name}_kept AS (SELECT id, run, start, stop FROM {name}_runs WHERE apart UNION ALL SELECT r.id, r.run, min(r.start), arg_min(r.stop, r.start) FROM {name}_kept k JOIN {name}_runs r ON r.id = k.id AND r.run = k.run AND r.start > k.stop GROUP BY 1, 2),
+{name} AS (SELECT r.* FROM {name}_runs r JOIN {name}_kept USING (id, start))"""
+
+
+def _toned(hits: str, low: str) -> str:
+    """Valence of each hit (with b1 to b3, the tokens before it) after what stands before it, no further back than ``low``."""
+    words = lambda x: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in x) + ")"
+    rows = f"(SELECT *, given AS v0 FROM {hits})"
+    for k, fade in enumerate(scoring.FADE, 1):
+        there, step = f"start - {k} >= {low} AND b{k}", f"{scoring.BOOST * fade!r}e0"
+        moved = f"CASE WHEN {there} IN {words(scoring.STRONGER)} THEN {step} WHEN {there} IN {words(scoring.WEAKER)} THEN -{step} ELSE 0e0 END"
+        rows = f"(SELECT *, (v{k - 1} + CASE WHEN v{k - 1} < 0 THEN -({moved}) ELSE {moved} END) * CASE WHEN {there} IN {words(scoring.NEGATIONS)} THEN {scoring.NEGATED}e0 ELSE 1e0 END AS v{k} FROM {rows})"
+    return rows
+
+
+def _compound(values: str, exclaimed: str, asked: str) -> str:
+    """Ten-thousandths of the compound score of a list of weighted valences."""
+    total = f"list_reduce({values}, lambda a, b: a + b, 0e0)"
+    push = f"(least({exclaimed}, 4) * {scoring.EXCLAMATION}e0 + CASE WHEN {asked} < 2 THEN 0e0 WHEN {asked} <= 3 THEN {asked} * {scoring.QUESTION}e0 ELSE {scoring.QUESTIONS}e0 END)"
+    return f"CAST(floor((SELECT greatest(-1e0, least(1e0, x / sqrt(x * x + {scoring.NORMAL}e0))) FROM (SELECT s + CASE WHEN s > 0 THEN {push} WHEN s < 0 THEN -{push} ELSE 0e0 END AS x FROM (SELECT {total} AS s))) * 10000 + 5e-1) AS BIGINT)"
+
+
+_BUT = "CASE WHEN but IS NULL THEN 1e0 WHEN start < but THEN 5e-1 WHEN start > but THEN 15e-1 ELSE 1e0 END"
+_TONES = lambda texts: _matched("toned", texts, TONES) + ", before AS (SELECT toned.*, b1, b2, b3 FROM toned JOIN (SELECT id, i, lag(tok, 1) OVER w AS b1, lag(tok, 2) OVER w AS b2, lag(tok, 3) OVER w AS b3 FROM toned_at WINDOW w AS (PARTITION BY id ORDER BY i)) l ON toned.id = l.id AND toned.start = l.i)"
+_SCORED = f"""WITH RECURSIVE {_TONES(_TURNS)},
+seen AS (SELECT id, min(i) FILTER (WHERE tok = 'but') AS but, count(*) FILTER (WHERE tok = '!') AS e, count(*) FILTER (WHERE tok = '?') AS q FROM toned_at GROUP BY id),
+summed AS (SELECT id, list(v3 * {_BUT} ORDER BY start) AS vs, any_value(e) AS e, any_value(q) AS q FROM {_toned("before", "0")} JOIN seen USING (id) GROUP BY id),
+scores AS (SELECT id, {_compound("vs", "e", "q")} AS s FROM summed)
+SELECT conv_id, turn, coalesce(s, 0)::BIGINT AS score_e4 FROM conversations LEFT JOIN scores ON id = struct_pack(conv_id, turn)"""
+_FOUND = f"WITH RECURSIVE {_matched('named', _TEXTS, FORMS)}, found AS (SELECT id AS doc_id, start, stop, given::BIGINT AS coref, form FROM named) "
+_EXTRACTED = (
+    _FOUND
+    + f""", {_TONES(_TEXTS)},
+best AS (SELECT doc_id, coref, form AS name FROM found GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, coref ORDER BY count(*) DESC, min(start)) = 1),
+m AS (SELECT doc_id, name, start AS pos FROM found JOIN best USING (doc_id, coref)),
+casts AS (SELECT DISTINCT c.doc_id, c.pos, m.name FROM (SELECT DISTINCT doc_id, pos FROM m) c JOIN m ON m.doc_id = c.doc_id AND m.pos BETWEEN c.pos - 10 AND c.pos + 10),
+centres AS (SELECT doc_id AS id, pos, greatest(pos - 10, 0) AS low FROM casts GROUP BY 1, 2 HAVING count(*) > 1),
+around AS (SELECT c.id, c.pos, min(i) FILTER (WHERE tok = 'but') AS but, count(*) FILTER (WHERE tok = '!') AS e, count(*) FILTER (WHERE tok = '?') AS q FROM centres c JOIN toned_at a ON a.id = c.id AND a.i BETWEEN c.pos - 10 AND c.pos + 10 GROUP BY 1, 2),
+inside AS (SELECT b.*, c.pos, c.low FROM centres c JOIN before b ON b.id = c.id AND b.start >= c.low AND b.stop <= c.pos + 10),
+summed AS (SELECT id, pos, list(v3 * {_BUT} ORDER BY start) AS vs, any_value(e) AS e, any_value(q) AS q FROM {_toned("inside", "low")} JOIN around USING (id, pos) GROUP BY 1, 2),
+scores AS (SELECT id, pos, {_compound("vs", "e", "q")} AS s FROM summed),
+pairs AS (SELECT x.doc_id AS chapter, x.name AS a, y.name AS b, count(*) AS weight, sum(coalesce(s, 0)) AS total FROM casts x JOIN casts y ON x.doc_id = y.doc_id AND x.pos = y.pos AND x.name < y.name LEFT JOIN scores ON scores.id = x.doc_id AND scores.pos = x.pos GROUP BY 1, 2, 3)
+SELECT 'documents' AS book_id, chapter, a, b, weight, CAST({_DIV('total', 'weight')} AS BIGINT) AS sentiment_e4 FROM pairs WHERE weight >= 2"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    clean = _STRIP(f"regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '{_SPACE}+', ' ', 'g')")
+    clean = _CLEAN
     return {
         "clean_text": f"SELECT doc_id, {clean} AS clean FROM documents",
         "strip_markers": "SELECT doc_id, text || chr(10) AS body FROM documents",
@@ -342,5 +426,7 @@ SELECT 'orders' AS book_id, x.chapter, count(*) AS matched, CAST((20000 * count(
         + f""", x AS (SELECT book_id, chapter, a, b FROM p), y AS (SELECT book_id, chapter, a, b FROM {_NEXT})
 SELECT *, 'both' AS side FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION ALL SELECT *, 'predicted' FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT *, 'gold' FROM (SELECT * FROM y EXCEPT SELECT * FROM x)""",
         "lexicon_valence": f"SELECT doc_id, CAST(coalesce(list_sum(list_transform({_TOKENS}, lambda x: CASE x WHEN 'the' THEN 1 WHEN 'is' THEN 2 WHEN 'and' THEN -1 WHEN 'of' THEN -2 WHEN 'la' THEN 1 WHEN 'der' THEN -1 ELSE 0 END)), 0) AS BIGINT) AS valence FROM documents",
-        "dictionary_mentions": f"SELECT source AS book_id, doc_id AS chapter, tok AS name, count(*) AS mention_count FROM (SELECT source, doc_id, unnest({_TOKENS}) AS tok FROM documents) WHERE tok IN ('the', 'that', 'que') GROUP BY 1, 2, 3",
+        "scored_text": _SCORED,
+        "dictionary_mentions": _FOUND + "SELECT doc_id AS chapter, start, stop AS \"end\", coref, form AS text FROM found",
+        "extracted_edges": _EXTRACTED,
     }

@@ -8,7 +8,6 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.functions import scoring
 from inkgraph.operators import decay, sweep
 from inkgraph.plans import pipelines
 from inkgraph.sources import annotate, readers, writers
@@ -22,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chapters", help="pattern of {book_id}_ch{NN}.txt files, instead of --books")
     p.add_argument("--entities", help="pattern of {book_id}_ch{NN}.entities files")
     p.add_argument("--dictionary", help="file of lines 'surface form TAB number of the person'; annotates the chapters that have no entities")
-    p.add_argument("--lexicon", help="file of lines 'word TAB valence', in place of the built-in one")
+    p.add_argument("--lexicon", help="file of lines 'word or phrase TAB valence', in place of the built-in one")
     p.add_argument("--gold", help="pattern of {book_id}_ch{NN}.graphml files")
     p.add_argument("--out", required=True)
     p.add_argument("--window", type=int, default=100)
@@ -84,8 +83,8 @@ def main(args: list[str]) -> int:
         return 1
     if a.mode != "plain" and chapters.select("book_id", "chapter").distinct().limit(2).count() < 2:
         print("warning: with fewer than two chapters nothing is carried")
-    lexicon = {r.word: r.valence for r in _pairs(spark, a.lexicon, "word string, valence double").collect()} if a.lexicon else None
-    found, edges = (_kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, _entities(spark, a, chapters), params, scoring.scorer(lexicon)), ("mentions", "edges"), strict=True))
+    lexicon = _pairs(spark, a.lexicon, "form string, valence double") if a.lexicon else None
+    found, edges = (_kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, _entities(spark, a, chapters), params, lexicon), ("mentions", "edges"), strict=True))
     gold = tuple(map(_keyed, readers.read_graphml(spark, a.gold))) if a.gold else None
     if a.mode == "sweep":
         if gold is None or gold[0].limit(1).isEmpty():

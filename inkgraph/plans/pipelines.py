@@ -5,6 +5,7 @@ Every plan handles all books and chapters in one lazy DataFrame; nothing loops o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -48,21 +49,41 @@ def prepared(chapters: DataFrame) -> DataFrame:
     return tokens.withColumn("n_tokens", F.size("tokens"))
 
 
-def centre_scores(positions: DataFrame, tokens: DataFrame, half: int, score) -> DataFrame:
-    """book_id, chapter, pos, score_e4: each centre with two names or more scored once, on its token context."""
-    many = cooccur.windows(positions, half).filter(F.size("cast") >= 2).select(*KEYS, "pos")
-    at = many.join(tokens, KEYS).select(*KEYS, "pos", T.context(F.col("tokens"), F.col("pos"), F.lit(half)).alias("context"))
-    return at.select(*KEYS, "pos", ticks(score(F.col("context"))).alias("score_e4"))
+def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds score_e4 to the rows of `cooccur.windows`: the score of the ``half`` tokens on either side of the centre.
 
+    A stretch of a chapter is one row: its tokens, the lexicon's hits near it, and its centres. The tokens go out once, and no row has more than
+    a stretch of them, so one long chapter is many tasks. A form that the window's border cuts does not count.
+    """
+    size = cooccur.stretch_of(half)
+    cut = tokens.select(*KEYS, F.inline(T.pieces(F.col("tokens"), size, half, half))).withColumnRenamed("stretch", "bucket")
+    near = F.array_distinct(F.array(*[F.floor((F.col("start") + x) / size) for x in (0, -half, half)]))
+    hits = scoring.lexicon_hits(tokens, lexicon, KEYS).select(*KEYS, F.explode(near).alias("bucket"), F.struct("start", "end", "valence").alias("hit"))
+    hits = hits.groupBy(*KEYS, "bucket").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,valence:double>>")
 
-def extract(chapters: DataFrame, entities: DataFrame, params: Params, score=None) -> tuple[DataFrame, DataFrame]:
-    """(mentions, edges with sentiment). ``entities`` as `sources.readers.read_entities` gives them."""
+    def scored(c: Column) -> Column:
+        low, high = F.greatest(c["pos"] - half, F.lit(0)), c["pos"] + half
+        context = F.slice("tokens", (low - F.col("first") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+        inside = F.filter("hits", lambda h: (h["start"] >= low) & (h["end"] <= high))
+        score = F.element_at(F.transform(F.array(F.struct(context.alias("tokens"), inside.alias("hits"))), lambda x: scoring.compound(x["tokens"], x["hits"], low)), 1)
+        return F.struct(c["pos"].alias("pos"), c["cast"].alias("cast"), scoring.as_ticks(score).alias("score_e4"))
+
+    def add(found: DataFrame) -> DataFrame:
+        centres = found.groupBy(*KEYS, "bucket").agg(F.collect_list(F.struct("pos", "cast")).alias("centres"))
+        rows = centres.join(cut, [*KEYS, "bucket"]).join(hits, [*KEYS, "bucket"], "left").withColumn("hits", F.coalesce("hits", none))
+        return rows.select(*KEYS, F.inline(F.transform("centres", scored)))
+
+    return add
+
+
+def extract(chapters: DataFrame, entities: DataFrame, params: Params, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mentions, edges with sentiment). ``entities`` as `sources.readers.read_entities` gives them; ``lexicon``: form, valence (None: the built-in one)."""
     tokens = prepared(chapters)
     found = mentions.character_positions(mentions.fill_spans(entities, tokens))
     half = params.window // 2
-    inside = cooccur.in_range(found, tokens)
-    scores = centre_scores(inside, tokens, half, score or scoring.scorer())
-    return found, cooccur.edges(inside, half, params.min_freq, scores=scores)
+    scores = centre_scores(tokens, half, scoring.built_in(chapters.sparkSession) if lexicon is None else lexicon)
+    return found, cooccur.edges(cooccur.in_range(found, tokens), half, params.min_freq, scores=scores)
 
 
 def plain(found: DataFrame, edges: DataFrame) -> Graphs:

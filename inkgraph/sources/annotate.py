@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.functions.text import clean_chapter_text, tokenize
+from inkgraph.operators.phrases import matches
 
 COLUMNS = ["book_id", "chapter", "line_no", "coref", "start", "end", "text", "etype"]
 
@@ -19,18 +20,20 @@ class Provider(Protocol):
 
 
 class Dictionary:
-    """Single-token surface forms from a table (form, coref), in the token space of `tokenize`.
+    """Surface forms of one or more tokens from a table (form, coref), in the token space of `tokenize`.
 
-    The join is by token, so the table may be of any size; no model leaves the JVM.
+    Forms are tokenised as texts are, so letter case and spacing do not matter. Matches do not overlap: the leftmost
+    stays, and of those that begin together the longest. Forms of equal tokens count as the one of least number. The table may be of any size; no model leaves the JVM.
     """
 
     def __init__(self, forms: DataFrame, etype: str = "PER"):
         self.forms, self.etype = forms, etype
 
     def annotate(self, chapters: DataFrame) -> DataFrame:
-        toks = chapters.select("book_id", "chapter", F.posexplode(tokenize(clean_chapter_text(F.col("text")))).alias("start", "tok"))
-        found = toks.join(self.forms.select(F.lower("form").alias("tok"), "coref", F.col("form").alias("text")), "tok")
-        return found.select("book_id", "chapter", F.col("start").alias("line_no"), "coref", "start", F.col("start").alias("end"), "text", F.lit(self.etype).alias("etype"))
+        texts = chapters.select("book_id", "chapter", tokenize(clean_chapter_text(F.col("text"))).alias("tokens"))
+        found = matches(texts, self.forms.select("coref", "form"), ["book_id", "chapter"])
+        number = lambda c: F.col(c).cast("int").alias(c)
+        return found.select("book_id", "chapter", F.col("start").cast("int").alias("line_no"), "coref", number("start"), number("end"), F.col("form").alias("text"), F.lit(self.etype).alias("etype"))
 
 
 def annotate_missing(chapters: DataFrame, cached: DataFrame, provider: Provider) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkgraph.functions import numbers, scoring
+from inkgraph.functions import numbers
 from inkgraph.functions import text as T
 from inkgraph.sources import readers
 
@@ -67,12 +67,3 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(numbers.round_div(F.col("n"), F.col("d"))).collect()] == [4, -4, 1, 0, 0]
     df = spark.createDataFrame([(8.2,), (12345.0,), (47.0,)], "x double")
     assert [r[0] for r in df.select(numbers.general_format("x")).collect()] == ["8.2", "1.234e+04", "47"]
-
-
-def test_scores():
-    assert scoring.compound("a good friend") > 0 > scoring.compound("a cruel war")
-    assert scoring.compound("not good") < 0
-    assert scoring.compound("good , but sad") < 0
-    assert scoring.compound("very good") > scoring.compound("good")
-    assert scoring.compound("") == scoring.compound(None) == scoring.compound("table") == 0.0
-    assert -1 <= scoring.compound("death " * 500) <= -0.99
