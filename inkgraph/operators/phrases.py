@@ -15,6 +15,8 @@ from inkgraph.functions.text import pieces, tokenize
 
 #: Positions in a piece; characters of all phrases up to which they are broadcast.
 PIECE, BROADCAST_CHARS = 2048, 4_000_000
+#: First words up to which tokens that begin no phrase are passed over before they become rows.
+FIRST_WORDS = 10_000
 
 
 def phrase_table(phrases: DataFrame, form: str = "form") -> DataFrame:
@@ -34,8 +36,10 @@ def matches(texts: DataFrame, phrases: DataFrame, keys: list[str], form: str = "
     most = size["most"] or 1
     held = F.broadcast(table) if (size["chars"] or 0) <= BROADCAST_CHARS else table
     cut = texts.select(*keys, F.inline(pieces(F.col("tokens"), PIECE, 0, most - 1)))
-    own = F.slice("tokens", 1, PIECE)
-    at = cut.select(*keys, F.inline(F.transform(own, lambda t, i: F.struct((F.col("first") + i).alias("start"), t.alias("word"), F.slice("tokens", i + 1, most).alias("ahead")))))
+    firsts = [r[0] for r in table.select(F.col("words")[0]).distinct().limit(FIRST_WORDS + 1).collect()]
+    own = F.transform(F.slice("tokens", 1, PIECE), lambda t, i: F.struct(i.alias("i"), t.alias("word")))
+    begins = own if len(firsts) > FIRST_WORDS else F.filter(own, lambda x: x["word"].isin(firsts))
+    at = cut.select(*keys, F.inline(F.transform(begins, lambda x: F.struct((F.col("first") + x["i"]).alias("start"), x["word"].alias("word"), F.slice("tokens", x["i"] + 1, most).alias("ahead")))))
     found = at.join(held, F.col("word") == F.col("words")[0]).filter(F.slice("ahead", 1, F.size("words")) == F.col("words"))
     found = found.select(*keys, "start", (F.col("start") + F.size("words") - 1).alias("end"), "payload")
     if most > 1:

@@ -16,6 +16,7 @@ from inkgraph.functions import text as T
 from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
 from inkgraph.plans import pipelines
 from inkgraph.sources import annotate, readers, writers
+from inkgraph.sources.store import fresh_path
 
 HALF, MIN_FREQ = 60, 2
 
@@ -227,16 +228,41 @@ def extracted_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to sentiment edges: forms found, named, windowed, each centre scored on its own tokens."""
     chapters = _document_chapters(spark, sf)
     lexicon = spark.createDataFrame(TONES, "form string, valence double")
-    _, edges = pipelines.extract(chapters, _forms(spark).annotate(chapters), pipelines.Params(window=20, min_freq=2), lexicon)
+    found, _ = annotate.Cache(fresh_path(spark, "annotations")).annotate(chapters, _forms(spark))
+    _, edges = pipelines.extract(chapters, found, pipelines.Params(window=20, min_freq=2), lexicon)
     return edges
 
 
+MODEL_LIMIT = 500
+
+
+def _model():
+    """A stand-in for a model: people are the words "the" and "der"; a long text is more than it can take."""
+
+    def people(text: str) -> list[tuple]:
+        if len(text) > MODEL_LIMIT:
+            raise ValueError(f"more than {MODEL_LIMIT} characters")
+        words = text.lower().split()
+        return [(1 if w == "the" else 2, i, i, w, "PER") for i, w in enumerate(words) if w in ("the", "der")]
+
+    return people
+
+
+def failed_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as books: a turn the model fails on ends a segment, all others keep their mentions and their place in the segment."""
+    chapters = _t(spark, sf, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chapter"), "text")
+    found, failures = annotate.Cache(fresh_path(spark, "annotations")).annotate(chapters, annotate.Function(_model))
+    placed = pipelines.after_failures(mentions.character_positions(found), chapters, failures, reset=True)
+    counts = placed.groupBy("book_id", "chapter", "name").agg(F.count("*").alias("mention_count"))
+    return counts.join(decay.ordinals(placed), ["book_id", "chapter"]).select("book_id", "chapter", "name", "mention_count", "segment", F.col("k").cast("bigint").alias("k"))
+
+
 def graphml_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One GraphML document a day; the reader and writer are tested against each other."""
     return writers.graphml_documents(graph.plain_nodes(events_mentions(spark, sf)), _event_edges(spark, sf)).select("chapter", F.length("xml").alias("n_chars"))
 
 
-_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, extracted_edges, graphml_documents]
+_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, extracted_edges, failed_turns, graphml_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -429,4 +455,10 @@ SELECT *, 'both' AS side FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION
         "scored_text": _SCORED,
         "dictionary_mentions": _FOUND + "SELECT doc_id AS chapter, start, stop AS \"end\", coref, form AS text FROM found",
         "extracted_edges": _EXTRACTED,
+        "failed_turns": f"""
+WITH t AS (SELECT conv_id AS book_id, turn AS chapter, text, length(text) > {MODEL_LIMIT} AS failed FROM conversations),
+s AS (SELECT *, sum(failed::INT) OVER (PARTITION BY book_id ORDER BY chapter)::BIGINT AS segment FROM t),
+m AS (SELECT book_id, chapter, segment, w AS name FROM (SELECT *, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM s WHERE NOT failed) WHERE w IN ('the', 'der')),
+p AS (SELECT book_id, chapter, row_number() OVER (PARTITION BY book_id, segment ORDER BY chapter) AS k FROM (SELECT DISTINCT book_id, chapter, segment FROM m))
+SELECT book_id, chapter, name, count(*) AS mention_count, segment, k FROM m JOIN p USING (book_id, chapter) GROUP BY ALL""",
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkgraph.operators import decay, sweep
 from inkgraph.plans import pipelines
 from inkgraph.sources import annotate, readers, writers
+from inkgraph.sources.store import kept
 
 
 # Option names and defaults are fixed values.
@@ -21,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chapters", help="pattern of {book_id}_ch{NN}.txt files, instead of --books")
     p.add_argument("--entities", help="pattern of {book_id}_ch{NN}.entities files")
     p.add_argument("--dictionary", help="file of lines 'surface form TAB number of the person'; annotates the chapters that have no entities")
+    p.add_argument("--cache", help="folder in which annotations are kept from run to run (default: annotations in --out)")
+    p.add_argument("--on_failure", choices=["keep", "reset"], help="what carried state does at a chapter that could not be annotated; sweeps reset, other runs keep")
     p.add_argument("--lexicon", help="file of lines 'word or phrase TAB valence', in place of the built-in one")
     p.add_argument("--gold", help="pattern of {book_id}_ch{NN}.graphml files")
     p.add_argument("--out", required=True)
@@ -41,18 +44,15 @@ def _pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema, quote="").dropna()
 
 
-def _entities(spark: SparkSession, a: argparse.Namespace, chapters: DataFrame) -> DataFrame:
-    cached = readers.read_entities(spark, a.entities) if a.entities else None
+def _entities(spark: SparkSession, a: argparse.Namespace, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, failures): those of the files, and the dictionary's for chapters that have none there."""
+    given = readers.read_entities(spark, a.entities) if a.entities else None
     if not a.dictionary:
-        return cached
+        return given, chapters.select("book_id", "chapter").limit(0)
     provider = annotate.Dictionary(_pairs(spark, a.dictionary, "form string, coref int"))
-    return provider.annotate(chapters) if cached is None else annotate.annotate_missing(chapters, cached, provider)
-
-
-def _kept(frame: DataFrame, path: str) -> DataFrame:
-    """Written once for all that follow."""
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    without = chapters if given is None else chapters.join(given.select("book_id", "chapter").distinct(), ["book_id", "chapter"], "left_anti")
+    found, failures = annotate.Cache(a.cache or f"{a.out}/annotations").annotate(without, provider)
+    return found if given is None else given.select(*annotate.COLUMNS).unionByName(found), failures
 
 
 def _show(rows: DataFrame, columns: dict[str, str], order: list[str]) -> None:
@@ -84,7 +84,11 @@ def main(args: list[str]) -> int:
     if a.mode != "plain" and chapters.select("book_id", "chapter").distinct().limit(2).count() < 2:
         print("warning: with fewer than two chapters nothing is carried")
     lexicon = _pairs(spark, a.lexicon, "form string, valence double") if a.lexicon else None
-    found, edges = (_kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, _entities(spark, a, chapters), params, lexicon), ("mentions", "edges"), strict=True))
+    entities, failures = _entities(spark, a, chapters)
+    found, edges = (kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, entities, params, lexicon), ("mentions", "edges"), strict=True))
+    if not failures.isEmpty():
+        print("chapters that failed are in the cache's rows")
+        found = pipelines.after_failures(found, chapters, failures, reset=(a.on_failure or ("reset" if a.mode == "sweep" else "keep")) == "reset")
     gold = tuple(map(_keyed, readers.read_graphml(spark, a.gold))) if a.gold else None
     if a.mode == "sweep":
         if gold is None or gold[0].limit(1).isEmpty():

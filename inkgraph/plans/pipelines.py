@@ -16,6 +16,7 @@ from inkgraph.functions import scoring
 from inkgraph.functions import text as T
 from inkgraph.functions.numbers import polarity, ticks
 from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.sources.store import fresh_path, kept
 
 KEYS = ["book_id", "chapter"]
 
@@ -78,11 +79,15 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
 
 
 def extract(chapters: DataFrame, entities: DataFrame, params: Params, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mentions, edges with sentiment). ``entities`` as `sources.readers.read_entities` gives them; ``lexicon``: form, valence (None: the built-in one)."""
-    tokens = prepared(chapters)
+    """(mentions, edges with sentiment). ``entities`` as `sources.readers.read_entities` gives them; ``lexicon``: form, valence (None: the built-in one).
+
+    Tokens are written once to the shared folder; entities are read several times, so they should be a table (`sources.annotate.Cache`) and not a provider's plan.
+    """
+    spark = chapters.sparkSession
+    tokens = kept(prepared(chapters), fresh_path(spark, "tokens"))
     found = mentions.character_positions(mentions.fill_spans(entities, tokens))
     half = params.window // 2
-    scores = centre_scores(tokens, half, scoring.built_in(chapters.sparkSession) if lexicon is None else lexicon)
+    scores = centre_scores(tokens, half, scoring.built_in(spark) if lexicon is None else lexicon)
     return found, cooccur.edges(cooccur.in_range(found, tokens), half, params.min_freq, scores=scores)
 
 
@@ -110,11 +115,21 @@ def carried(found: DataFrame, edges: DataFrame, params: Params) -> Graphs:
     return Graphs(nodes, linked, graph.summary_records(nodes, linked))
 
 
+def after_failures(found: DataFrame, chapters: DataFrame, failures: DataFrame, reset: bool) -> DataFrame:
+    """Mentions for `carried`, `decay.decayed` and sweeps when some chapters failed: their state passes over a failed chapter, or with ``reset`` starts afresh after it."""
+    if not reset:
+        return found.join(failures.select(*KEYS).distinct(), KEYS, "left_anti")
+    failed = failures.select(*KEYS).distinct().withColumn("failed", F.lit(True))
+    flagged = chapters.select(*KEYS).distinct().join(failed, KEYS, "left").fillna(False, ["failed"])
+    return found.join(decay.segments(flagged), KEYS)
+
+
 def snapshots(graphs: Graphs, found: DataFrame, params: Params) -> DataFrame:
-    """Snapshot of each chapter's previous graph, as the next chapter sees it: book_id, k, snapshot."""
+    """Snapshot of each chapter's previous graph, as the next chapter sees it: book_id [, segment], k, snapshot."""
     place = decay.ordinals(found)
-    cast = found.join(place, KEYS).select("book_id", (F.col("k") - 1).alias("k"), "name")
-    return snapshot.serialize(graphs.edges, params.strategy, params.top_n, cast if params.strategy == "topN" else None, ["book_id", "k"])
+    runs = [c for c in ("book_id", "segment") if c in found.columns]
+    cast = found.join(place.select(*KEYS, "k"), KEYS).select(*runs, (F.col("k") - 1).alias("k"), "name")
+    return snapshot.serialize(graphs.edges, params.strategy, params.top_n, cast if params.strategy == "topN" else None, [*runs, "k"])
 
 
 def evaluate(graphs: Graphs, gold_nodes: DataFrame, gold_edges: DataFrame, budget: int = 200_000) -> DataFrame:
