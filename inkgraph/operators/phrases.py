@@ -3,7 +3,7 @@
 Token streams are cut into bounded pieces that reach over their end by a phrase's length. Every token meets the phrases that begin with it: the
 phrases are sent to all tasks where their size, which is looked at first, allows it; else both sides are dealt out by that token. What
 follows the token decides. Of the phrases found at one place the longest stays; of places that overlap, the leftmost, then the next that begins after its end, and so on:
-matches (not tokens) of one text are put in order for that, and only runs of overlapping ones are gathered and folded.
+matches (not tokens) of one text are put in order for that, on one task, and only runs of overlapping ones are gathered and folded.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ FIRST_WORDS = 10_000
 
 
 def phrase_table(phrases: DataFrame, form: str = "form") -> DataFrame:
-    """words array<string>, payload struct (the other columns and the form): each token sequence once, with its least payload. Forms without a token are no phrases."""
+    """words array<string>, payload struct (the other columns): each token sequence once, with its least payload. Forms without a token are no phrases."""
     rest = [c for c in phrases.columns if c != form]
-    words = phrases.select(tokenize(F.col(form)).alias("words"), F.struct(*rest, F.col(form)).alias("payload"))
+    words = phrases.select(tokenize(F.col(form)).alias("words"), F.struct(*rest).alias("payload"))
     return words.filter(F.size("words") > 0).groupBy("words").agg(F.min("payload").alias("payload"))
 
 
 def matches(texts: DataFrame, phrases: DataFrame, keys: list[str], form: str = "form") -> DataFrame:
-    """keys, start, end (both inclusive), and the columns of ``phrases``. ``texts``: keys and tokens array<string>, a row each; ``keys`` tell texts apart.
+    """keys, start, end (both inclusive), and the columns of ``phrases`` but the form. ``texts``: keys and tokens array<string>, a row each; ``keys`` tell texts apart.
 
     Null and empty texts have no matches, nor has anything without phrases; a phrase of many tokens is one match, wherever a stretch of the text was cut.
     """
@@ -43,7 +43,7 @@ def matches(texts: DataFrame, phrases: DataFrame, keys: list[str], form: str = "
     found = at.join(held, F.col("word") == F.col("words")[0]).filter(F.slice("ahead", 1, F.size("words")) == F.col("words"))
     found = found.select(*keys, "start", (F.col("start") + F.size("words") - 1).alias("end"), "payload")
     if most > 1:
-        found = found.groupBy(*keys, "start").agg(F.max_by(F.struct("end", "payload"), "end").alias("m")).select(*keys, "start", "m.*")
+        found = found.repartition(*keys).groupBy(*keys, "start").agg(F.max_by(F.struct("end", "payload"), "end").alias("m")).select(*keys, "start", "m.*")
         before = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
         found = found.withColumn("apart", F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True)))
         found = found.withColumn("run", F.sum(F.col("apart").cast("int")).over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))

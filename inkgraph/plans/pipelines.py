@@ -57,7 +57,8 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
     a stretch of them, so one long chapter is many tasks. A form that the window's border cuts does not count.
     """
     size = cooccur.stretch_of(half)
-    cut = tokens.select(*KEYS, F.inline(T.pieces(F.col("tokens"), size, half, half))).withColumnRenamed("stretch", "bucket")
+    cut = tokens.select(*KEYS, F.inline(T.pieces(F.col("tokens"), size, half, half)))
+    cut = cut.select(*KEYS, F.col("stretch").alias("bucket"), "first", F.array_join("tokens", " ").alias("joined"))  # tokens hold no spaces; a string takes a third of the room
     near = F.array_distinct(F.array(*[F.floor((F.col("start") + x) / size) for x in (0, -half, half)]))
     hits = scoring.lexicon_hits(tokens, lexicon, KEYS).select(*KEYS, F.explode(near).alias("bucket"), F.struct("start", "end", "valence").alias("hit"))
     hits = hits.groupBy(*KEYS, "bucket").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
@@ -72,7 +73,7 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
 
     def add(found: DataFrame) -> DataFrame:
         centres = found.groupBy(*KEYS, "bucket").agg(F.collect_list(F.struct("pos", "cast")).alias("centres"))
-        rows = centres.join(cut, [*KEYS, "bucket"]).join(hits, [*KEYS, "bucket"], "left").withColumn("hits", F.coalesce("hits", none))
+        rows = centres.join(cut, [*KEYS, "bucket"]).join(hits, [*KEYS, "bucket"], "left").withColumns({"hits": F.coalesce("hits", none), "tokens": F.split("joined", " ")})
         return rows.select(*KEYS, F.inline(F.transform("centres", scored)))
 
     return add

@@ -41,9 +41,9 @@ class Dictionary:
 
     def annotate(self, chapters: DataFrame) -> DataFrame:
         texts = chapters.select("book_id", "chapter", tokenize(clean_chapter_text(F.col("text"))).alias("tokens"))
-        found = matches(texts, self.forms.select("coref", "form"), ["book_id", "chapter"])
+        found = matches(texts, self.forms.select("coref", F.col("form").alias("text"), "form"), ["book_id", "chapter"])
         number = lambda c: F.col(c).cast("int").alias(c)
-        return found.select("book_id", "chapter", F.col("start").cast("int").alias("line_no"), "coref", number("start"), number("end"), F.col("form").alias("text"), F.lit(self.etype).alias("etype"))
+        return found.select("book_id", "chapter", F.col("start").cast("int").alias("line_no"), "coref", number("start"), number("end"), "text", F.lit(self.etype).alias("etype"))
 
 
 class Function:
