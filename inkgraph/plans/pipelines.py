@@ -64,17 +64,18 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
     hits = hits.groupBy(*KEYS, "bucket").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,valence:double>>")
 
-    def scored(c: Column) -> Column:
+    def scored(c: Column, words: Column) -> Column:
         low, high = F.greatest(c["pos"] - half, F.lit(0)), c["pos"] + half
-        context = F.slice("tokens", (low - F.col("first") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+        context = F.slice(words, (low - F.col("first") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
         inside = F.filter("hits", lambda h: (h["start"] >= low) & (h["end"] <= high))
         score = F.element_at(F.transform(F.array(F.struct(context.alias("tokens"), inside.alias("hits"))), lambda x: scoring.compound(x["tokens"], x["hits"], low)), 1)
         return F.struct(c["pos"].alias("pos"), c["cast"].alias("cast"), scoring.as_ticks(score).alias("score_e4"))
 
     def add(found: DataFrame) -> DataFrame:
         centres = found.groupBy(*KEYS, "bucket").agg(F.collect_list(F.struct("pos", "cast")).alias("centres"))
-        rows = centres.join(cut, [*KEYS, "bucket"]).join(hits, [*KEYS, "bucket"], "left").withColumns({"hits": F.coalesce("hits", none), "tokens": F.split("joined", " ")})
-        return rows.select(*KEYS, F.inline(F.transform("centres", scored)))
+        rows = centres.join(cut, [*KEYS, "bucket"]).join(hits, [*KEYS, "bucket"], "left").withColumn("hits", F.coalesce("hits", none))
+        each = F.transform(F.array(F.split("joined", " ")), lambda words: F.transform("centres", lambda c: scored(c, words)))  # split once a stretch
+        return rows.select(*KEYS, F.inline(F.flatten(each)))
 
     return add
 
