@@ -46,7 +46,8 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Го
 MALE_TITLES = ["Mr", "Monsieur", "Herr", "Señor", "Господин"]
 
 _TITLE = "|".join(FEMALE_TITLES + MALE_TITLES)
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+#: A domain name has 127 labels at most; without that bound the expression would go one call deeper for each label of a hostile text.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z-])|(?<![0-9A-Za-z-])[0-9]{13,19}(?![0-9A-Za-z-])"

@@ -342,6 +342,16 @@ def test_surrogates_stay_distinct(spark):
     assert not got & {r.text[5:-4] for r in rows.collect()}
 
 
+def test_surrogates_of_a_megabyte_of_labels(spark):
+    """The expression does not go deeper for each label; addresses beside the labels are still found."""
+    labels = "see a@" + "b." * 500_000 + "!"
+    rows = [(1, labels), (2, labels + " then ann@mail.example.org."), (3, "x@" + "a." * 126 + "com end")]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == labels and got[1].n_entities == 0
+    assert got[2].text.startswith(labels) and "ann@mail" not in got[2].text and got[2].n_entities == 1
+    assert got[3].n_entities == 1 and "a.a." not in got[3].text
+
+
 def test_surrogates_use_no_python(spark):
     plan = surrogates.pseudonymise(spark.createDataFrame(TEXTS, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
