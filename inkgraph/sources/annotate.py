@@ -20,6 +20,10 @@ from inkgraph.sources.store import exists
 COLUMNS = ["book_id", "chapter", "line_no", "coref", "start", "end", "text", "etype"]
 
 
+#: Rows that a Python provider hands on at once.
+ROWS = 10_000
+
+
 class Provider(Protocol):
     """Anything that turns (book_id, chapter, text) into rows of COLUMNS.
 
@@ -62,14 +66,19 @@ class Function:
         names = [*COLUMNS, "error"]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            call = make()
+            call, held = make(), []
+            table = lambda: pd.DataFrame(held, columns=names).astype({c: "Int64" for c in ("line_no", "coref", "start", "end")})
             for pdf in batches:
                 for book, chapter, text in zip(pdf["book_id"], pdf["chapter"], pdf["text"], strict=True):
                     try:
-                        rows = [(book, chapter, i, *row, None) for i, row in enumerate(call("" if text is None else text))]
+                        held += [(book, chapter, i, *row, None) for i, row in enumerate(call("" if text is None else text))]
                     except Exception as e:  # of whatever kind: models raise their own
-                        rows = [(book, chapter, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("line_no", "coref", "start", "end")})
+                        held.append((book, chapter, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    if len(held) >= ROWS:
+                        yield table()
+                        held = []
+            if held:
+                yield table()
 
         return chapters.select("book_id", "chapter", "text").mapInPandas(run, f"book_id {kinds['book_id']}, chapter {kinds['chapter']}, line_no int, coref int, start int, end int, text string, etype string, error string")
 
