@@ -54,7 +54,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts without an entity, empty ones too, stay as they are; repeated rows change alike; other columns stay; no rows give no rows.
     """
-    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return surrogates.pseudonymise(docs, surrogates.session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

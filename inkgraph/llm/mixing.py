@@ -12,11 +12,14 @@ Defined results: a null source is a source of its own (named '' in `rates`); a
 source of weight 0 or absent from explicit weights is left out; rows that repeat
 a doc_id draw the same number; a null doc_id draws as the text 'null'; an empty table gives no
 rows. Null and empty texts have size 0 and are still drawn. A source of size 0
-has rate 0.
+has rate 0. Very long texts count in full. A small source of great weight repeats as often as its rate asks, up
+to a mean of 10^9 (`MAX_RATE`); above that the run stops and says so.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ from inkgraph.llm.common import free_names, partitions, table
 
 #: Sources up to which the rates are broadcast; with more they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Copies of a document that are counted out at once; a row never holds an array of more.
+BLOCK = 65_536
+#: Mean repetition rate above which a run stops: nobody mixes a document a billion times, and copies are counted in an int.
+MAX_RATE = 1e9
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -49,20 +56,24 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return wanted.join(F.broadcast(total), F.lit(True)).select("mix_source", share.alias("rate"))  # one row
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until the rest cannot be drawn, as an array.
+def poisson_quantile(rate: Column, u: Column) -> Column:
+    """The least k with P(X <= k) > u, of a Poisson distribution: how often a document is repeated.
 
-    Probabilities are summed from logarithms so that large rates do not underflow.
+    Probabilities are summed one by one from 12 standard deviations below the mean (what lies before is less than 1e-30) to as many above
+    it; nothing is kept but the sum, so a rate of a million takes some 24,000 steps. The first is a logarithm, by Stirling's series where it does not start at 0.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("out"))
+    reach = 12 * F.sqrt(rate) + 30
+    low, high = F.greatest(F.floor(rate - reach), F.lit(0)).cast("bigint"), F.ceil(rate + reach).cast("bigint")
+    first = F.when(low == 0, -rate).otherwise(low * F.log1p((rate - low) / low) - (rate - low) - F.log(2 * math.pi * low) / 2 - 1 / (12 * low))
+    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("total"), low.alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
-        log_p = F.when(k == 0, acc["log_p"]).otherwise(acc["log_p"] + F.log(rate / k))
+        log_p = F.when(k == low, first).otherwise(acc["log_p"] + F.log(rate / k))
         total = acc["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(acc["out"], F.array(total)).alias("out"))
+        return F.struct(log_p.alias("log_p"), total.alias("total"), (acc["n"] + (total <= u).cast("bigint")).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["out"])).otherwise(F.array(F.lit(1.0)))
+    counted = F.aggregate(F.sequence(low, high), start, step, lambda acc: acc["n"])
+    return F.when(rate > MAX_RATE, F.raise_error(F.concat(F.lit("a mean repetition rate above 10^9: "), rate.cast("string"))).cast("bigint")).when(rate > 0, counted).otherwise(F.lit(0).cast("bigint"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, budget: float = 1.0, seed: str = "mix-1", source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,15 +86,16 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     """
     spark = docs.sparkSession
     copy, copies, name = free_names(docs.columns, "mix_copy", "mix_copies", "mix_key")
-    rate = rates(docs, weights, temperature, budget, source, text).select("mix_source", poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    rate = rates(docs, weights, temperature, budget, source, text).select("mix_source", F.col("rate").alias("mix_rate"))
     few = docs.select(source).distinct().count() <= BROADCAST_SOURCES
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), F.col(key).alias("mix_doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("mix_source"))
     drawn = (
         held.join(F.broadcast(rate) if few else rate, "mix_source")
         .withColumn("mix_u", uniform(F.col("mix_doc"), seed))
-        .withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
+        .withColumn("mix_copies", poisson_quantile(F.col("mix_rate"), F.col("mix_u")).cast("int"))
         .filter("mix_copies > 0")
-        .select("mix_row", "mix_doc", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
+        .select("mix_row", "mix_doc", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1, F.lit(BLOCK))).alias("mix_from"))
+        .select("mix_row", "mix_doc", "mix_copies", F.explode(F.sequence("mix_from", F.least(F.col("mix_from") + (BLOCK - 1), F.col("mix_copies") - 1))).alias("mix_copy"))
     )
     called = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("mix_doc").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))
     keyed = drawn.withColumn("mix_key", F.substring(F.md5(called), 1, 16))

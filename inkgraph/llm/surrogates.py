@@ -2,17 +2,22 @@
 
 One pattern finds e-mail addresses, IPv4 addresses, phone numbers, payment cards,
 secrets and titled personal names. Each distinct entity gets one surrogate for the
-whole corpus, drawn from SHA-256 of a key, its type, its canonical form and an attempt
+whole corpus, drawn from HMAC-SHA-256, under a secret key, of its type, its canonical form and an attempt
 number, in the same format: digits for digits in the same grouping (cards keep a valid
 check digit, phone numbers their country code), hexadecimal for hexadecimal in the same case, octets for octets, a name
 in the same script and of the same gender for a name. A name under titles of both genders is two entities.
 
 Surrogates are checked: one that another entity also drew, or that is itself an entity of
 the corpus, is drawn again by all but the least of those entities, until all are distinct (distinctness);
-equal entities share their surrogate wherever they occur (coreference). Every draw keeps the format. Where a
-format is so full that ``ATTEMPTS`` draws did not find a free form, a surrogate may equal an entity
-of the corpus, but no other surrogate; where ``LAST`` draws find none either, the run fails rather than give two
-entities one surrogate.
+equal entities share their surrogate wherever they occur (coreference). Every draw keeps the format. Names have as
+many forms as are needed: each draw has a syllable more than the one before, so any number of names is distinct after a few draws.
+Numbers keep their length; from draw ``WIDER`` on, the digits that are otherwise left alone (exchange, first digit after the
+country code) are drawn too, so a format is full only when its entities are most of all numbers of that length. Where
+``ATTEMPTS`` draws did not find a free form even so, a surrogate may equal an entity of the corpus, but no other surrogate; where
+``LAST`` draws find none either, the run fails rather than give two entities one surrogate.
+
+The key is the caller's and has no default: who knows it can recompute the surrogate of a guessed entity. It is part of the query
+plan, so plans and event logs of a run are as secret as the key. Only the registered query, whose input is public, falls back on a published key.
 
 Numbers that are not valid cards, and dotted numbers that are not addresses, stay as
 they are. Defined results: null text stays null; text without an entity stays byte for
@@ -22,7 +27,9 @@ whatever their names (where n_entities is one of them, the added column gets an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph.llm.common import durable, free_names, table
@@ -56,8 +63,12 @@ NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IP, PHONE, CARD, SECRET, NAME))
 #: What any entity has in it; quicker to look for.
 HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?:{_TITLE})[. ]"
+#: Draws after which numbers keep less of the original.
+WIDER = 8
 #: Draws after which a form that is itself an entity of the corpus will do, and after which the run fails.
 ATTEMPTS, LAST = 24, 400
+#: The setting that holds the key of the registered query and the pipeline, and the published key they use on public data where it is not set.
+KEY_SETTING, PUBLISHED_KEY = "spark.inkgraph.pii.key", "inkgraph"
 
 
 def digits_of(value: Column) -> Column:
@@ -89,6 +100,20 @@ def canonical(value: Column, kind: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits_of(value))).when(kind == "card", digits_of(value)).when(kind == "secret", F.lower(value)).when(kind == "name", F.regexp_replace(F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", ""), "’", "'")).otherwise(value)
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLISHED_KEY)
+
+
+def keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, in 64 lower-case hexadecimal digits."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    secret = key.encode()
+    block = (secret if len(secret) <= 64 else hashlib.sha256(secret).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def _number(hex_text: Column, at: int, width: int = 8) -> Column:
     return F.conv(F.substring(hex_text, at, width), 16, 10).cast("bigint")
 
@@ -103,38 +128,41 @@ def country_code(core: Column) -> Column:
     return F.when(~core.startswith("+"), 0).when(core.rlike(rf"^\+{ONE_DIGIT}"), 2).when(core.rlike(rf"^\+(?:{TWO_DIGITS})"), 3).otherwise(4)
 
 
-def surrogate_core(kind: Column, core: Column, gender: Column, attempt: Column, key: str) -> tuple[Column, Column]:
-    """The canonical form of the surrogate: same kind, same length where the format fixes one."""
-    draw = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, gender, attempt.cast("string")), 256)
-    stream = _digit_stream(draw)
+def surrogate_core(kind: Column, core: Column, gender: Column, attempt: int) -> Column:
+    """The canonical form of the surrogate: same kind, same length where the format fixes one. Reads the columns that `_draw` adds."""
+    draw = F.col("core_draw")
     pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (_number(draw, at) % len(names) + 1).cast("int"))
-    long_draw = F.concat(draw, F.sha2(F.concat(draw, F.lit("+")), 256))
     octet = lambda i, low, width: (_number(draw, 1 + 8 * i) % width + low).cast("string")
-    ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
+    ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)) if attempt < WIDER else F.concat_ws(".", *[octet(i, 0, 256) for i in range(4)])
     body = F.concat(F.substring(core, 1, 1), F.expr("substring(core_stream, 1, length(core_in) - 2)"))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     # Ten digits at home: area, the exchange as it is, line. Elsewhere the country code and the first digit stay.
     ten = F.expr("concat(substring(core_in, 1, core_code), cast(2 + cast(substring(core_stream, 1, 1) as int) % 8 as string), substring(core_stream, 2, 2), substring(core_in, core_code + 4, 3), substring(core_stream, 4, 4))")
     other = F.expr("concat(substring(core_in, 1, core_code + 1), substring(core_stream, 1, length(core_in) - core_code - 1))")
+    if attempt >= WIDER:
+        ten = other = F.expr("concat(substring(core_in, 1, core_code), substring(core_stream, 1, length(core_in) - core_code))")
     phone = F.when((F.length(core) - F.col("core_code") == 10) & (F.col("core_code").isin(0) | core.startswith("+1")), ten).otherwise(other)
     domain = F.substring_index(core, "@", -1)
     email = F.concat(F.lower(pick(FEMALE + MALE, 1)), F.lit("."), F.substring(draw, 9, 8), F.lit("@"), F.lit("mail"), (_number(draw, 17) % 10).cast("string"), F.lit(".example."), F.substring_index(domain, ".", -1))
-    syllables = lambda parts, n: F.initcap(F.concat(*[pick(parts, 9 + 8 * i) for i in range(n)]))
-    first, last = F.when(gender == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), syllables(LATIN_PARTS, 4)
+    n_parts = 4 + min(attempt, 11)  # as many as the draw has digits for
+    chosen = lambda parts, at: F.element_at(F.array(*[F.lit(x) for x in parts]), (_number(F.col("core_long"), at) % len(parts) + 1).cast("int"))
+    syllables = lambda parts: F.initcap(F.concat(*[chosen(parts, 9 + 8 * i) for i in range(n_parts)]))
+    first, last = F.when(gender == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), syllables(LATIN_PARTS)
     for script, female, male, parts in (("Cyrillic", FEMALE_CYRILLIC, MALE_CYRILLIC, CYRILLIC_PARTS), ("Greek", FEMALE_GREEK, MALE_GREEK, GREEK_PARTS), ("Armenian", FEMALE_ARMENIAN, MALE_ARMENIAN, ARMENIAN_PARTS)):
         own = core.rlike(rf"\p{{Is{script}}}")
-        first, last = F.when(own, F.when(gender == "f", pick(female, 1)).otherwise(pick(male, 1))).otherwise(first), F.when(own, syllables(parts, 4)).otherwise(last)
+        first, last = F.when(own, F.when(gender == "f", pick(female, 1)).otherwise(pick(male, 1))).otherwise(first), F.when(own, syllables(parts)).otherwise(last)
     name = F.when(core.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "phone", phone).when(kind == "secret", F.expr("substring(core_long, 1, length(core_in))")).when(kind == "name", name)
-    parts = F.struct(stream.alias("stream"), long_draw.alias("long"))
-    return made, parts
+    return made
 
 
-def _draw(entities: DataFrame, key: str) -> DataFrame:
+def _draw(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     """Add column drawn. Secrets longer than 128 digits repeat their draw."""
-    made, parts = surrogate_core(F.col("kind"), F.col("core"), F.col("gender"), F.col("attempt"), key)
-    with_parts = entities.withColumn("parts", parts).withColumn("core_in", F.col("core")).withColumn("core_code", country_code(F.col("core"))).withColumn("core_stream", F.col("parts.stream")).withColumn("core_long", F.expr("repeat(parts.long, cast(length(core) / 128 as int) + 1)"))
-    return with_parts.withColumn("drawn", made).drop("parts", "core_in", "core_code", "core_stream", "core_long")
+    draw = F.col("core_draw")
+    long_draw = F.concat(draw, F.sha2(F.concat(draw, F.lit("+")), 256))
+    own = entities.withColumn("core_draw", keyed(key, F.concat_ws("\x1f", "kind", "core", "gender", F.lit(str(attempt)))))
+    own = own.withColumns({"core_in": F.col("core"), "core_code": country_code(F.col("core")), "core_stream": _digit_stream(draw), "core_long": F.repeat(long_draw, F.floor(F.length("core") / 128).cast("int") + 1)})
+    return own.withColumn("drawn", surrogate_core(F.col("kind"), F.col("core"), F.col("gender"), attempt)).select(*entities.columns, "drawn")
 
 
 def mapping(entities: DataFrame, key: str) -> DataFrame:
@@ -146,7 +174,7 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     known = entities.select("kind", F.col("core").alias("drawn")).distinct()
     left, kept, attempt = entities, None, 0
     while True:
-        drawn = _draw(left.withColumn("attempt", F.lit(attempt)), key)
+        drawn = _draw(left, key, attempt)
         free = drawn.join(known, ["kind", "drawn"], "left_anti") if attempt < ATTEMPTS else drawn.filter("drawn <> core")
         if kept is not None:
             free = free.join(kept.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
@@ -169,7 +197,7 @@ def reshape(kind: Column, original: Column, drawn: Column) -> Column:
     return F.when(kind.isin("phone", "card"), seen).when(kind.isin("email", "secret") & (original == F.upper(original)), F.upper(drawn)).when(kind == "name", F.concat(title, drawn)).otherwise(drawn)
 
 
-def pseudonymise(docs: DataFrame, key: str = "inkgraph", doc: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with entities of ``text`` replaced; column n_entities is added.
 
     Documents without an entity are not shuffled. Of the others, entities go out
@@ -199,4 +227,4 @@ def pseudonymise(docs: DataFrame, key: str = "inkgraph", doc: str = "doc_id", te
 
 
 def op10_surrogates(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "text")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)).select("doc_id", "n_entities", "text")

@@ -1,6 +1,8 @@
 """Archives, tokens, mixing, languages, pages and personal data."""
 
 import hashlib
+import hmac
+import itertools
 import math
 import random
 import re
@@ -120,10 +122,28 @@ def test_mixing(spark):
     assert keys == sorted(keys)
 
 
+def poisson_quantile(rate, u):
+    """The least k with P(X <= k) > u, by exact logarithms of factorials; the tail below is counted as nothing."""
+    low, total = max(0, int(rate - 15 * math.sqrt(rate) - 30)), 0.0
+    for k in itertools.count(low):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0
+        if total > u:
+            return k
+
+
 def test_mixing_large_rates(spark):
-    cdf = spark.createDataFrame([(0.0,), (900.0,)], "rate double").select(mixing.poisson_cdf(F.col("rate")).alias("c")).collect()
-    assert cdf[0].c == [1.0]
-    assert abs(cdf[1].c[-1] - 1) < 1e-9
+    us = [0.0001, 0.1, 0.25, 0.5, 0.77, 0.9, 0.9999]
+    rows = [(float(rate), u) for rate in (0, 0.3, 1, 7, 150, 194, 196, 900, 5000, 20_000, 1_000_000) for u in us]
+    got = spark.createDataFrame(rows, "rate double, u double").select("rate", "u", mixing.poisson_quantile(F.col("rate"), F.col("u")).alias("n")).collect()
+    for r in got:
+        # At a rate of a million, lgamma itself is right to some 1e-9 only: a step of 4e-4 decides.
+        assert abs(r.n - poisson_quantile(r.rate, r.u)) <= (0 if r.rate < 1e5 else 1), r
+    few = spark.createDataFrame([(1, "a", "small"), (2, "a" * 30_000, "large"), (3, None, None)], "doc_id long, text string, source string")
+    mixed = mixing.replicate(few, {"small": 0.5, "large": 0.5}, budget=10.0).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("mix_copy").alias("d"), F.max("mix_copies").alias("m")).collect()
+    copies = {r.doc_id: r.n for r in mixed}
+    assert all(r.n == r.d == r.m for r in mixed) and abs(copies[1] - 150_005) < 3000
+    with pytest.raises(Exception, match="rate"):
+        spark.createDataFrame([(1e10, 0.5)], "rate double, u double").select(mixing.poisson_quantile(F.col("rate"), F.col("u"))).collect()
 
 
 def test_languages_held_out(spark):
@@ -282,9 +302,13 @@ TEXTS = [
 ]
 
 
+def pseudonymise(docs, key="test"):
+    return surrogates.pseudonymise(docs, key)
+
+
 def test_surrogates(spark):
     docs = clashing(spark.createDataFrame(TEXTS, "doc_id long, text string"))
-    got = surrogates.pseudonymise(docs).collect()
+    got = pseudonymise(docs).collect()
     text = {r.doc_id: r.text for r in got}
     assert len(got) == len(TEXTS)
     assert set(got[0].asDict()) == {*docs.columns, "n_entities"}
@@ -308,18 +332,18 @@ def test_surrogates(spark):
     assert first == second != "Smith"
     assert re.search(r"Госпожа [А-Я]", text[5])
     named = docs.withColumns({c: F.lit("own") for c in ("pii_found", "pii_doc", "pii_new", "n_entities")})
-    assert {(r.pii_found, r.pii_doc, r.pii_new, r.n_entities) for r in surrogates.pseudonymise(named).collect()} == {("own",) * 4}
-    again = surrogates.pseudonymise(docs).collect()
+    assert {(r.pii_found, r.pii_doc, r.pii_new, r.n_entities) for r in pseudonymise(named).collect()} == {("own",) * 4}
+    again = pseudonymise(docs).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
-    other = {r.doc_id: r.text for r in surrogates.pseudonymise(docs, key="other").collect()}
+    other = {r.doc_id: r.text for r in pseudonymise(docs, key="other").collect()}
     assert other[1] != text[1]
-    assert surrogates.pseudonymise(docs.limit(0)).count() == 0
+    assert pseudonymise(docs.limit(0)).count() == 0
 
 
 def test_surrogates_match_gender_script_and_format(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
     rows = [(1, "Mr. Alex Doe and Mrs. Alex Doe and Mr. Alex Doe"), (2, "Mr. Παπαδόπουλος, Mrs. Ελένη Νίκου, Mr. Արամ Հայկյան"), (3, "Call +49 30 901820 or +4930901820 or +380 44 123 4567")]
-    got = {r.doc_id: r.text for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     he, she, again = re.fullmatch(r"Mr\. (.*) and Mrs\. (.*) and Mr\. (.*)", got[1]).groups()
     assert he == again
     assert he.split()[0] in surrogates.MALE
@@ -331,29 +355,59 @@ def test_surrogates_match_gender_script_and_format(spark, monkeypatch):
     assert re.fullmatch(r"Call \+49 3\d \d{6} or \+493\d{7} or \+380 4\d \d{3} \d{4}", got[3])
     assert got[3][5:18].replace(" ", "") == got[3][21:33].strip().replace(" ", "")
     many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("+49 3"), F.lpad(F.col("id").cast("string"), 1, "0"), F.lit(" 000 "), F.lpad((F.col("id") * 7).cast("string"), 4, "0")).alias("text"))
-    shaped = [r.text for r in surrogates.pseudonymise(many).collect()]
+    shaped = [r.text for r in pseudonymise(many).collect()]
     assert all(re.fullmatch(r"\+49 3\d \d{3} \d{4}", t) for t in shaped)
 
 
 def test_surrogates_stay_distinct(spark):
     rows = spark.range(3000).select("id", F.concat(F.lit("call +1 (555) 555-"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" now")).alias("text")).withColumnRenamed("id", "doc_id")
-    got = {re.search(r"\+1.*\d", r.text)[0] for r in surrogates.pseudonymise(rows).collect()}
+    got = {re.search(r"\+1.*\d", r.text)[0] for r in pseudonymise(rows).collect()}
     assert len(got) == 3000
     assert not got & {r.text[5:-4] for r in rows.collect()}
 
 
+def test_surrogates_of_very_many_names(spark):
+    """More names than the first draws have forms, in each script; none is given twice, none is a name of the corpus."""
+    n, digits = 25_000, {"mr": "abcdefghij", "ms": "абвгдежзик", "mx": "αβγδεζηθικ", "my": "աբգդեզէըթժ"}
+    rows = [(t, f"Mr. {letters[0].upper()}{''.join(letters[int(c)] for c in f'{i:05d}')}") for t, letters in digits.items() for i in range(n)]
+    got = pseudonymise(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", F.substring("text", 5, 99).alias("name"), "n_entities").toPandas()
+    assert len(got) == len(rows) and (got.n_entities == 1).all()
+    assert got.name.is_unique
+    assert not set(got.name) & {t[4:] for _, t in rows}
+    assert all(re.fullmatch(p, x) for d, p in (("mr", "[A-Za-z]+"), ("ms", "[А-я]+"), ("mx", "[Α-ω]+"), ("my", "[Ա-և]+")) for x in got.name[got.doc_id == d])
+
+
+def test_surrogates_of_a_full_format(spark, monkeypatch):
+    """Draws are made to have 200 forms for 900 numbers, and 2,000 once the first digit is drawn too."""
+    monkeypatch.setattr(surrogates, "WIDER", 2)
+    monkeypatch.setattr(surrogates, "_digit_stream", lambda draw: F.lpad((surrogates._number(draw, 1) % 2000).cast("string"), 8, "0"))
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.format_string("+65 61%06d", F.col("id")).alias("text"))
+    got = [r.text for r in pseudonymise(rows).collect()]
+    assert all(re.fullmatch(r"\+65 \d{8}", x) for x in got)
+    assert len(set(got)) == 900 and not set(got) & {r.text for r in rows.collect()}
+
+
+def test_surrogates_need_a_key(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    with pytest.raises(ValueError, match="key"):
+        surrogates.pseudonymise(docs, "")
+    for key in ("k", "k" * 64, "ключ" * 40):
+        got = spark.range(1).select(surrogates.keyed(key, F.lit("a\x1fÅ"))).first()[0]
+        assert got == hmac.new(key.encode(), "a\x1fÅ".encode(), "sha256").hexdigest()
+
+
 def test_surrogates_of_a_megabyte_of_labels(spark):
     """The expression does not go deeper for each label; addresses beside the labels are still found."""
     labels = "see a@" + "b." * 500_000 + "!"
     rows = [(1, labels), (2, labels + " then ann@mail.example.org."), (3, "x@" + "a." * 126 + "com end")]
-    got = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].text == labels and got[1].n_entities == 0
     assert got[2].text.startswith(labels) and "ann@mail" not in got[2].text and got[2].n_entities == 1
     assert got[3].n_entities == 1 and "a.a." not in got[3].text
 
 
 def test_surrogates_use_no_python(spark):
-    plan = surrogates.pseudonymise(spark.createDataFrame(TEXTS, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = pseudonymise(spark.createDataFrame(TEXTS, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -372,5 +426,5 @@ def test_whatever_the_pattern_finds_has_the_hint(spark):
     entities = ["a@b.co", "1.2.3.4", "+1 22 333 4444", "(555) 234-5678", "555-234-5678", "4539 1488 0343 6467", "4539148803436467", "Mr Stone", "Mrs. O'Neil", "Госпожа Иванова", "Señor Ruiz", *keys]
     rows = spark.createDataFrame(list(enumerate(f"see {x} here" for x in entities)), "doc_id long, text string")
     assert rows.filter(F.col("text").rlike(surrogates.PATTERN) & ~F.col("text").rlike(surrogates.HINT)).count() == 0
-    got = {r.doc_id: r for r in surrogates.pseudonymise(rows.filter("doc_id < 14")).collect()}
+    got = {r.doc_id: r for r in pseudonymise(rows.filter("doc_id < 14")).collect()}
     assert all(got[i].n_entities == 1 and entities[i] not in got[i].text for i in range(14))
