@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from inkgraph.functions import numbers, scoring
 from inkgraph.functions import text as T
-from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.operators import align, cooccur, decay, graph, mentions, metrics, snapshot, sweep
 from inkgraph.plans import pipelines
 from inkgraph.sources import annotate, readers, writers
-from inkgraph.sources.store import fresh_path
+from inkgraph.sources.store import fresh_path, kept
 
 HALF, MIN_FREQ = 60, 2
 
@@ -233,6 +233,16 @@ def extracted_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges
 
 
+def aligned_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """The words "the" and "der" among the white-space tokens of each document (punctuation clings to them), carried over to the library's tokens."""
+    texts = _document_chapters(spark, sf)
+    foreign = texts.select("book_id", "chapter", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)).alias("tokens"))
+    own = kept(pipelines.prepared(texts), fresh_path(spark, "tokens"))
+    at = foreign.select("book_id", "chapter", F.posexplode("tokens").alias("start", "text")).withColumn("end", F.col("start"))
+    found = align.align(at.filter(align.letters(F.col("text")).isin("the", "der")), foreign, own)
+    return found.select("chapter", F.col("start").cast("bigint").alias("start"), "text", "own_start", "own_end")
+
+
 MODEL_LIMIT = 500
 
 
@@ -262,7 +272,7 @@ def graphml_documents(spark: SparkSession, sf: str) -> DataFrame:
     return writers.graphml_documents(graph.plain_nodes(events_mentions(spark, sf)), _event_edges(spark, sf)).select("chapter", F.length("xml").alias("n_chars"))
 
 
-_QUERIES = [clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, extracted_edges, failed_turns, graphml_documents]
+_QUERIES = [aligned_mentions, clean_text, strip_markers, tokenize_counts, token_frequency, segment_lines, split_chapters, canonical_name, mention_counts, character_positions, cooccur_window, cooccur_sentiment, cooccur_bag, polarity_label, context_window, decay_fold, decay_nodes, carried_edges, cast_continuity, alpha_sweep, best_alpha, graph_summary, top_characters, top_edges, adjacency_snapshot, edge_snapshot, prf1_jaccard, polarity_agreement, edge_set_ops, graph_edit_distance, lexicon_valence, scored_text, dictionary_mentions, extracted_edges, failed_turns, graphml_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -373,6 +383,20 @@ summed AS (SELECT id, list(v3 * {_BUT} ORDER BY start) AS vs, any_value(e) AS e,
 scores AS (SELECT id, {_compound("vs", "e", "q")} AS s FROM summed)
 SELECT conv_id, turn, coalesce(s, 0)::BIGINT AS score_e4 FROM conversations LEFT JOIN scores ON id = struct_pack(conv_id, turn)"""
 _FOUND = f"WITH RECURSIVE {_matched('named', _TEXTS, FORMS)}, found AS (SELECT id AS doc_id, start, stop, given::BIGINT AS coref, form FROM named) "
+_SPELLED = lambda t: f"CASE WHEN regexp_matches({t}, '^(?i)-[LR][RSC]B-$') THEN '' ELSE lower(regexp_replace({t}, '[^A-Za-z0-9]+', '', 'g')) END"
+_STREAM = lambda tokens, texts: f"""SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+    FROM (SELECT id, pos, tok, {_SPELLED('tok')} AS w FROM (SELECT id, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM {texts.format(tokens)}))"""
+_ALIGNED = f"""
+WITH f AS ({_STREAM("regexp_extract_all(text, '[^ \\t\\n\\r]+')", "(SELECT doc_id AS id, {} AS t FROM documents)")}),
+o AS ({_STREAM("t", "(SELECT id, {} FROM " + _TEXTS.replace("{", "{{").replace("}", "}}") + ")")}),
+asked AS (SELECT *, off + length(w) - 1 AS last FROM f WHERE w IN ('the', 'der')),
+held AS (SELECT * FROM o WHERE w <> ''),
+s AS (SELECT asked.id, asked.pos, h.pos AS own FROM asked ASOF JOIN held h ON asked.id = h.id AND asked.off >= h.off
+    WHERE asked.off < h.off + length(h.w) AND starts_with(asked.w, substr(h.w, asked.off - h.off + 1, length(asked.w)))),
+e AS (SELECT asked.id, asked.pos, h.pos AS own FROM asked ASOF JOIN held h ON asked.id = h.id AND asked.last >= h.off
+    WHERE asked.last < h.off + length(h.w) AND right(asked.w, 1) = substr(h.w, asked.last - h.off + 1, 1))
+SELECT asked.id AS chapter, asked.pos AS start, asked.tok AS text, CASE WHEN e.own IS NOT NULL THEN s.own END AS own_start, CASE WHEN s.own IS NOT NULL THEN e.own END AS own_end
+FROM asked LEFT JOIN s USING (id, pos) LEFT JOIN e USING (id, pos)"""
 _EXTRACTED = (
     _FOUND
     + f""", {_TONES(_TEXTS)},
@@ -455,6 +479,7 @@ SELECT *, 'both' AS side FROM (SELECT * FROM x INTERSECT SELECT * FROM y) UNION
         "scored_text": _SCORED,
         "dictionary_mentions": _FOUND + "SELECT doc_id AS chapter, start, stop AS \"end\", coref, form AS text FROM found",
         "extracted_edges": _EXTRACTED,
+        "aligned_mentions": _ALIGNED,
         "failed_turns": f"""
 WITH t AS (SELECT conv_id AS book_id, turn AS chapter, text, length(text) > {MODEL_LIMIT} AS failed FROM conversations),
 s AS (SELECT *, sum(failed::INT) OVER (PARTITION BY book_id ORDER BY chapter)::BIGINT AS segment FROM t),

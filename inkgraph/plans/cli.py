@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--books", help="pattern of whole books; split into chapters at headings")
     p.add_argument("--chapters", help="pattern of {book_id}_ch{NN}.txt files, instead of --books")
     p.add_argument("--entities", help="pattern of {book_id}_ch{NN}.entities files")
+    p.add_argument("--tokens", help="pattern of {book_id}_ch{NN}.tokens files, which the positions of --entities count; without it they count the program's own tokens")
     p.add_argument("--dictionary", help="file of lines 'surface form TAB number of the person'; annotates the chapters that have no entities")
     p.add_argument("--cache", help="folder in which annotations are kept from run to run (default: annotations in --out)")
     p.add_argument("--on_failure", choices=["keep", "reset"], help="what carried state does at a chapter that could not be annotated; sweeps reset, other runs keep")
@@ -85,7 +86,8 @@ def main(args: list[str]) -> int:
         print("warning: with fewer than two chapters nothing is carried")
     lexicon = _pairs(spark, a.lexicon, "form string, valence double") if a.lexicon else None
     entities, failures = _entities(spark, a, chapters)
-    found, edges = (kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, entities, params, lexicon), ("mentions", "edges"), strict=True))
+    foreign = kept(readers.read_tokens(spark, a.tokens), f"{a.out}/tokens") if a.tokens else None
+    found, edges = (kept(x, f"{a.out}/{name}") for x, name in zip(pipelines.extract(chapters, entities, params, lexicon, foreign), ("mentions", "edges"), strict=True))
     if not failures.isEmpty():
         print("chapters that failed are in the cache's rows")
         found = pipelines.after_failures(found, chapters, failures, reset=(a.on_failure or ("reset" if a.mode == "sweep" else "keep")) == "reset")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkgraph.functions import scoring
 from inkgraph.functions import text as T
 from inkgraph.functions.numbers import polarity, ticks
-from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
+from inkgraph.operators import align, cooccur, decay, graph, mentions, metrics, snapshot, sweep
 from inkgraph.sources.store import fresh_path, kept
 
 KEYS = ["book_id", "chapter"]
@@ -80,13 +80,25 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
     return add
 
 
-def extract(chapters: DataFrame, entities: DataFrame, params: Params, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def in_own_tokens(entities: DataFrame, foreign: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``entities`` with positions in ``tokens``; their texts, where they have none, are those of the foreign tokens. Those not aligned stand at -1."""
+    names, chapters = entities.columns, foreign.select(*KEYS).distinct()
+    theirs = mentions.fill_spans(entities.join(chapters, KEYS, "left_semi").select(*names), foreign)
+    return entities.join(chapters, KEYS, "left_anti").select(*names).unionByName(align.carried_over(align.align(theirs, foreign, tokens)))
+
+
+def extract(chapters: DataFrame, entities: DataFrame, params: Params, lexicon: DataFrame | None = None, foreign: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mentions, edges with sentiment). ``entities`` as `sources.readers.read_entities` gives them; ``lexicon``: form, valence (None: the built-in one).
 
+    ``foreign``: the tokens that positions of entities count (`sources.readers.read_tokens`), where these are another tokeniser's; chapters
+    that have none there count the library's own.
+
     Tokens are written once to the shared folder; entities are read several times, so they should be a table (`sources.annotate.Cache`) and not a provider's plan.
     """
     spark = chapters.sparkSession
     tokens = kept(prepared(chapters), fresh_path(spark, "tokens"))
+    if foreign is not None:
+        entities = kept(in_own_tokens(entities, foreign, tokens), fresh_path(spark, "aligned"))
     found = mentions.character_positions(mentions.fill_spans(entities, tokens))
     half = params.window // 2
     scores = centre_scores(tokens, half, scoring.built_in(spark) if lexicon is None else lexicon)
