@@ -9,18 +9,19 @@ semantic tags, with and without class names.
 
 What an element says of itself is one feature among the others: the nearest element that says anything counts (an
 article inside a container with an odd name is an article again), names such as ``has-comments`` or ``with-sidebar`` say
-what an element has, not what it is, and whether any enclosing element is off the article is a feature of its own.
+what an element has, not what it is; a name of several words is judged as a whole (`_off`). Whether any enclosing element is off the article is a feature of its own.
 
 Defined results: null or empty html gives an empty text; markup cut short at the end of the
 page is dropped; ``<`` that opens no tag is text; script, style and
-comments are never text, formulas are; a ``<br>`` is white space inside its block; a page without content
-blocks gives an empty text; rows that repeat are extracted one by one; an empty table gives no rows.
+comments are never text, nor are noscript, svg, object and form controls (what a browser that runs scripts does not show as text), formulas are; a ``<br>`` is white space inside its block; a page without content
+blocks gives an empty text; a very long page takes time in proportion to its length, however deep it nests; rows that repeat are extracted one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,13 +43,18 @@ OFF_WORDS = re.compile(r"(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|me
 #: ... and what is.
 ON_TAGS = frozenset("article main".split())
 ON_WORDS = re.compile(r"(?:article|articlebody|content|main|post|entry|story|body|text)")
+#: Words among these that are as common in names of other things: a name of several words is off by them only where the rest are words of layout.
+AMBIGUOUS = frozenset("side form social legal notice alert search share sharing header foot skip tags discussion reply respond related aside ad promo login banner".split())
+#: Words of layout, which say nothing of what is inside.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons cell col column container content entry field footer group head heading icon icons inner item items left line link links list main menu message msg nav outer panel post posts right row section side slot small text title top unit wide widget wrap wrapper zone".split())
 #: A name that begins so says what an element has or how it looks.
 HAS = frozenset("has with no without is show hide hidden js page layout theme".split())
 #: One that ends so names an arrangement, not a part.
 ARRANGED = frozenset("layout page grid theme".split())
 _PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*+)(>|\Z)|([^<]+|<)", re.DOTALL)
+#: As in HTML: quotes count only right after the equals sign; an unquoted value may hold some, and a stray one ends nothing.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,6 +73,16 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _off(parts: list[str]) -> bool:
+    """Whether a whole name says that it is not the article: ``site-footer`` and ``ad-slot`` do, ``side-effects`` and ``form-of-government`` do not."""
+    off = [x for x in parts if OFF_WORDS.fullmatch(x)]
+    if len(parts) == 1 or not off:
+        return bool(off)
+    if all(x in LAYOUT or x.isdigit() or OFF_WORDS.fullmatch(x) for x in parts):
+        return True
+    return OFF_WORDS.fullmatch(parts[-1]) is not None and parts[-1] not in AMBIGUOUS or any(x not in AMBIGUOUS for x in off if x is parts[0])
+
+
 def _named(tag: str, attributes: str) -> int:
     """-1: not the article; 1: the article; 0: does not say."""
     if tag in OFF_TAGS:
@@ -74,6 +90,8 @@ def _named(tag: str, attributes: str) -> int:
     on = tag in ON_TAGS
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind not in ("class", "id", "role", "hidden", "style"):
+            continue
         if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return -1
         if kind in ("hidden", "style") or tag in ("html", "body"):
@@ -82,7 +100,7 @@ def _named(tag: str, attributes: str) -> int:
             parts = [x.lower() for x in _PART.split(name) if x]
             if not parts or len(parts) > 1 and (parts[0] in HAS or parts[-1] in ARRANGED):
                 continue
-            if any(OFF_WORDS.fullmatch(x) for x in parts) and not (on and tag in ON_TAGS and not OFF_WORDS.fullmatch(parts[0])):
+            if _off(parts) and not (on and tag in ON_TAGS and not OFF_WORDS.fullmatch(parts[0])):
                 return -1
             on = on or any(ON_WORDS.fullmatch(x) for x in parts)
     return int(on)
@@ -94,8 +112,13 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int]] = []  # open elements, what the nearest that says anything says, and whether any is off the article
+    opened: Counter[str] = Counter()  # tags of the open elements, so that none is looked for in vain
     in_link = in_heading = 0
 
+    def shut(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -133,9 +156,9 @@ def blocks(page: str) -> list[Block]:
                 linked.append(" ")
             if tag in HEADINGS:
                 in_heading = 0
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    shut(i)
                     break
             continue
         if tag in BLOCK_TAGS:
@@ -153,14 +176,15 @@ def blocks(page: str) -> list[Block]:
         if tag in HEADINGS:
             in_heading = 1
         if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end an open one of their kind
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "dl"):
                     break
         _, outer, inside = stack[-1] if stack else ("", 0, 0)
         own = _named(tag, attributes)
+        opened[tag] += 1
         stack.append((tag, own if own < 0 or own > 0 and (outer >= 0 or tag in ON_TAGS) else outer, int(inside or own < 0)))
     close()
     return out

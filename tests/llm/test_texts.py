@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -271,6 +272,34 @@ def test_pages_of_plain_paragraphs(around, sizes):
     assert html_blocks.main_text(page, TREE).split("\n\n") == [lorem(n) for n in sizes]
 
 
+OFF = ["ad", "ad-slot", "adBox", "site-footer", "main-nav", "article-sidebar", "comment-list", "comments", "cookie-banner", "social-links", "share-buttons", "search-form", "side-bar", "related-posts", "newsletter-signup", "nav-2", "legal-notice", "promo-box"]
+ON = ["side-effects", "social-history", "form-of-government", "river-side-story", "legal-thriller", "header-of-state", "search-for-meaning", "alert-and-oriented", "share-of-market", "tags-explained"]
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+@pytest.mark.parametrize("mark", ["class", "id"])
+def test_pages_judge_whole_names(tag, mark):
+    body = "".join(f"<p>{lorem(n)}</p>" for n in (40, 55, 30))
+    for name in ON:
+        assert html_blocks.main_text(f"<html><body><{tag} {mark}='{name}'>{body}</{tag}></body></html>", TREE).count("\n\n") == 2, name
+    for name in OFF if tag != "article" else ("ad", "comment", "ad-slot", "comment-body"):  # an article is one unless its name begins otherwise
+        assert html_blocks.main_text(f"<html><body><{tag} {mark}='{name}'>{body}</{tag}><main>{body}</main></body></html>", TREE).count("\n\n") == 2, name
+
+
+def test_pages_read_attributes_as_html_does():
+    for attributes in ("title=it's", 'class="a""', "title='a>b'", 'title="say \'hi\'"', "x = 'y' disabled", 'data-class="menu"', 'title="class=ad"', "a='b'c=\"d\"'", "=", 'title="never closed'):
+        page = f"<article><p {attributes}>Hello one two three, don't drop this.</p></article>"
+        assert html_blocks.main_text(page, TREE) == "Hello one two three, don't drop this.", attributes
+    assert html_blocks.main_text("<article><p>a</p><div hidden><p>b</p></div><div class=menu><p>c</p></div></article>", TREE) == "a"
+
+
+def test_pages_nest_deeply_in_linear_time():
+    page = "<div>" * 40_000 + ("<p>" + lorem(30) + "</p></p></li>") * 500 + "</i>" * 40_000
+    start = time.monotonic()
+    assert html_blocks.main_text(page, TREE).count("\n\n") == 499
+    assert time.monotonic() - start < 10
+
+
 def test_pages_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in html_blocks.op6_html(spark, SF).collect():
