@@ -30,8 +30,8 @@ def letters(token: Column) -> Column:
 
 def _cut(tokens: DataFrame) -> DataFrame:
     """book_id, chapter, stretch, first, words: stretches of tokens as letters, in one string (a third of an array's room)."""
-    cut = tokens.select(*KEYS, F.inline(pieces(F.transform("tokens", letters), PIECE)))
-    return cut.select(*KEYS, "stretch", "first", F.array_join("tokens", " ").alias("words"))
+    cut = tokens.select(*KEYS, F.inline(pieces(F.col("tokens"), PIECE)))
+    return cut.select(*KEYS, "stretch", "first", F.array_join(F.transform("tokens", letters), " ").alias("words"))
 
 
 def _placed(tokens: DataFrame) -> DataFrame:
