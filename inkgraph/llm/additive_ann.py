@@ -4,8 +4,10 @@ A vector is stored as M codes; it is approximated by the sum of one full-dimensi
 codeword from each of M codebooks. Codebooks start as residual k-means and are
 refined jointly by least squares. Encoding is a beam search over the codebooks. The norms of the vector and
 of its approximation are stored; a query scores all codes with a look-up table of its
-products with every codeword, scaled by the stored norms. The ``shortlist`` best of the whole index, by these scores,
-are ranked again by exact products in double precision; how the index is cut into blocks does not change them.
+products with every codeword, scaled by the stored norms. In each block of the index, the ``shortlist`` best by these scores
+get their exact products in double precision; so does every other row of the block whose score, with the length of what its codes leave over
+(stored too) times the length of the query, could still reach the ``k``-th best of them. No row among the nearest can be missed,
+whatever the vectors; where codes approximate them badly, more rows are scored exactly.
 
 Codebooks are fitted on a bounded sample (``sample`` vectors, those with the smallest hash of
 the id); every vector is indexed. Queries meet the index in blocks: index blocks are dealt to
@@ -25,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.common import partitions, stored, table
 
 SAMPLE = 16_384
 BLOCK, QUERY_BLOCK = 4096, 256
+#: Most bytes of vectors in one block of the index.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -115,9 +119,10 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
 
 
 def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """Every vector encoded; a row for each block: ids, codes, norm of the vector over that of its approximation."""
+    """Every vector encoded; a row for each block: ids, vectors, codes, norm of the vector over that of its approximation, norm of what that leaves over."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     number = _number(rows)
+    size = max(1, min(BLOCK, BLOCK_BYTES // (model.words.shape[2] * np.dtype(number).itemsize)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[np.ndarray] = []
@@ -128,23 +133,24 @@ def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             codes = shared.value.encode(x)
-            near = shared.value.decode(codes)
-            scale = (np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-30)).astype(np.float32)
+            near = shared.value.decode(codes).astype(np.float64)
+            scale = (np.linalg.norm(x.astype(np.float64), axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-30)).astype(np.float32)
+            left = np.linalg.norm(x - near * scale[:, None], axis=1)
             keys.clear()
             held.clear()
-            return pd.DataFrame([{"block": int(ids[0]), "ids": ids.tobytes(), "codes": codes.tobytes(), "scale": scale.tobytes()}])
+            return pd.DataFrame([{"block": int(ids[0]), "ids": ids.tobytes(), "x": x.tobytes(), "codes": codes.tobytes(), "scale": scale.tobytes(), "left": left.tobytes()}])
 
         for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
                 keys.append(part["key"].to_numpy(dtype=np.int64))
                 held.append(np.stack(part["v"].to_numpy()).astype(number))
-                if sum(map(len, keys)) >= BLOCK:
+                if sum(map(len, keys)) >= size:
                     yield flush()
         if keys:
             yield flush()
 
-    return rows.mapInPandas(run, "block long, ids binary, codes binary, scale binary")
+    return rows.mapInPandas(run, "block long, ids binary, x binary, codes binary, scale binary, left binary")
 
 
 def query_blocks(rows: DataFrame) -> DataFrame:
@@ -186,63 +192,82 @@ def best_of(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])
 
 
-def shortlists(queries: DataFrame, index: DataFrame, model: Codebooks, shortlist: int) -> DataFrame:
-    """query_id, key: the best ``shortlist`` of the whole index by look-up tables; of equal scores, the smaller ids."""
+def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows with q, added up from the first component on, so equal rows score equal wherever they stand."""
+    total = np.zeros(len(x))
+    for j, y in enumerate(q):
+        total += x[:, j] * y
+    return total
+
+
+def nearest_in(guess: np.ndarray, reach: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, room: float, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k nearest rows of a block.
+
+    ``guess``: approximate scores, at most ``reach`` away from the exact ones; ``own``: rows that take no part; ``room``: for products added up in another order.
+    """
+    free = np.flatnonzero(~own)
+    if not len(free):
+        return ids[:0], np.zeros(0)
+    near = free[best_of(np.nan_to_num(guess[free], nan=np.inf), shortlist)]
+    kth = lambda scores: np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    more = free[~(guess[free] + reach[free] < kth(x[near] @ q) - room)]
+    rough = x[more] @ q
+    more = more[~(rough < kth(rough) - room)]
+    scores = exact_products(x[more], q)
+    best = np.lexsort((ids[more], -scores))[:k]
+    return ids[more][best], scores[best]
+
+
+def search(queries: DataFrame, index: DataFrame, model: Codebooks, number: str, k: int = 20, shortlist: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query by inner product; of equal scores, the smaller ids."""
     spark = queries.sparkSession
     groups = partitions(spark)
     shared = spark.sparkContext.broadcast(model)
     dealt = index.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = query_blocks(queries).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = dealt.join(asked, "deal").select("ids", "codes", "scale", "q_ids", "q")
+    pairs = dealt.join(asked, "deal").select("ids", "x", "codes", "scale", "left", "q_ids", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value.words
         books, size, d = words.shape
+        longest = float(np.linalg.norm(words.astype(np.float64), axis=2).max(axis=1).sum())
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ids, q_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.q_ids, dtype=np.int64)
+                x = np.frombuffer(row.x, dtype=number).reshape(len(ids), d).astype(np.float64)
                 codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(ids), books).T.astype(np.intp)
-                scale = np.frombuffer(row.scale, dtype=np.float32)
+                scale, left = np.frombuffer(row.scale, dtype=np.float32), np.frombuffer(row.left)
+                off = left + (d + books + 4) * 2.0**-23 * longest * scale  # with the rounding of the look-up tables
                 q = np.frombuffer(row.q).reshape(len(q_ids), d)
                 tables = (q.astype(np.float32) @ words.reshape(books * size, d).T).reshape(len(q), books, size)
+                room = 1e-13 * d * np.abs(q).max(axis=1) * max(np.abs(x).max(), 1e-300)
                 out = []
                 for i, own in enumerate(q_ids):
                     guess = tables[i, 0].take(codes[0])
                     for m in range(1, books):
                         guess += tables[i, m].take(codes[m])
                     guess *= scale
-                    guess[ids == own] = -np.inf
-                    near = best_of(guess, shortlist)
-                    near = near[guess[near] > -np.inf]
-                    out.append((own, ids[near].tobytes(), guess[near].tobytes()))
-                yield pd.DataFrame(out, columns=["query_id", "ids", "guesses"])
+                    found, scores = nearest_in(guess, off * np.linalg.norm(q[i]), ids == own, ids, x, q[i], room[i], k, shortlist)
+                    out.append((own, found.tobytes(), scores.tobytes()))
+                yield pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, guesses = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+        now, ids, scores = None, np.zeros(0, dtype=np.int64), np.zeros(0)
+        ranked = lambda: pd.DataFrame({"query_id": now, "rank": np.arange(1, len(ids) + 1), "vec_id": ids, "score": scores})
         for pdf in batches:
-            for own, more, scores in zip(pdf["query_id"], pdf["ids"], pdf["guesses"], strict=True):
+            for own, more, given in zip(pdf["query_id"], pdf["ids"], pdf["scores"], strict=True):
                 if own != now:
                     if now is not None:
-                        yield pd.DataFrame({"query_id": now, "key": np.unique(ids)})
-                    now, ids, guesses = own, ids[:0], guesses[:0]
-                ids, guesses = np.concatenate([ids, np.frombuffer(more, dtype=np.int64)]), np.concatenate([guesses, np.frombuffer(scores, dtype=np.float32)])
-                best = np.lexsort((ids, -guesses))[:shortlist]
-                ids, guesses = ids[best], guesses[best]
+                        yield ranked()
+                    now, ids, scores = own, ids[:0], scores[:0]
+                ids, scores = np.concatenate([ids, np.frombuffer(more, dtype=np.int64)]), np.concatenate([scores, np.frombuffer(given)])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
         if now is not None:
-            yield pd.DataFrame({"query_id": now, "key": np.unique(ids)})
-
-    found = pairs.mapInPandas(run, "query_id long, ids binary, guesses binary")
-    return found.repartition(groups, "query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, key long")
-
+            yield ranked()
 
-def search(queries: DataFrame, rows: DataFrame, index: DataFrame, model: Codebooks, k: int = 20, shortlist: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query by inner product, of its shortlist."""
-    near = shortlists(queries, index, model, shortlist)
-    asked = queries.select(F.col("key").alias("query_id"), F.col("v").alias("q"))
-    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
-    exact = near.join(rows, "key").join(asked, "query_id").select("query_id", F.col("key").alias("vec_id"), product.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInPandas(run, "query_id long, ids binary, scores binary")
+    return found.repartition(groups, "query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def sample_rows(rows: DataFrame, n: int = SAMPLE) -> np.ndarray:
@@ -260,7 +285,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 2
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = fit(x)
     index = stored(index_blocks(rows, model))
-    return search(rows.filter(F.col("key") % every == 0).dropDuplicates(["key"]), rows, index, model, k, shortlist)
+    return search(rows.filter(F.col("key") % every == 0).dropDuplicates(["key"]), index, model, _number(rows), k, shortlist)
 
 
 def op2_additive_ann(spark, sf_dir: str) -> DataFrame:

@@ -191,6 +191,16 @@ def test_ann_does_not_depend_on_the_files(spark, tmp_path):
     assert {tuple(r) for r in additive_ann.nearest(spark.read.parquet(str(tmp_path / "many")), shortlist=40).collect()} == own
 
 
+def test_ann_misses_none_of_the_nearest_on_other_rows(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(3000, 96)) * 0.01 + rng.normal(size=96), rng.standard_t(2, size=(3000, 96)), rng.normal(size=(3000, 160))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        got = additive_ann.nearest(df, every=250, shortlist=40).toPandas().groupby("query_id")
+        for i in range(0, 3000, 250):
+            exact = np.delete(x @ x[i], i)
+            assert np.allclose(got.get_group(i).sort_values("rank").score, np.sort(exact)[::-1][:20], rtol=1e-9)
+
+
 def test_best_of_keeps_the_first_of_equals():
     assert sorted(additive_ann.best_of(np.array([1.0, 3, 3, 3, 2]), 2).tolist()) == [1, 2]
 
