@@ -1,7 +1,9 @@
+import itertools
 import random
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgraph.functions.numbers import TICKS
 from inkgraph.operators import cooccur, decay, graph, mentions, metrics, snapshot, sweep
@@ -266,3 +268,31 @@ def test_command_line_annotates_and_shows_a_table(spark, tmp_path, capsys):
     assert [x.split()[:4] for x in lines[1:4]] == [["book", str(n), "2", "1"] for n in (1, 2, 3)]
     assert spark.read.parquet(str(tmp_path / "out" / "edges")).filter("sentiment_e4 > 0").count() == 3
     assert cli.main(["plain", "--chapters", "x", "--out", "y"]) == 1
+
+
+def test_pairs_by_cells_exchange_mentions_and_equal_brute_force(spark, monkeypatch):
+    """Before, every pair of a centre was a row, and pairs were exchanged. Names repeat, stand at one position, and lie across stretches."""
+    monkeypatch.setattr(cooccur, "CELL_PAIRS", 40)  # many cells
+    monkeypatch.setattr(cooccur, "AT_ONCE", 7)
+    rng = random.Random(5)
+    rows = [("b", c, f"n{rng.randrange(9)}", rng.randrange(-300, 900)) for c in (1, 2, 3) for _ in range(150)]
+    df = spark.createDataFrame(rows, "book_id string, chapter int, name string, pos bigint")
+    scores = df.groupBy("book_id", "chapter", "pos").agg(F.max(F.col("pos") * 7 % 50 - 20).alias("score_e4"))
+    value, want = {(r.chapter, r.pos): r.score_e4 for r in scores.collect()}, {}
+    for chapter in (1, 2, 3):
+        for pos in {r[3] for r in rows if r[1] == chapter}:
+            cast = sorted({r[2] for r in rows if r[1] == chapter and abs(r[3] - pos) <= 3})
+            for a, b in itertools.combinations(cast, 2):
+                n, total = want.get((chapter, a, b), (0, 0))
+                want[chapter, a, b] = n + 1, total + value[chapter, pos]
+    tenth = lambda t, n: (1 if t >= 0 else -1) * ((2 * abs(t) + n) // (2 * n))
+    often = {k: v for k, v in want.items() if v[0] >= 2}
+    assert cooccur.covers(df, 3).agg(F.max("parts")).first()[0] > 2
+    assert {(r.chapter, r.a, r.b): (r.weight, r.sentiment_e4) for r in cooccur.edges(df, 3, 2, scores=scores).collect()} == {k: (n, tenth(t, n)) for k, (n, t) in often.items()}
+    found = cooccur.edges(df, 3, 2)
+    assert {(r.chapter, r.a, r.b) for r in cooccur.edges(df, 3, 2, among=df.select("book_id", "chapter", F.lit("n3").alias("name"))).collect()} == {k for k in often if "n3" in k[1:]}
+    gold = df.withColumn("chapter", F.col("chapter") - 1)
+    sides = {(r.chapter, r.a, r.b): (r.p, r.g) for r in cooccur.compared(df, gold, 3, 2).collect()}
+    assert sides == {k: (k in often, (k[0] + 1, *k[1:]) in often) for k in {*often, *((c - 1, a, b) for c, a, b in often)}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
