@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from inkgraph.llm.common import partitions, stored, table
 
 BLOCK, ANCHORS = 2048, 128
+#: Tasks of the meetings for each shuffle partition.
+FINER = 2
 PACKED = "block long, ids binary, labels binary, codes binary"
 
 
@@ -76,12 +78,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def meetings(blocks: DataFrame, asked: DataFrame, judge: Callable[[dict, np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Every block of rows with every block of anchors. Blocks of rows stay where they are dealt; anchors, the smaller side, go everywhere.
 
-    ``judge`` gets the anchors' block, the rows' ids and labels, and the scores (an anchor a line).
+    ``judge`` gets the anchors' block, the rows' ids and labels, and the scores (an anchor a line). Few bytes are much work here, so both
+    sides are dealt to a stated number of tasks: by their bytes Spark would join them to one.
     """
-    groups = partitions(blocks.sparkSession)
-    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups))).drop("block")
+    groups = FINER * partitions(blocks.sparkSession)
+    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups))).drop("block").repartition(groups, "deal")
     names = [c for c in asked.columns if c != "block"]
-    sent = asked.select(*[F.col(c).alias(f"a_{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("deal"))
+    sent = asked.select(*[F.col(c).alias(f"a_{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("deal")).repartition(groups, "deal")
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,12 +97,17 @@ def meetings(blocks: DataFrame, asked: DataFrame, judge: Callable[[dict, np.ndar
                 scores = products(shape(own["codes"], len(own["ids"])), shape(row.codes, len(ids)))
                 yield pd.DataFrame(judge(own, ids, labels, scores), columns=columns)
 
-    return dealt.join(sent, "deal").drop("deal").mapInPandas(run, schema)
+    return dealt.join(sent.hint("shuffle_merge"), "deal").drop("deal").mapInPandas(run, schema)
 
 
 def downwards(scores: np.ndarray) -> np.ndarray:
-    """Places in order of score, highest first; rows come in the order of their ids, and equals keep it."""
-    return np.argsort(-scores, kind="stable")
+    """Each line's places in order of score, highest first; rows come in the order of their ids, and equals keep it."""
+    bits = max(1, scores.shape[-1]).bit_length()
+    if scores.dtype == object or np.abs(scores).max(initial=0) >= 1 << (62 - bits):
+        return np.argsort(-scores, axis=-1, kind="stable")
+    keys = (-scores << bits) | np.arange(scores.shape[-1])  # score and place in one number sort faster
+    keys.sort(axis=-1)
+    return keys & ((1 << bits) - 1)
 
 
 def positives(blocks: DataFrame, anchors: DataFrame, n: int = 5) -> DataFrame:
@@ -107,9 +115,8 @@ def positives(blocks: DataFrame, anchors: DataFrame, n: int = 5) -> DataFrame:
 
     def judge(own: dict, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> list[tuple]:
         out = []
-        for anchor, label, line in zip(own["ids"], own["labels"], scores, strict=True):
-            same = np.flatnonzero((labels == label) & (ids != anchor))
-            for i in same[downwards(line[same])[:n]]:
+        for anchor, label, line, order in zip(own["ids"], own["labels"], scores, downwards(scores), strict=True):
+            for i in order[(labels[order] == label) & (ids[order] != anchor)][:n]:
                 out.append((anchor, ids[i], int(line[i])))
         return out
 
@@ -125,8 +132,7 @@ def negatives(blocks: DataFrame, anchors: DataFrame, found: DataFrame, k: int =
 
     def judge(own: dict, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> list[tuple]:
         out = []
-        for anchor, label, p_ids, p_scores, line in zip(own["ids"], own["labels"], own["p_ids"], own["p_scores"], scores, strict=True):
-            order = downwards(line)
+        for anchor, label, p_ids, p_scores, line, order in zip(own["ids"], own["labels"], own["p_ids"], own["p_scores"], scores, downwards(scores), strict=True):
             order = order[(labels[order] != label) & (ids[order] != anchor)]
             falling = -line[order]
             for p_id, p in zip(p_ids, map(int, p_scores), strict=True):

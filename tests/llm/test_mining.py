@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from inkgraph.llm import hard_negatives, queries, spelling, url_filter
@@ -138,6 +139,14 @@ def test_hard_negatives_odd_rows(spark):
     assert mined(spark.createDataFrame(zero, VECTORS)) == [(0, 1, 1, 2, 0, 0)]
 
 
+def test_meetings_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(400)], "key long, label long, c array<double>").repartition(4)
+    blocks, asked = hard_negatives.packed(rows, 10), hard_negatives.packed(rows.filter("key % 50 = 0"), 4)
+    judge = lambda own, ids, labels, scores: [(TaskContext.get().partitionId(), scores.size)]
+    met = hard_negatives.meetings(blocks, asked, judge, "task long, n long").groupBy("task").sum("n").collect()
+    assert len(met) > 4 and sum(r[1] for r in met) == 400 * 8  # small in bytes, and before all in one task
+
+
 def fits(rule, host, path):
     if rule.exact:
         h, _, p = rule.text.partition("/")
