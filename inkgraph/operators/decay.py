@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgraph.functions.numbers import TICKS, polarity
+from inkgraph.operators.cooccur import dealt
 
 KEYS = ["book_id", "chapter"]
 PLAIN, CARRIED = "co-occurrence", "co-occurrence-markov"
@@ -106,7 +107,7 @@ def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), le
 
     ``edges``: book_id, chapter, a, b, weight [, sentiment_e4]. ``chapters``: the processed ones; where they have a column ``segment`` (see
     `segments`), each segment starts afresh. Alpha is a column, so a sweep shares extraction. Observations of a pair are
-    gathered once (at most one a chapter). ``exact_python`` folds in binary floating point, by a Python function.
+    gathered once (at most one a chapter). Places, a row for each chapter, are broadcast: by chapters, far fewer than pairs, edges would meet in a few tasks. ``exact_python`` folds in binary floating point, by a Python function.
     """
     if not all(0 <= a <= whole for a in alphas):
         raise ValueError("alpha must lie between 0 and 1")
@@ -114,16 +115,16 @@ def decayed(edges: DataFrame, chapters: DataFrame, alphas: list[int] = (70,), le
     runs = _runs(chapters)
     observed = (edges if "sentiment_e4" in edges.columns else edges.withColumn("sentiment_e4", F.lit(0).cast("bigint"))).withColumn("book_id", F.col("book_id").cast("string"))
     one = F.struct(F.col("k").cast("bigint").alias("k"), F.col("weight").cast("bigint").alias("weight"), F.col("sentiment_e4").cast("bigint").alias("sentiment_e4"))
-    gathered = observed.join(place, KEYS).groupBy(*runs, "a", "b").agg(F.collect_list(one).alias("seen"))
+    gathered = dealt(observed.join(F.broadcast(place), KEYS), *runs, "a", "b").groupBy(*runs, "a", "b", "h").agg(F.collect_list(one).alias("seen")).drop("h")
     ends = place.groupBy(*runs).agg(F.max("k").alias("last"))
-    rows = gathered.join(ends, runs).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    rows = gathered.join(F.broadcast(ends), runs).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     if exact_python:
-        return _float_steps(rows, runs, least, whole).join(place, [*runs, "k"])
+        return _float_steps(rows, runs, least, whole).join(F.broadcast(place), [*runs, "k"])
     steps = rows.select(*runs, "alpha", "a", "b", F.explode(fold(F.col("seen"), F.col("last"), F.col("alpha"), round(least * TICKS), whole)).alias("step"))
     return steps.select(
         *runs, F.col("step.k").cast("int").alias("k"), "alpha", "a", "b", F.col("step.weight").alias("weight_e4"), F.col("step.sentiment").alias("sentiment_e4"),
         polarity(F.col("step.exact"), whole).alias("polarity"), F.when(F.col("step.carry").isNull(), PLAIN).otherwise(CARRIED).alias("label"), F.col("step.carry").alias("is_carry"),
-    ).join(place, [*runs, "k"])
+    ).join(F.broadcast(place), [*runs, "k"])
 
 
 def _float_steps(rows: DataFrame, runs: list[str], least: float, whole: int) -> DataFrame:
@@ -156,7 +157,7 @@ def carried_nodes(mentions: DataFrame, graph: DataFrame) -> DataFrame:
     alphas = graph.select("alpha").distinct()
     cast = mentions.groupBy(*KEYS, "name").agg(F.count("*").alias("mention_count")).crossJoin(F.broadcast(alphas))
     ends = graph.select(*runs, (F.col("k") + 1).alias("k"), "alpha", F.explode(F.array("a", "b")).alias("name")).distinct()
-    ghosts = ends.join(place, [*runs, "k"]).select(*KEYS, "alpha", "name")
+    ghosts = ends.join(F.broadcast(place), [*runs, "k"]).select(*KEYS, "alpha", "name")
     joined = cast.join(ghosts, [*KEYS, "alpha", "name"], "full_outer")
     return joined.select(*KEYS, "alpha", "name", F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"))
 

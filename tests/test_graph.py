@@ -296,3 +296,28 @@ def test_pairs_by_cells_exchange_mentions_and_equal_brute_force(spark, monkeypat
     assert sides == {k: (k in often, (k[0] + 1, *k[1:]) in often) for k in {*often, *((c - 1, a, b) for c, a, b in often)}}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_bag_edges_are_dealt_to_many_tasks(spark):
+    rows = mention_rows(spark, [(f"n{(p * 7 + i) % 40}", p) for p in range(200) for i in range(3)])
+    for found in (cooccur.bag_edges(rows), decay.decayed(cooccur.bag_edges(rows), rows)):
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 8  # before: no more than the shuffle partitions
+
+
+def test_sweep_equals_the_folded_edges(spark, monkeypatch):
+    rnd = random.Random(5)
+    names = "abcdefg"
+    make = lambda: spark.createDataFrame([("b", k, *p, rnd.randint(1, 5), 0) for k in range(1, 15) for p in itertools.permutations(names, 2) if rnd.random() < 0.1], E)
+    edges, gold = make(), make().filter("chapter <> 9")
+    chapters = spark.createDataFrame([("b", k, int(k > 6)) for k in range(1, 14) if k != 5], "book_id string, chapter int, segment int")
+    monkeypatch.setattr(sweep, "AT_ONCE", 20)  # several tables of whole pairs in a task
+    for places in (chapters.drop("segment"), chapters):
+        linked = decay.decayed(edges, places, sweep.ALPHAS)
+        judged = {r.chapter for r in gold.collect()} & {r.chapter for r in places.collect()}
+        wanted = {k: {frozenset(r[2:4]) for r in gold.collect() if r.chapter == k} for k in judged}
+        for row in sweep.sweep(edges, places, gold).collect():
+            mine = {k: {frozenset((r.a, r.b)) for r in linked.collect() if (r.chapter, r.alpha) == (k, row.alpha)} for k in judged}
+            recall = [nearest(len(mine[k] & wanted[k]) * 10_000, len(wanted[k])) for k in judged]
+            precision = [nearest(len(mine[k] & wanted[k]) * 10_000, len(mine[k])) if mine[k] else 0 for k in judged]
+            assert (row.chapters, row.recall_e4, row.precision_e4) == (len(judged), nearest(sum(recall), len(judged)), nearest(sum(precision), len(judged)))
