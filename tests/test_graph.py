@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from functools import partial
 
 import pytest
@@ -321,3 +322,12 @@ def test_sweep_equals_the_folded_edges(spark, monkeypatch):
             recall = [nearest(len(mine[k] & wanted[k]) * 10_000, len(wanted[k])) for k in judged]
             precision = [nearest(len(mine[k] & wanted[k]) * 10_000, len(mine[k])) if mine[k] else 0 for k in judged]
             assert (row.chapters, row.recall_e4, row.precision_e4) == (len(judged), nearest(sum(recall), len(judged)), nearest(sum(precision), len(judged)))
+
+
+def test_edit_bounds_set_up_in_linear_time():
+    rnd, names = random.Random(2), [f"n{i}" for i in range(4_000)]
+    first, second = ((names, [tuple(rnd.sample(names, 2)) for _ in range(30_000)]) for _ in range(2))
+    start = time.perf_counter()
+    upper, lower = metrics.edit_bounds(first, second, 5_000)
+    assert lower < upper < 2 * 34_000
+    assert time.perf_counter() - start < 20  # nodes times edges took minutes
