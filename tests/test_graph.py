@@ -331,3 +331,26 @@ def test_edit_bounds_set_up_in_linear_time():
     upper, lower = metrics.edit_bounds(first, second, 5_000)
     assert lower < upper < 2 * 34_000
     assert time.perf_counter() - start < 20  # nodes times edges took minutes
+
+
+def test_counts_and_heaviest_leave_a_cell_without_its_pairs(spark, monkeypatch):
+    """Before, every pair of a day left its cell to be counted or ranked, and scores were a table of their own to be joined."""
+    monkeypatch.setattr(cooccur, "CELL_PAIRS", 40)
+    monkeypatch.setattr(cooccur, "AT_ONCE", 7)
+    rng = random.Random(8)
+    rows = [("b", c, f"n{rng.randrange(9)}", rng.randrange(-300, 900), rng.randrange(-900, 900)) for c in (1, 2, 4) for _ in range(150)]
+    df = spark.createDataFrame([*rows, ("b", 9, "n1", 5, 1)], "book_id string, chapter int, name string, pos bigint, score_e4 bigint")
+    scores = df.groupBy("book_id", "chapter", "pos").agg(F.min("score_e4").alias("score_e4"))
+    found = sorted(map(tuple, cooccur.edges(df, 3, 2, scores=scores).collect()))
+    assert found and found == sorted(map(tuple, cooccur.edges(df, 3, 2, scores="score_e4").collect()))
+    counts = {r.chapter: (r.edge_count, r.total) for r in cooccur.edge_counts(df, 3, 2, "score_e4").collect()}
+    assert counts == {c: (sum(r[1] == c for r in found), sum(r[5] for r in found if r[1] == c)) for c in (1, 2, 4)}
+    some = sorted(map(tuple, cooccur.edges(df, 3, 2, scores="score_e4", heaviest=4).collect()))
+    assert set(some) <= set(found)
+    for c in (1, 2, 4):
+        top = lambda edges: sorted((-r[4], r[2], r[3], r[5]) for r in edges if r[1] == c)[:4]  # noqa: B023, E731
+        assert top(some) == top(found)
+    gold = df.withColumn("chapter", F.col("chapter") - 1)
+    sides = cooccur.compared(df, gold, 3, 2)
+    want = sides.groupBy("book_id", "chapter").agg(F.count_if(F.col("p") & F.col("g")), F.count_if("p"), F.count_if("g"))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, cooccur.compared(df, gold, 3, 2, counted=True).collect()))
