@@ -98,3 +98,24 @@ def test_streamed_decay_equals_the_fold(spark, tmp_path):
     for k in range(4):
         got |= {(r.k, r.a, r.weight_e4, r.sentiment_e4) for r in spark.read.parquet(str(tmp_path / f"out/state-{k}")).collect()}
     assert got == want
+
+
+def test_graphml_lines_make_the_documents(spark):
+    """Before, a document was made in one task and one row; a graph of more edges than a text can hold could not be."""
+    from pyspark.sql import functions as F
+
+    from inkgraph.sources import writers
+
+    names = ["plain", "a&b <c>", "it's", 'say "so"', "both ' and \"", "tab\tnew\nline", "é"]
+    nodes = spark.createDataFrame([("b<k", c, n, i + c) for c in (1, 2) for i, n in enumerate(names)] + [("b<k", 3, "alone", 1)], "book_id string, chapter int, name string, mention_count long")
+    worth = [(10_000, 0), (25_000, -1), (123_450_000, 9_999), (1, -12_345), (70_000, 500), (30_500, 10_000)]
+    made = [("b<k", c, a, b, w, s, "neutral", "co-occurrence", flag) for c, flag in ((1, None), (2, True), (4, False)) for a, b, (w, s) in zip(names, names[1:], worth, strict=False)]
+    edges = spark.createDataFrame(made, "book_id string, chapter int, a string, b string, weight_e4 long, sentiment_e4 long, polarity string, label string, is_carry boolean")
+    want = {r.chapter: r.xml for r in writers.graphml_documents(nodes, edges).collect()}
+    lines = writers.graphml_lines(nodes, edges)
+    got = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.chapter, r.place, r.a or "", r.b or "")):
+        got.setdefault(r.chapter, []).append(r.line)
+    assert {c: "\n".join(x) for c, x in got.items() if c != 4} == want
+    assert {r.chapter: r.n_chars for r in writers.graphml_sizes(lines).collect()} == {c: len(x) for c, x in want.items()}
+    assert "MapInPandas" not in lines.agg(F.count("line"))._jdf.queryExecution().executedPlan().toString()
