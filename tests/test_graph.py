@@ -354,3 +354,9 @@ def test_counts_and_heaviest_leave_a_cell_without_its_pairs(spark, monkeypatch):
     sides = cooccur.compared(df, gold, 3, 2)
     want = sides.groupBy("book_id", "chapter").agg(F.count_if(F.col("p") & F.col("g")), F.count_if("p"), F.count_if("g"))
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, cooccur.compared(df, gold, 3, 2, counted=True).collect()))
+
+
+def test_lines_meet_their_orders_in_finer_tasks(spark):
+    """Before, in as many tasks as there are shuffle partitions, or fewer."""
+    rows = catalog.orders_mentions(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == cooccur.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
