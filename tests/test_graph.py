@@ -360,3 +360,22 @@ def test_lines_meet_their_orders_in_finer_tasks(spark):
     """Before, in as many tasks as there are shuffle partitions, or fewer."""
     rows = catalog.orders_mentions(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() == cooccur.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_snapshots_from_cells_equal_those_of_edges(spark, monkeypatch):
+    """Texts leave the cells, one for each name (and weight), and no edge is a row; what is joined from them is what the edges give."""
+    monkeypatch.setattr(cooccur, "CELL_PAIRS", 300)
+    monkeypatch.setattr(cooccur, "AT_ONCE", 100)
+    rnd = random.Random(9)
+    rows = [("b", rnd.choice((1, 1, 2)), rnd.choice(["é", "x--y", "B", "a", "", "10", "9", *map(str, range(20, 45))]), rnd.randint(0, 150), rnd.randint(-2000, 2500)) for _ in range(900)]
+    rows = [(b, k, n, p, -(p * 37 % 1900) + 900) for b, k, n, p, _ in rows]
+    m = spark.createDataFrame(rows, "book_id string, chapter int, name string, pos bigint, score_e4 bigint")
+    assert m.count() and cooccur.parts_of(m, 5).agg({"parts": "max"}).first()[0] > 2
+    edges = graph.plain_edges(cooccur.edges(m, 5, 2, scores="score_e4")).cache()
+    lines, nodes = cooccur.edge_lines(m, 5, 2, "score_e4").cache(), cooccur.node_lines(m, 5, 2, "score_e4")
+    told = lambda df: sorted(map(tuple, df.select("book_id", "chapter", "snapshot").collect()))
+    assert told(snapshot.joined_lines(lines, ["heavy", "a"])) == told(snapshot.serialize(edges, "edges"))
+    assert told(snapshot.joined_lines(nodes, ["a"])) == told(snapshot.serialize(edges, "flat"))
+    assert lines.count() == edges.select("chapter", "a", "weight_e4").distinct().count() < edges.count()
+    assert {r.polarity for r in edges.select("polarity").distinct().collect()} == {"negative", "neutral", "positive"}
+    assert told(snapshot.joined_lines(lines.filter("chapter = 7"), ["heavy", "a"])) == []
