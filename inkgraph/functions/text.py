@@ -64,6 +64,11 @@ def tokenize(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def clean_tokens(text: Column) -> Column:
+    """`tokenize` of `clean_chapter_text`: white space is in no token and runs of it part tokens as one space does, so only what is deleted matters."""
+    return tokenize(remove_non_printable(text))
+
+
 def token_rows(text: Column) -> Column:
     """Generator twin of `tokenize`: pos, tok."""
     return F.posexplode(tokenize(text)).alias("pos", "tok")

@@ -46,7 +46,7 @@ class Graphs:
 
 def prepared(chapters: DataFrame) -> DataFrame:
     """book_id, chapter, tokens, n_tokens of the cleaned text."""
-    tokens = chapters.select(*KEYS, T.tokenize(T.clean_chapter_text(F.col("text"))).alias("tokens"))
+    tokens = chapters.select(*KEYS, T.clean_tokens(F.col("text")).alias("tokens"))
     return tokens.withColumn("n_tokens", F.size("tokens"))
 
 

@@ -1,9 +1,12 @@
 """Mentions carried between token streams, against letters counted one by one."""
 
+import contextlib
+import io
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgraph.operators import align
 from inkgraph.plans import pipelines
@@ -104,3 +107,25 @@ def test_extraction_from_another_token_space(spark):
     assert {(r.chapter, r.a, r.b): r.weight for r in edges.collect()} == {(1, "Ann", "Bo"): 5, (2, "Ann", "Bo"): 2}
     _, raw = pipelines.extract(chapters, spark.createDataFrame(rows, ENTITIES), params)
     assert {r.chapter for r in raw.collect()} == {2}
+
+
+def test_letters_are_counted_once_where_the_tokens_are(spark, small):
+    """Before, letters of every token were taken by expressions in six places and gathered by chapter; stretches with their places come from one pass, whose letters are those of `letters`."""
+    rnd = random.Random(4)
+    words = ["It's", None, "", "-LRB-", "-rsb-", "-lrb-\n", "-LRB--", "café", "K", "ſ", "İ", "9:30", "the", "T-H-E", "“the”", "a b", "x" * 30, "-LſB-"]
+    rows = [("b", k, [rnd.choice(words) for _ in range(n)]) for k, n in enumerate((0, 1, 4, 5, 6, 40, 63))] + [("b", 90, None), (None, 91, ["der"])]
+    df = spark.createDataFrame(rows, TOKENS)
+    told = {(r.chapter, r.pos): r.w for r in df.select("chapter", F.posexplode("tokens").alias("pos", "t")).select("chapter", "pos", align.letters(F.col("t")).alias("w")).collect()}
+    got, place = {}, {}
+    for r in sorted(align._cut(df).collect(), key=lambda r: (r.chapter, r.stretch)):
+        assert r.first == r.stretch * 5 and r.offset == place.get(r.chapter, 0) and r.size == len(r.spelled)
+        place[r.chapter] = r.offset + r.size
+        got |= {(r.chapter, r.first + i): r.spelled[a:b] for i, (a, b) in enumerate(zip(r.starts, [*r.starts[1:], r.size], strict=True))}
+    assert got == told
+    streams = {k: t for _, k, t in rows}
+    found = {(r.chapter, r.start): r.text for r in align.spelled_as(df, ["the", "der"]).collect()}
+    assert found == {p: streams[p[0]][p[1]] for p, w in told.items() if w in ("the", "der")} and len(found) > 5
+    none = spark.createDataFrame([("b", 0, 0, 1, 0, 0, "x", "PER")], ENTITIES)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        align.align(none, df, df).explain("formatted")
+    assert "Window" not in plan.getvalue() and plan.getvalue().count("MapInArrow (") <= 6
