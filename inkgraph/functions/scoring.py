@@ -58,7 +58,7 @@ def compound(tokens: Column, hits: Column, first: Column | None = None) -> Colum
     bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  value is computed once
     weight = lambda h, but: F.when(but < first, 1.0).when(h["start"] < but, BUT_BEFORE).when(h["start"] > but, BUT_AFTER).otherwise(1.0)
     total = lambda but: F.aggregate(F.transform(hits, lambda h: _value(tokens, h, first) * weight(h, but)), F.lit(0.0), lambda acc, v: acc + v)
-    marks = lambda mark: F.size(F.filter(tokens, lambda t: t == mark))
+    marks = lambda mark: F.when(F.array_contains(tokens, mark), F.size(F.filter(tokens, lambda t: t == mark))).otherwise(0)
     asked = bind(marks("?"), lambda n: F.when(n < 2, 0.0).when(n <= 3, n * QUESTION).otherwise(QUESTIONS))
     push = F.least(marks("!"), F.lit(4)) * EXCLAMATION + asked
     pushed = lambda x: x + bind(push, lambda p: F.when(x > 0, p).when(x < 0, -p).otherwise(0.0))

@@ -22,9 +22,12 @@ def fill_spans(entities: DataFrame, tokens: DataFrame) -> DataFrame:
     """Entities without text take the tokens start..end of their chapter. ``tokens``: book_id, chapter, tokens array<string>; (book_id, chapter, line_no) tells entities apart.
 
     Only entities without text move, as positions: they meet stretches of their chapter's tokens, and a span over several is put
-    together from its parts. Positions outside the chapter give no words; in a chapter without tokens the text stays as it is.
+    together from its parts. Positions outside the chapter give no words; in a chapter without tokens the text stays as it is. Whether there
+    are any is looked at first, so that no tokens are exchanged where there are none.
     """
     blank = strip(F.coalesce("text", F.lit(""))) == ""
+    if entities.filter(blank).isEmpty():
+        return entities
     ids = ["book_id", "chapter", "line_no"]
     over = F.sequence(F.floor(F.greatest("start", F.lit(0)) / PIECE), F.floor(F.greatest("start", "end", F.lit(0)) / PIECE))
     asked = entities.filter(blank).select(*ids, "start", "end", F.explode(over).alias("stretch"))

@@ -37,9 +37,9 @@ def matches(texts: DataFrame, phrases: DataFrame, keys: list[str], form: str = "
     held = F.broadcast(table) if (size["chars"] or 0) <= BROADCAST_CHARS else table
     cut = texts.select(*keys, F.inline(pieces(F.col("tokens"), PIECE, 0, most - 1)))
     firsts = [r[0] for r in table.select(F.col("words")[0]).distinct().limit(FIRST_WORDS + 1).collect()]
-    own = F.transform(F.slice("tokens", 1, PIECE), lambda t, i: F.struct(i.alias("i"), t.alias("word")))
-    begins = own if len(firsts) > FIRST_WORDS else F.filter(own, lambda x: x["word"].isin(firsts))
-    at = cut.select(*keys, F.inline(F.transform(begins, lambda x: F.struct((F.col("first") + x["i"]).alias("start"), x["word"].alias("word"), F.slice("tokens", x["i"] + 1, most).alias("ahead")))))
+    own = cut.select(*keys, "first", "tokens", F.posexplode(F.slice("tokens", 1, PIECE)).alias("i", "word"))  # in generated code, where a function of each token would be interpreted
+    begins = own if len(firsts) > FIRST_WORDS else own.filter(F.col("word").isin(firsts))
+    at = begins.select(*keys, (F.col("first") + F.col("i")).alias("start"), "word", F.slice("tokens", F.col("i") + 1, most).alias("ahead"))
     found = at.join(held, F.col("word") == F.col("words")[0]).filter(F.slice("ahead", 1, F.size("words")) == F.col("words"))
     found = found.select(*keys, "start", (F.col("start") + F.size("words") - 1).alias("end"), "payload")
     if most > 1:

@@ -56,7 +56,7 @@ def centre_scores(tokens: DataFrame, half: int, lexicon: DataFrame) -> Callable[
     A stretch of a chapter is one row: its tokens, the lexicon's hits near it, and its centres. The tokens go out once, and no row has more than
     a stretch of them, so one long chapter is many tasks. A form that the window's border cuts does not count.
     """
-    size = cooccur.stretch_of(half)
+    size = cooccur.scored_stretch(half)
     cut = tokens.select(*KEYS, F.inline(T.pieces(F.col("tokens"), size, half, half)))
     cut = cut.select(*KEYS, F.col("stretch").alias("bucket"), "first", F.array_join("tokens", " ").alias("joined"))  # tokens hold no spaces; a string takes a third of the room
     near = F.array_distinct(F.array(*[F.floor((F.col("start") + x) / size) for x in (0, -half, half)]))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.functions.text import clean_chapter_text, tokenize
+from inkgraph.functions.text import clean_tokens
 from inkgraph.operators.phrases import matches
 from inkgraph.sources.store import exists
 
@@ -44,7 +44,7 @@ class Dictionary:
         self.forms, self.etype = forms, etype
 
     def annotate(self, chapters: DataFrame) -> DataFrame:
-        texts = chapters.select("book_id", "chapter", tokenize(clean_chapter_text(F.col("text"))).alias("tokens"))
+        texts = chapters.select("book_id", "chapter", clean_tokens(F.col("text")).alias("tokens"))
         found = matches(texts, self.forms.select("coref", F.col("form").alias("text"), "form"), ["book_id", "chapter"])
         number = lambda c: F.col(c).cast("int").alias(c)
         return found.select("book_id", "chapter", F.col("start").cast("int").alias("line_no"), "coref", number("start"), number("end"), "text", F.lit(self.etype).alias("etype"))

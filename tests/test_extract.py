@@ -168,3 +168,17 @@ def test_extraction_stays_in_the_jvm(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         pipelines.extract(df, found, pipelines.Params(min_freq=1))[1].explain("formatted")
     assert "Exchange" in plan.getvalue() and not re.search("EvalPython|InPandas|InArrow|Cartesian|NestedLoop", plan.getvalue())
+
+
+def test_extraction_exchanges_no_tokens_for_spans_that_are_there(spark):
+    """Before, all tokens were exchanged to fill the texts of mentions even where every mention had one, and white space was cleaned though no token holds any."""
+    texts = ["Ann\x85met\tBob\x0b's \u00a0 dog\r\n(\x1cEve)", " \u2003 a\x00b c\u3000d\x7f ", "", None, "\n", "K\u212a \x1f- x\u0085y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    both = df.select(T.clean_tokens(F.col("text")).alias("new"), T.tokenize(T.clean_chapter_text(F.col("text"))).alias("old")).collect()
+    assert [r.new for r in both] == [r.old for r in both] and both[0].new[:2] == ["annmet", "bob's"]
+    chapters = spark.createDataFrame([("b", 1, "ann met bob")], "book_id string, chapter int, text string")
+    found = annotate.Dictionary(spark.createDataFrame([("ann", 1), ("bob", 2)], "form string, coref int")).annotate(chapters)
+    tokens = pipelines.prepared(chapters)
+    assert mentions.fill_spans(found, tokens) is found
+    blank = found.withColumn("text", F.lit(" "))
+    assert sorted(r.text for r in mentions.fill_spans(blank, tokens).collect()) == ["ann", "bob"]
