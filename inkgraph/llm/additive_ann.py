@@ -11,7 +11,8 @@ whatever the vectors; where codes approximate them badly, more rows are scored e
 
 Codebooks are fitted on a bounded sample (``sample`` vectors, those with the smallest hash of
 the id); every vector is indexed. Queries meet the index in blocks: index blocks are dealt to
-groups once, query blocks go to every group, and only a query's best scores and ids leave a pair of blocks.
+groups once, query blocks go to every group, and only a query's best scores and ids leave a pair of blocks. They meet by shuffle
+whatever size Spark guesses: it counts a block of vectors as a hundred bytes, and a copy for every group as one.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have
 another dimension than most, take no part; a null id takes no part; the query's own id is never found;
@@ -155,13 +156,14 @@ def index_blocks(rows: DataFrame, model: Codebooks) -> DataFrame:
 
 def query_blocks(rows: DataFrame) -> DataFrame:
     """A row for each QUERY_BLOCK queries, whatever the size of the batches they come in."""
+    number = _number(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[int] = []
         held: list[np.ndarray] = []
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([{"q_ids": np.array(keys, dtype=np.int64).tobytes(), "q": np.stack(held).astype(np.float64).tobytes()}])
+            out = pd.DataFrame([{"q_ids": np.array(keys, dtype=np.int64).tobytes(), "q": np.stack(held).astype(number).tobytes()}])
             keys.clear()
             held.clear()
             return out
@@ -225,7 +227,7 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, number: str,
     shared = spark.sparkContext.broadcast(model)
     dealt = index.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = query_blocks(queries).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = dealt.join(asked, "deal").select("ids", "x", "codes", "scale", "left", "q_ids", "q")
+    pairs = dealt.join(asked.hint("merge"), "deal").select("ids", "x", "codes", "scale", "left", "q_ids", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value.words
@@ -238,7 +240,7 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, number: str,
                 codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(ids), books).T.astype(np.intp)
                 scale, left = np.frombuffer(row.scale, dtype=np.float32), np.frombuffer(row.left)
                 off = left + (d + books + 4) * 2.0**-23 * longest * scale  # with the rounding of the look-up tables
-                q = np.frombuffer(row.q).reshape(len(q_ids), d)
+                q = np.frombuffer(row.q, dtype=number).reshape(len(q_ids), d).astype(np.float64)
                 tables = (q.astype(np.float32) @ words.reshape(books * size, d).T).reshape(len(q), books, size)
                 room = 1e-13 * d * np.abs(q).max(axis=1) * max(np.abs(x).max(), 1e-300)
                 out = []
@@ -271,9 +273,16 @@ def search(queries: DataFrame, index: DataFrame, model: Codebooks, number: str,
 
 
 def sample_rows(rows: DataFrame, n: int = SAMPLE) -> np.ndarray:
-    """At most n vectors, those with the smallest hash of the id."""
-    found = rows.orderBy(F.xxhash64("key"), "key").limit(n).select("v").toPandas()["v"]
-    return np.stack(found.to_numpy()) if len(found) else np.zeros((0, 0))
+    """At most n vectors, those with the smallest hash of the id. The tasks' lists are merged in a task, so the driver gets the n rows only."""
+    number = _number(rows)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame([{"n": len(pdf), "x": np.stack(pdf["v"].to_numpy()).astype(number).tobytes()}])
+
+    found = rows.orderBy(F.xxhash64("key"), "key").limit(n).select("v").mapInPandas(packed, "n long, x binary").collect()
+    return np.concatenate([np.frombuffer(r.x, dtype=number).reshape(r.n, -1) for r in found]) if found else np.zeros((0, 0))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 256, key: str = "vec_id", column: str = "embedding") -> DataFrame:

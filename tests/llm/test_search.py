@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkgraph.llm import additive_ann, edit_fingerprint, ngram_join, suffix_dedup
 from inkgraph.llm.components import components
@@ -201,6 +202,18 @@ def test_ann_misses_none_of_the_nearest_on_other_rows(spark):
             assert np.allclose(got.get_group(i).sort_values("rank").score, np.sort(exact)[::-1][:20], rtol=1e-9)
 
 
+def test_ann_broadcasts_and_collects_no_vectors(spark):
+    """Before, the queries, copied for every group, were taken for a small table and broadcast; every task sent its own sample to the driver."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = additive_ann.nearest(df)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = additive_ann.usable(df)
+    want = np.stack(rows.orderBy(F.xxhash64("key"), "key").limit(40).toPandas()["v"].to_numpy())
+    assert np.array_equal(additive_ann.sample_rows(rows, 40), want)
+
+
 def test_best_of_keeps_the_first_of_equals():
     assert sorted(additive_ann.best_of(np.array([1.0, 3, 3, 3, 2]), 2).tolist()) == [1, 2]
 
