@@ -379,3 +379,19 @@ def test_snapshots_from_cells_equal_those_of_edges(spark, monkeypatch):
     assert lines.count() == edges.select("chapter", "a", "weight_e4").distinct().count() < edges.count()
     assert {r.polarity for r in edges.select("polarity").distinct().collect()} == {"negative", "neutral", "positive"}
     assert told(snapshot.joined_lines(lines.filter("chapter = 7"), ["heavy", "a"])) == []
+
+
+def test_a_day_is_told_where_its_pairs_are(spark, monkeypatch):
+    """Before, the lines of a day's edges were exchanged: text that grows with the square of its mentions."""
+    monkeypatch.setattr(cooccur, "AT_ONCE", 50)
+    rnd = random.Random(10)
+    rows = [("b", k, n, p, p * 37 % 1900 - 900) for k, n, p in ((rnd.choice((1, 1, 2)), rnd.choice(["é", "x--y", "", "10", "9", *map(str, range(20, 45))]), rnd.randint(0, 150)) for _ in range(900))]
+    m = spark.createDataFrame([*rows, ("b", 5, "alone", 3, 0)], "book_id string, chapter int, name string, pos bigint, score_e4 bigint")
+    edges = graph.plain_edges(cooccur.edges(m, 5, 2, scores="score_e4")).cache()
+    told = lambda df: sorted(map(tuple, df.select("book_id", "chapter", "snapshot").collect()))
+    for texts, kind in ((cooccur.edge_texts(m, 5, 2, "score_e4"), "edges"), (cooccur.node_texts(m, 5, 2, "score_e4"), "flat")):
+        assert len(told(texts)) == 2 and told(texts) == told(snapshot.serialize(edges, kind))
+        assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    for query in (catalog.adjacency_snapshot,):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0]
