@@ -392,6 +392,6 @@ def test_a_day_is_told_where_its_pairs_are(spark, monkeypatch):
     for texts, kind in ((cooccur.edge_texts(m, 5, 2, "score_e4"), "edges"), (cooccur.node_texts(m, 5, 2, "score_e4"), "flat")):
         assert len(told(texts)) == 2 and told(texts) == told(snapshot.serialize(edges, kind))
         assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
-    for query in (catalog.adjacency_snapshot,):
+    for query in (catalog.edge_snapshot, catalog.adjacency_snapshot):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0]
