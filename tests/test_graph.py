@@ -395,3 +395,20 @@ def test_a_day_is_told_where_its_pairs_are(spark, monkeypatch):
     for query in (catalog.edge_snapshot, catalog.adjacency_snapshot):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_edit_distance_exchanges_mentions_and_holds_no_graph(spark, monkeypatch):
+    """Before, all edges of both days were exchanged and gathered in a row. Graphs compared as sets, as held arrays and made when asked for have the same bounds."""
+    rnd = random.Random(11)
+    m = spark.createDataFrame([("b", rnd.choice((1, 1, 2, 4)), f"n{rnd.randrange(24)}", rnd.randrange(250)) for _ in range(160)] + [("b", None, "n1", None), ("b", 8, None, 3)], M)
+    later = m.withColumn("chapter", F.col("chapter") - 1)
+    nodes, edges = graph.plain_nodes(m), cooccur.edges(m, 3, 2)
+    told = lambda df: sorted(map(tuple, df.select("chapter", "ged", "ged_lower", "exact").collect()), key=str)
+    want = told(metrics.graph_edit_distance(nodes, edges, graph.plain_nodes(later), cooccur.edges(later, 3, 2), budget=60, bounds=True))
+    assert len(want) == 9 and any(not r[3] for r in want)
+    for limits in ((2_000_000, 1_000), (0, 1_000), (0, 0)):
+        monkeypatch.setattr(metrics, "AS_SETS", limits[0])
+        monkeypatch.setattr(metrics, "HELD", limits[1])
+        monkeypatch.setattr(metrics, "KEPT", 20)
+        found = metrics.edit_distance_of_mentions(m, later, 3, 2, budget=60)
+        assert told(found) == want
