@@ -412,3 +412,20 @@ def test_edit_distance_exchanges_mentions_and_holds_no_graph(spark, monkeypatch)
         monkeypatch.setattr(metrics, "KEPT", 20)
         found = metrics.edit_distance_of_mentions(m, later, 3, 2, budget=60)
         assert told(found) == want
+
+
+def test_graphml_is_measured_where_its_edges_are(spark, monkeypatch):
+    """Before, a line was made for every edge, to be measured."""
+    from inkgraph.sources import writers
+
+    rnd = random.Random(12)
+    rows = [("b", rnd.choice((1, 1, 2)), rnd.choice((-3, 7, 12, 4567, 10**12, 55)), rnd.randint(0, 3000), p * rnd.choice((1, 100, 1000))) for p in range(-900, 900)]
+    m = spark.createDataFrame([*rows, ("b", 5, 8, 3, 0)], "book_id string, chapter int, name bigint, pos bigint, score_e4 bigint")
+    nodes, edges = graph.plain_nodes(m), graph.plain_edges(cooccur.edges(m, 9, 2, scores="score_e4"))
+    told = lambda df: sorted(map(tuple, df.select("chapter", "n_chars").collect()))
+    want = told(writers.graphml_sizes(writers.graphml_lines(nodes, edges)))
+    assert len(want) == 3 and told(writers.graphml_sizes_of(nodes, cooccur.graphml_lengths(m, 9, 2, "score_e4"))) == want
+    sf = "/root/testdata/sf0.001"
+    days = catalog.events_mentions(spark, sf)
+    lines = writers.graphml_lines(graph.plain_nodes(days), catalog._event_edges(spark, sf))
+    assert told(catalog.graphml_documents(spark, sf)) == told(writers.graphml_sizes(lines))
