@@ -414,6 +414,17 @@ def test_edit_distance_exchanges_mentions_and_holds_no_graph(spark, monkeypatch)
         assert told(found) == want
 
 
+def test_parts_grow_no_more_once_there_are_cells_enough(spark, monkeypatch):
+    """Before, cells had a fixed size, so a mention went to ever more of them: what was exchanged grew with the square of a day's mentions."""
+    rows = [("b", c, f"n{i % 17}", i % 90) for c in (1, 2, 3, 4) for i in range(400)]
+    m = spark.createDataFrame(rows, M)
+    want = sorted(map(tuple, cooccur.edges(m, 5, 2).collect()))
+    monkeypatch.setattr(cooccur, "CELL_PAIRS", 5)
+    monkeypatch.setattr(cooccur, "ALL_CELLS", 16)
+    assert cooccur.parts_of(m, 5).agg(F.max("parts")).first()[0] == 3
+    assert sorted(map(tuple, cooccur.edges(m, 5, 2).collect())) == want
+
+
 def test_graphml_is_measured_where_its_edges_are(spark, monkeypatch):
     """Before, a line was made for every edge, to be measured."""
     from inkgraph.sources import writers
